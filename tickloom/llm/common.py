@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.functions.shipping import ship
+
 #: Rows of an Arrow batch that carries whole texts; bounds what one Python worker holds at once.
 TEXT_ROWS = 4000
 #: Bytes of text that a task works on at once within a batch.
@@ -42,8 +44,9 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def text_batches(spark: SparkSession) -> None:
-    """Smaller Arrow batches for columns of whole texts."""
+def prepare(spark: SparkSession) -> None:
+    """What Python tasks over whole texts need: this package on the executors, and smaller Arrow batches."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import simhash
+from tickloom.llm import packing, simhash
 from tickloom.llm.common import table, unsigned_hex
 
 
@@ -14,7 +14,20 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", unsigned_hex("fp").alias("fingerprint"), "component_id")
 
 
+def vocabulary(name: str) -> str:
+    """Where a public tokenizer's file lies; imported here, as only queries fix the vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut_up = packing.pieces(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1, capacity=4096)
+    return packing.pack(cut_up, capacity=4096)
+
+
 QUERIES = {
+    "op9_packing": op9_packing,
     "op7_simhash": op7_simhash,
 }
 

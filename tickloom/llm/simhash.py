@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import cut, text_batches
+from tickloom.llm.common import cut, prepare
 
 #: Segments of the embedding, and bits of each; a count takes 3 bits of the packed cell.
 SEGMENTS, WIDTH = 16, 4
@@ -57,7 +57,7 @@ def fingerprint(text: bytes | None, words_each: int = 3, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, words_each: int = 3, seed: int = 42, text: str = "text", out: str = "fp") -> DataFrame:
     """``docs`` with the fingerprint of ``text`` as a signed 64-bit column."""
-    text_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
 
     @F.arrow_udf("long")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
