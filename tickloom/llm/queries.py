@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import packing, simhash
-from tickloom.llm.common import table, unsigned_hex
+from tickloom.llm import packing, simhash, tokenbin
+from tickloom.llm.common import cut, scratch, table, unsigned_hex
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,7 +26,15 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(cut_up, capacity=4096)
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, ids = scratch(spark, "token-files"), 50257
+    tokenbin.write(table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"), end_id=0, vocabulary_size=ids)
+    read_back = cut(tokenbin.read(spark, path, ids), "token-rows")
+    return tokenbin.placed(read_back).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 QUERIES = {
+    "op10_token_files": op10_token_files,
     "op9_packing": op9_packing,
     "op7_simhash": op7_simhash,
 }
