@@ -5,9 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import packing, simhash, tokenbin
+from tickloom.llm import packing, quality, simhash, tokenbin, toxicity
 from tickloom.llm.common import cut, scratch, table, unsigned_hex
 
+#: Labelled documents that a classifier is fitted on at most.
+LABELLED = 16_000
+
+
+def _fold(of: int) -> F.Column:
+    return F.crc32(F.col("doc_id").cast("string")) % of
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels, held_out = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), _fold(4) == 2
+    model = toxicity.fit(quality.sample(docs, labels.where(~held_out), "toxic", LABELLED))
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels, held_out = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), _fold(5) == 0
+    weights = quality.fit(quality.sample(docs, labels.where(~held_out), "quality", LABELLED))
+    scored = quality.score(docs.select("doc_id", "text"), weights)
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words_each=3, seed=42)
@@ -34,6 +55,8 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_toxicity": op5_toxicity,
+    "op6_quality": op6_quality,
     "op10_token_files": op10_token_files,
     "op9_packing": op9_packing,
     "op7_simhash": op7_simhash,

@@ -66,7 +66,7 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, and the number of ids of each; a null counts as empty."""
-        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if len(self.known) > MOST_CHUNKS:
             self._forget()
         lengths = np.asarray(pc.binary_length(texts)).astype(np.int64)
