@@ -5,9 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import packing, quality, simhash, tokenbin, toxicity
+from tickloom.llm import packing, quality, simhash, telephony, tokenbin, toxicity
 from tickloom.llm.common import cut, scratch, table, unsigned_hex
 
+def op3_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    stored = telephony.store_payloads(docs).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "media")
+    found = telephony.features(cut(stored, "media"))
+    return found.select("doc_id", "n_bytes", "f.*")
+
+
 #: Labelled documents that a classifier is fitted on at most.
 LABELLED = 16_000
 
@@ -55,6 +62,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_telephony": op3_telephony,
     "op5_toxicity": op5_toxicity,
     "op6_quality": op6_quality,
     "op10_token_files": op10_token_files,
