@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import packing, quality, simhash, telephony, tokenbin, toxicity
+from tickloom.llm import neighbours, packing, quality, simhash, telephony, tokenbin, toxicity
 from tickloom.llm.common import cut, scratch, table, unsigned_hex
 
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = cut(neighbours.usable(table(spark, sf_dir, "embeddings")), "vectors")
+    return neighbours.search(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 def op3_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     stored = telephony.store_payloads(docs).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "media")
@@ -62,6 +67,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_neighbours": op1_neighbours,
     "op3_telephony": op3_telephony,
     "op5_toxicity": op5_toxicity,
     "op6_quality": op6_quality,
