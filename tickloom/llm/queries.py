@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import neighbours, packing, quality, simhash, telephony, tokenbin, toxicity
+from tickloom.llm import neighbours, packing, quality, simhash, telephony, tokenbin, toxicity, warc
 from tickloom.llm.common import cut, scratch, table, unsigned_hex
 
 def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,25 @@ def op3_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "f.*")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "archives")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    history = warc.merge_index(cut(warc.read(spark, path), "captures"))
+    return history.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_DIGITS = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(x, {5 * i + 1}, 5))::INTEGER >> {5 * j}) & 31) + 1, 1)" for i in range(8) for j in (3, 2, 1, 0))
+
+WARC_SQL = f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS x FROM pages),
+     k AS (SELECT x, max(page_id) AS winner FROM p GROUP BY x)
+SELECT page_id, n::BIGINT AS payload_bytes, {_DIGITS} AS payload_digest,
+       CASE WHEN winner IS NULL OR page_id = winner THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM winner THEN winner END AS refers_to
+FROM p JOIN k USING (x)
+"""
+
+
 #: Labelled documents that a classifier is fitted on at most.
 LABELLED = 16_000
 
@@ -67,6 +86,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_warc": op4_warc,
     "op1_neighbours": op1_neighbours,
     "op3_telephony": op3_telephony,
     "op5_toxicity": op5_toxicity,
@@ -76,4 +96,6 @@ QUERIES = {
     "op7_simhash": op7_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_warc": WARC_SQL,
+}
