@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import neighbours, packing, quality, simhash, telephony, tokenbin, toxicity, warc
+from tickloom.llm import hosts, mixing, neighbours, packing, quality, simhash, telephony, tokenbin, toxicity, warc
 from tickloom.llm.common import cut, scratch, table, unsigned_hex
 
 def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,6 +13,13 @@ def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
+MIX = mixing.Mix()
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.select(table(spark, sf_dir, "documents"), MIX)
+
+
 def op3_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     stored = telephony.store_payloads(docs).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "media")
@@ -73,6 +80,19 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+RULES = [
+    hosts.Rule("com", "/en/", "block"),
+    hosts.Rule("example.com", "/en/7", "allow"),
+    hosts.Rule("net", "/de/", "allow"),
+    hosts.Rule("example.net", "/de/8", "block"),
+    hosts.Rule("org", "/es/", "block"),
+]
+
+
+def op8_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hosts.judge(table(spark, sf_dir, "pages"), RULES)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut_up = packing.pieces(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1, capacity=4096)
     return packing.pack(cut_up, capacity=4096)
@@ -86,16 +106,20 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op4_warc": op4_warc,
     "op1_neighbours": op1_neighbours,
+    "op2_mixing": op2_mixing,
     "op3_telephony": op3_telephony,
+    "op4_warc": op4_warc,
     "op5_toxicity": op5_toxicity,
     "op6_quality": op6_quality,
-    "op10_token_files": op10_token_files,
-    "op9_packing": op9_packing,
     "op7_simhash": op7_simhash,
+    "op8_hosts": op8_hosts,
+    "op9_packing": op9_packing,
+    "op10_token_files": op10_token_files,
 }
 
 ORACLES: dict[str, str] = {
+    "op2_mixing": mixing.sql(MIX),
     "op4_warc": WARC_SQL,
+    "op8_hosts": hosts.sql(RULES),
 }
