@@ -146,3 +146,18 @@ def near_duplicates(docs: DataFrame, words_each: int = 3, seed: int = 42, id_col
     rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
     return keyed.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def representatives(docs: DataFrame, words_each: int = 5, seed: int = 42) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and any others) without all but one of each near-duplicate group.
+
+    The row with the smallest doc_id stays, nulls last; rows equal in doc_id and text are one row.
+    """
+    keyed = docs.withColumn("__text", F.xxhash64(F.coalesce("text", F.lit(""))))
+    prints = cut(fingerprints(keyed.select("doc_id", "text", "__text"), words_each, seed).select("doc_id", "__text", "fp"), "fingerprints")
+    roots = components(links(prints.select("fp").distinct()))
+    rooted = prints.join(roots, prints.fp == roots.node, "left").withColumn("group", F.coalesce("root", "fp"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__text")).alias("first")
+    kept = rooted.groupBy("group").agg(first).select(F.col("first.doc_id").alias("kept_id"), F.col("first.__text").alias("kept_text"))
+    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("__text") == F.col("kept_text"))
+    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__text"]).drop("__text")

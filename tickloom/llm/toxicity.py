@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tickloom.llm import words
 from tickloom.llm.common import prepare, slices
 
-BITS, RUN = 19, 64
+BITS, RUN = 18, 64
 _SHIFT = np.uint64(64 - BITS)
 BEGINNINGS = (4, 5, 6)
 SPANS = "array<struct<start:int,end:int>>"
