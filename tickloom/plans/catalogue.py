@@ -2,9 +2,317 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tickloom import config
+from tickloom.functions.normal import cdf_sql
+from tickloom.operators import bars, daily, estimates, likelihood, report, rolling, runs, vpin
+from tickloom.plans import fixtures as fx
+from tickloom.sources import ticks as sources
+
+#: Hourly bars and 20 buckets a day suit the density of the events.
+VPIN_CONFIG = config.VpinConfig(bar="1 hour", buckets=20, sample=50, min_bars=500)
+PIN_POINT = {"a": 0.4, "d": 0.5, "u": 1.5, "eb": 1.2, "es": 1.1}
+APIN_POINT = {"a": 0.4, "d": 0.5, "t1": 0.2, "t2": 0.3, "ub": 1.5, "us": 1.2, "eb": 1.1, "es": 1.0, "pb": 0.8, "ps": 0.7}
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+def query(sql: str | None = None):
+    """Register a query under its name, with its SQL where there is one."""
+
+    def keep(function):
+        QUERIES[function.__name__] = function
+        if sql:
+            ORACLES[function.__name__] = sql
+        return function
+
+    return keep
+
+
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+def nation_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return daily.daily_counts(fx.nation_ticks(spark, sf_dir))
+
+
+def nation_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return daily.dense_daily(nation_daily(spark, sf_dir))
+
+
+def region_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return daily.dense_daily(daily.daily_counts(fx.region_ticks(spark, sf_dir)))
+
+
+def event_bars(spark: SparkSession, sf_dir: str, every: str = "1 hour") -> DataFrame:
+    return bars.time_bars(fx.event_ticks(spark, sf_dir), every, "event_id")
+
+
+# Raw conversion
+
+
+@query(f"WITH {fx.RAW_SQL} SELECT event_id, (DATE '1960-01-01' + floor(Date)::INT)::DATE AS Date FROM raw")
+def sas_date(spark, sf_dir):
+    return sources.convert_raw(fx.raw_events(spark, sf_dir)).select("event_id", "Date")
+
+
+@query(f"WITH {fx.RAW_SQL} SELECT event_id, round_even(Time * 1e9, 0)::BIGINT AS Time FROM raw")
+def sas_time_ns(spark, sf_dir):
+    return sources.convert_raw(fx.raw_events(spark, sf_dir)).select("event_id", "Time")
+
+
+@query(f"WITH {fx.RAW_SQL} SELECT event_id, nullif(regexp_replace(Symbol, '^\\s+|\\s+$', '', 'g'), 'nan') AS Symbol FROM raw")
+def symbol_clean(spark, sf_dir):
+    return sources.convert_raw(fx.raw_events(spark, sf_dir)).select("event_id", "Symbol")
+
+
+@query(f"WITH {fx.RAW_SQL} SELECT event_id, LR::TINYINT AS LR, Price, Volume::DOUBLE AS Volume FROM raw")
+def raw_sides(spark, sf_dir):
+    return sources.convert_raw(fx.raw_events(spark, sf_dir)).select("event_id", "LR", "Price", "Volume")
+
+
+@query(f"WITH {fx.RAW_SQL} SELECT event_id, make_timestamp(epoch_us((DATE '1960-01-01' + floor(Date)::INT)::TIMESTAMP) + round_even(Time * 1e9, 0)::BIGINT // 1000) AS Datetime FROM raw")
+def tick_datetime(spark, sf_dir):
+    return sources.convert_raw(fx.raw_events(spark, sf_dir)).select("event_id", bars.tick_datetime().alias("Datetime"))
+
+
+# Daily counts and windows
+
+
+@query(f"WITH {fx.NATION_SQL} SELECT Symbol, Date, (LR = 1)::INT AS is_Buy, (LR = -1)::INT AS is_Sell FROM ticks WHERE LR IN (1, -1)")
+def signed_trades(spark, sf_dir):
+    return daily.signed_trades(fx.nation_ticks(spark, sf_dir))
+
+
+@query(f"WITH {fx.NATION_SQL} SELECT Symbol, Date, B, S FROM daily")
+def daily_bs(spark, sf_dir):
+    return nation_daily(spark, sf_dir)
+
+
+@query(f"WITH {fx.NATION_SQL} SELECT DISTINCT Symbol FROM daily")
+def symbols(spark, sf_dir):
+    return daily.symbols(nation_daily(spark, sf_dir))
+
+
+@query(f"WITH {fx.NATION_SQL} SELECT DISTINCT Date FROM daily")
+def calendar(spark, sf_dir):
+    return daily.calendar(nation_daily(spark, sf_dir))
+
+
+@query(f"WITH {fx.NATION_SQL} SELECT Symbol, Date FROM dense")
+def calendar_grid(spark, sf_dir):
+    return daily.calendar_grid(nation_daily(spark, sf_dir))
+
+
+@query(f"WITH {fx.NATION_SQL} SELECT Symbol, Date, B, S FROM dense")
+def dense_daily(spark, sf_dir):
+    return nation_dense(spark, sf_dir)
+
+
+@query(f"WITH {fx.NATION_SQL} SELECT count(*) AS n_rows, count(DISTINCT Symbol) AS n_symbols, count(DISTINCT Date) AS n_days, min(Date) AS first_date, max(Date) AS last_date FROM dense")
+def panel_summary(spark, sf_dir):
+    return report.panel_summary(nation_dense(spark, sf_dir))
+
+
+def _windows_sql(base: str, columns: str, where: str = "") -> str:
+    return f"""WITH {base}, w AS (SELECT *, row_number() OVER (PARTITION BY Symbol ORDER BY Date) AS rn, sum(B) OVER f AS sum_b, sum(S) OVER f AS sum_s, sum((B + S > 0)::INT) OVER f AS valid_days
+    FROM dense WINDOW f AS (PARTITION BY Symbol ORDER BY Date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)) SELECT {columns} FROM w WHERE rn >= 60 {where}"""
+
+
+@query(_windows_sql(fx.NATION_SQL, "Symbol, Date, sum_b::BIGINT AS sum_b, sum_s::BIGINT AS sum_s"))
+def rolling_window(spark, sf_dir):
+    return rolling.rolling_totals(nation_dense(spark, sf_dir))
+
+
+@query(_windows_sql(fx.NATION_SQL, "Symbol, Date, valid_days::BIGINT AS valid_days"))
+def valid_days(spark, sf_dir):
+    return rolling.valid_days(nation_dense(spark, sf_dir))
+
+
+@query(_windows_sql(fx.NATION_SQL, "Symbol, Date, valid_days::BIGINT AS valid_days, CASE WHEN valid_days < 30 THEN 'Low_Valid_Days' END AS skip_reason"))
+def window_gate(spark, sf_dir):
+    return rolling.gated(nation_dense(spark, sf_dir))
+
+
+@query(f"SELECT skip_reason, count(*) AS n FROM ({_windows_sql(fx.NATION_SQL, "CASE WHEN valid_days < 30 THEN 'Low_Valid_Days' END AS skip_reason")}) GROUP BY skip_reason")
+def skip_reason_dist(spark, sf_dir):
+    return report.reasons(rolling.gated(nation_dense(spark, sf_dir)))
+
+
+@query(f"WITH {fx.NATION_SQL} SELECT Symbol, Date, B, S FROM dense ORDER BY Symbol, Date LIMIT 1000")
+def sample1000(spark, sf_dir):
+    return nation_dense(spark, sf_dir).orderBy("Symbol", "Date").limit(1000)
+
+
+@query(f"WITH {fx.NATION_SQL} SELECT DISTINCT Symbol FROM daily EXCEPT SELECT Symbol FROM ({_windows_sql(fx.NATION_SQL, 'Symbol', 'AND valid_days >= 30')})")
+def remaining_symbols(spark, sf_dir):
+    counted = nation_daily(spark, sf_dir)
+    done = rolling.gated(daily.dense_daily(counted)).where("skip_reason IS NULL")
+    return runs.remaining(daily.symbols(counted), done)
+
+
+# Bars and VPIN
+
+
+@query(f"WITH {fx.bars_sql('1 minute')} SELECT Symbol, Datetime, Open, Close, round(Volume, 6) AS Volume FROM bars")
+def minute_bars(spark, sf_dir):
+    return rounded(event_bars(spark, sf_dir, "1 minute"), "Volume")
+
+
+@query(f"WITH {fx.bars_sql('1 hour')} SELECT Symbol, Datetime, Open, Close, round(Volume, 6) AS Volume FROM bars")
+def hour_bars(spark, sf_dir):
+    return rounded(event_bars(spark, sf_dir), "Volume")
+
+
+_CLEAN = f"{fx.bars_sql('1 hour')}, cleaned AS (SELECT * FROM bars WHERE Datetime IS NOT NULL AND Open > 0 AND Close > 0 AND Volume > 0 AND NOT isnan(Open) AND NOT isnan(Close) AND NOT isnan(Volume))"
+
+
+@query(f"WITH {_CLEAN} SELECT Symbol, Datetime, Open, Close, round(Volume, 6) AS Volume FROM cleaned")
+def bars_clean(spark, sf_dir):
+    return rounded(bars.clean_bars(event_bars(spark, sf_dir)), "Volume")
+
+
+@query(f"WITH {_CLEAN} SELECT Symbol, count(*) AS n_bars FROM cleaned GROUP BY Symbol HAVING count(*) >= {VPIN_CONFIG.min_bars}")
+def liquid_symbols(spark, sf_dir):
+    return bars.liquid_symbols(bars.clean_bars(event_bars(spark, sf_dir)), VPIN_CONFIG.min_bars)
+
+
+@query(f"WITH {_CLEAN} SELECT count(*) AS n_bars, sum((Open <> Close)::INT)::BIGINT AS n_moved, round(100.0 * sum((Open <> Close)::INT) / count(*), 6) AS pct_moved FROM bars")
+def dp_nonzero_share(spark, sf_dir):
+    return rounded(bars.moved_share(event_bars(spark, sf_dir)), "pct_moved")
+
+
+@query(f"""WITH {_CLEAN} SELECT Symbol, Datetime AS ts, Open AS price, 0.0::DOUBLE AS volume FROM cleaned
+UNION ALL SELECT Symbol, Datetime + INTERVAL 1 SECOND, Close, round(Volume, 6) FROM cleaned""")
+def pseudo_ticks(spark, sf_dir):
+    return rounded(bars.pseudo_ticks(bars.clean_bars(event_bars(spark, sf_dir))), "volume")
+
+
+_USABLE = f"{_CLEAN}, usable AS (SELECT * FROM cleaned WHERE Symbol IN (SELECT Symbol FROM cleaned GROUP BY Symbol HAVING count(*) >= {VPIN_CONFIG.min_bars}))"
+_SIZED = f"{_USABLE}, sized AS (SELECT Symbol, sum(Volume) / count(DISTINCT CAST(Datetime AS DATE)) / {float(VPIN_CONFIG.buckets)}::DOUBLE AS vbs, stddev_samp(Close - Open) AS sdp FROM usable GROUP BY Symbol)"
+_CLOCK = f"{_SIZED}, clock AS (SELECT *, hi - Volume AS lo FROM (SELECT *, sum(Volume) OVER (PARTITION BY Symbol ORDER BY Datetime ROWS UNBOUNDED PRECEDING) AS hi FROM usable))"
+_BUCKETS = f"""{_CLOCK}, scored AS (SELECT *, {cdf_sql('z')} AS buy, floor(lo / vbs + 1e-9)::BIGINT AS k0, ceil(hi / vbs - 1e-9)::BIGINT - 1 AS k1
+    FROM (SELECT clock.*, vbs, (Close - Open) / nullif(sdp, 0) AS z FROM clock JOIN sized USING (Symbol)) WHERE z IS NOT NULL),
+pieces AS (SELECT *, least(hi, (bucket + 1) * vbs) - greatest(lo, bucket * vbs) AS piece FROM (SELECT *, unnest(generate_series(k0, greatest(k0, k1))) AS bucket FROM scored)),
+buckets AS (SELECT Symbol, bucket, min(Datetime) AS Starttime, max(Datetime) AS Endtime, sum(piece * buy) AS AggBuyVol, sum(piece * (1 - buy)) AS AggSellVol, sum(piece) AS filled, max(vbs) AS vbs FROM pieces GROUP BY ALL
+    HAVING sum(piece) >= max(vbs) * (1 - 1e-6)),
+result AS (SELECT Symbol, (bucket + 1)::INT AS BucketNo, CAST(Endtime AS DATE) AS Date, Starttime, Endtime, AggBuyVol, AggSellVol, abs(AggBuyVol - AggSellVol) AS AOI,
+    CASE WHEN row_number() OVER (PARTITION BY Symbol ORDER BY bucket) >= {VPIN_CONFIG.sample}
+    THEN sum(abs(AggBuyVol - AggSellVol)) OVER (PARTITION BY Symbol ORDER BY bucket ROWS BETWEEN {VPIN_CONFIG.sample - 1} PRECEDING AND CURRENT ROW) / ({VPIN_CONFIG.sample} * vbs) END AS VPIN FROM buckets)"""
+
+
+def _usable(spark, sf_dir):
+    return vpin.usable_bars(event_bars(spark, sf_dir), VPIN_CONFIG)
+
+
+@query(f"WITH {_SIZED} SELECT Symbol, round(vbs, 6) AS vbs, round(sdp, 6) AS sdp FROM sized")
+def vbs_sdp(spark, sf_dir):
+    return rounded(vpin.bucket_sizes(_usable(spark, sf_dir), VPIN_CONFIG), "vbs", "sdp")
+
+
+@query(f"WITH {_CLOCK} SELECT Symbol, Datetime, round(lo, 6) AS lo, round(hi, 6) AS hi FROM clock")
+def volume_clock(spark, sf_dir):
+    return rounded(vpin.volume_clock(_usable(spark, sf_dir)).select("Symbol", "Datetime", "lo", "hi"), "lo", "hi")
+
+
+@query(f"WITH {_BUCKETS} SELECT Symbol, bucket, Starttime, Endtime, round(AggBuyVol, 6) AS AggBuyVol, round(AggSellVol, 6) AS AggSellVol, round(abs(AggBuyVol - AggSellVol), 6) AS AOI FROM buckets")
+def bvc_buckets(spark, sf_dir):
+    found = vpin.buckets(_usable(spark, sf_dir), VPIN_CONFIG)
+    return rounded(found.select("Symbol", "bucket", "Starttime", "Endtime", "AggBuyVol", "AggSellVol", "AOI"), "AggBuyVol", "AggSellVol", "AOI")
+
+
+@query(f"WITH {_BUCKETS} SELECT Symbol, BucketNo, Date, Starttime, Endtime, round(AggBuyVol, 6) AS AggBuyVol, round(AggSellVol, 6) AS AggSellVol, round(AOI, 6) AS AOI, round(VPIN, 6) AS VPIN FROM result")
+def vpin_buckets(spark, sf_dir):
+    return rounded(vpin.vpin(_usable(spark, sf_dir), VPIN_CONFIG), "AggBuyVol", "AggSellVol", "AOI", "VPIN")
+
+
+@query(f"WITH {_BUCKETS} SELECT count(*) AS n_rows, count(DISTINCT Symbol) AS n_symbols, round(min(VPIN), 6) AS lowest, round(max(VPIN), 6) AS highest, round(avg(VPIN), 6) AS mean FROM result WHERE VPIN IS NOT NULL")
+def vpin_summary(spark, sf_dir):
+    return rounded(report.measure_summary(vpin.vpin(_usable(spark, sf_dir), VPIN_CONFIG, drop_short=True), "VPIN"), "lowest", "highest", "mean")
+
+
+# Likelihoods and single steps
+
+
+def _sums_sql(terms: dict[str, str], columns: str) -> str:
+    frame = "OVER (PARTITION BY Symbol ORDER BY Date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)"
+    per_day = ", ".join(f"{e} AS t_{k}" for k, e in terms.items())
+    sums = ", ".join(f"sum(t_{k}) {frame} AS {k}" for k in terms)
+    return f"WITH {fx.REGION_SQL}, days AS (SELECT *, {per_day} FROM dense), w AS (SELECT Symbol, Date, row_number() OVER (PARTITION BY Symbol ORDER BY Date) AS rn, {sums} FROM days) SELECT Symbol, Date, {columns} FROM w WHERE rn >= 60"
+
+
+def _step_sql(point: dict[str, float]) -> str:
+    return _sums_sql(likelihood.em_sums(point), ", ".join(f"round({e}, 6) AS {k}" for k, e in likelihood.em_update(point, 60).items()))
+
+
+@query(_sums_sql({"loglik": likelihood.day_sql(PIN_POINT)}, "round(loglik, 6) AS loglik"))
+def pin_loglik_fixed(spark, sf_dir):
+    return rounded(likelihood.window_likelihood(region_dense(spark, sf_dir), PIN_POINT), "loglik")
+
+
+@query(_sums_sql({"loglik": likelihood.day_sql(APIN_POINT)}, "round(loglik, 6) AS loglik"))
+def adjpin_loglik_fixed(spark, sf_dir):
+    return rounded(likelihood.window_likelihood(region_dense(spark, sf_dir), APIN_POINT), "loglik")
+
+
+@query(_step_sql(PIN_POINT))
+def pin_em_step(spark, sf_dir):
+    return rounded(likelihood.em_step(region_dense(spark, sf_dir), PIN_POINT), *PIN_POINT)
+
+
+@query(_step_sql(APIN_POINT))
+def adjpin_em_step(spark, sf_dir):
+    return rounded(likelihood.em_step(region_dense(spark, sf_dir), APIN_POINT), *APIN_POINT)
+
+
+_LEVELS = ", ".join(f"({a}::DOUBLE)" for a in (0.1, 0.5, 0.9))
+
+
+@query(f"""WITH {fx.REGION_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY Symbol ORDER BY Date) AS rn, sum((B + S > 0)::INT) OVER f AS valid, sum(B) OVER f / 60.0::DOUBLE AS mb, sum(S) OVER f / 60.0::DOUBLE AS ms
+    FROM dense WINDOW f AS (PARTITION BY Symbol ORDER BY Date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)),
+ends AS (SELECT * FROM n WHERE rn >= 60 AND valid >= 30),
+counted AS (SELECT e.Symbol, e.Date, d.B, d.S, count(*)::DOUBLE AS n FROM ends e JOIN n d ON d.Symbol = e.Symbol AND d.rn BETWEEN e.rn - 59 AND e.rn GROUP BY ALL),
+l(v) AS (VALUES {_LEVELS}),
+points AS (SELECT *, ms - a * d * u AS es FROM (SELECT Symbol, Date, mb, ms, a, d, g, g * mb AS eb, (mb - g * mb) / (a * (1e0 - d)) AS u FROM ends, (SELECT x.v AS a, y.v AS d, z.v AS g FROM l x, l y, l z))),
+scored AS (SELECT Symbol, Date, a, d, g, round(sum(n * {likelihood.grid_term()}), 6) AS loglik FROM points JOIN counted USING (Symbol, Date) WHERE es > 0 AND eb > 0 AND u > 0 GROUP BY ALL)
+SELECT Symbol, Date, a, d, g, loglik FROM (SELECT *, row_number() OVER (PARTITION BY Symbol, Date ORDER BY loglik DESC, a, d, g) AS r FROM scored) WHERE r = 1""")
+def pin_grid(spark, sf_dir):
+    return likelihood.pin_grid(region_dense(spark, sf_dir))
+
+
+# Estimates
+
+
+@query()
+def pin_rolling(spark, sf_dir):
+    return estimates.pin(region_dense(spark, sf_dir))
+
+
+@query()
+def adjpin_rolling(spark, sf_dir):
+    return estimates.apin(region_dense(spark, sf_dir), config.APIN_BASE)
+
+
+@query()
+def adjpin_skip(spark, sf_dir):
+    return estimates.apin(region_dense(spark, sf_dir), config.APIN_SKIP)
+
+
+@query()
+def adjpin_theta(spark, sf_dir):
+    return estimates.apin(region_dense(spark, sf_dir), config.APIN_THETA)
+
+
+@query()
+def adjpin_warm(spark, sf_dir):
+    return estimates.apin(region_dense(spark, sf_dir), config.APIN_WARM)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """VPIN of the events, also where symbols have few bars."""
+    few = config.VpinConfig(bar="1 hour", buckets=20, sample=50, min_bars=50)
+    return vpin.vpin(vpin.usable_bars(event_bars(spark, sf_dir), few), few)
