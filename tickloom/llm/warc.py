@@ -2,7 +2,7 @@
 
 Writing: pages with equal payloads are known by SHA-1; the one with the largest page_id is stored as a response, the
 others as revisits that name it and carry no payload. Records are written by Spark's text writer, whose record separator
-is the blank line pair that ends a WARC record, so files are committed as any Spark output is. Reading parses whole
+is the blank line pair that ends a WARC record, so files are committed as any Spark output is, gzipped. Reading parses whole
 archive files, recomputes each response's digest and keeps one locally sorted run of captures per archive. The index
 merge deals the runs by ranges of (URL key, timestamp, page_id) and merges the runs of each range by a loser tree, so
 that the partitions in order are one globally ordered capture history, however many captures one URL has.
@@ -16,6 +16,7 @@ columns are ignored.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
@@ -110,7 +111,7 @@ def write(pages: DataFrame, path: str, payload: str = "html") -> None:
             yield pa.RecordBatch.from_arrays([pa.array([END.join(waiting)], pa.binary())], names=["data"])
 
     records = joined.mapInArrow(work, "data binary").select(F.col("data").cast("string"))
-    records.write.option("maxRecordsPerFile", CHUNKS).option("lineSep", END.decode()).text(path)
+    records.write.option("maxRecordsPerFile", CHUNKS).option("lineSep", END.decode()).option("compression", "gzip").text(path)
 
 
 def _page(urn: str) -> int | None:
@@ -126,7 +127,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1)):
                 rows = []
-                for at, length, headers, block in parse(content.as_py()):
+                for at, length, headers, block in parse(gzip.decompress(content.as_py())):
                     http, _, body = block.partition(END)
                     digest = headers["WARC-Payload-Digest"].removeprefix("sha1:")
                     if headers["WARC-Type"] == "response" and base32_sha1(body) != digest:
