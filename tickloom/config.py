@@ -40,7 +40,7 @@ class ApinConfig:
     warm_extra: int = 0
     fresh_starts: int = 20
     timeout_seconds: float = 120.0
-    max_cycles: int = 150
+    max_cycles: int = 80
     tolerance: float = 1e-8
 
 

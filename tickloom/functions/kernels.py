@@ -72,7 +72,8 @@ def adjusted(tied: bool = False) -> Model:
 def step(model: Model, p: np.ndarray, buys: np.ndarray, sells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The next parameters of each row, and the log-likelihood (without factorials) of the given ones."""
     rates = p[:, model.chances :]
-    lam_b, lam_s = rates @ model.buy.T, rates @ model.sell.T
+    # einsum, unlike a matrix product, starts no threads of its own inside a Spark task
+    lam_b, lam_s = np.einsum("nr,kr->nk", rates, model.buy), np.einsum("nr,kr->nk", rates, model.sell)
     const = np.log(model.weights(p)) - lam_b - lam_s
     each = np.log(lam_b)[:, :, None] * buys[:, None, :] + np.log(lam_s)[:, :, None] * sells[:, None, :] + const[:, :, None]
     top = each.max(1)
@@ -82,8 +83,8 @@ def step(model: Model, p: np.ndarray, buys: np.ndarray, sells: np.ndarray) -> tu
     post /= total[:, None, :]
     days = post.sum(2)
     b, s = np.einsum("nkt,nt->nk", post, buys), np.einsum("nkt,nt->nk", post, sells)
-    counts = ((b / lam_b) @ model.buy + (s / lam_s) @ model.sell) * rates
-    held = days @ (model.buy + model.sell)
+    counts = (np.einsum("nk,kr->nr", b / lam_b, model.buy) + np.einsum("nk,kr->nr", s / lam_s, model.sell)) * rates
+    held = np.einsum("nk,kr->nr", days, model.buy + model.sell)
     new_rates = np.divide(counts, held, out=rates.copy(), where=held > 0)
     return model.clamp(np.concatenate([model.from_weights(days, p[:, : model.chances]), new_rates], axis=1)), likelihood
 
