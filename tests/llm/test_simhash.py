@@ -77,3 +77,31 @@ def test_empty_table(spark):
 def test_a_long_chain_settles(spark):
     edges = spark.range(300).selectExpr("id + 1 as fp", "id as hub")
     assert {r.root for r in simhash.components(edges).collect()} == {0}
+
+
+def test_similar_texts_are_one_group_and_others_stay(spark):
+    rng = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(900)]
+    rows, group = [], []
+    for g in range(40):
+        base = [rng.choice(vocabulary) for _ in range(rng.randrange(150, 400))]
+        rows.append((len(rows), " ".join(base)))
+        group.append(g)
+        for _ in range(rng.randrange(4)):
+            copy = list(base)
+            for _ in range(rng.randrange(1, 4)):
+                copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+            rows.append((len(rows), " ".join(copy)))
+            group.append(g)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.representatives(docs).collect()}
+    first = {g: group.index(g) for g in set(group)}
+    assert kept >= set(first.values())
+    assert len(kept) <= len(first) + 0.06 * (len(rows) - len(first))
+
+
+def test_sketches_give_exact_similarity_of_short_texts():
+    import numpy as np
+
+    a, b = np.array([1, 2, 3, 9], ">u8"), np.array([2, 3, 9, 11], ">u8")
+    assert simhash.similarity(a.tobytes(), b.tobytes()) == 3 / 5 and simhash.similarity(b"", b"") == 1.0

@@ -16,6 +16,7 @@ of the input are ignored. A null doc_id takes part in linking but never names a
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,26 +34,37 @@ MAX_BITS = 2
 _ROWS_AT_ONCE = 1 << 15
 
 
-def fingerprint(text: bytes | None, words_each: int = 3, seed: int = 42) -> int:
-    """SimHash of the word shingles of one text, as an unsigned integer; bit i is bit i of the hashes' majority."""
+def shingle_hashes(text: bytes | None, words_each: int, seed: int) -> Iterator[bytes]:
+    """The shingles' hashes, 8 big-endian bytes each, some thousands at a time."""
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     if len(words) <= words_each:
-        return xxhash.xxh64_intdigest(joined, seed)
+        yield xxhash.xxh64_digest(joined, seed)
+        return
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths).tolist()
     ends = ends[words_each - 1 :].tolist()
-    digest, counts = xxhash.xxh64_digest, np.zeros(64, np.int64)
+    digest = xxhash.xxh64_digest
     for k in range(0, len(ends), _ROWS_AT_ONCE):
-        hashes = b"".join([digest(joined[a:b], seed) for a, b in zip(starts[k : k + _ROWS_AT_ONCE], ends[k : k + _ROWS_AT_ONCE])])
-        bits = np.unpackbits(np.frombuffer(hashes, np.uint8)).reshape(-1, 64)
-        # 255 rows of 8-bit counters fit without carry, so eight bits are summed in each 64-bit addition
-        lanes = np.add.reduceat(bits.view(np.uint64), np.arange(0, len(bits), 255), axis=0)
-        counts += lanes.view(np.uint8).reshape(-1, 64).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > len(ends)).tobytes(), "big")
+        yield b"".join([digest(joined[a:b], seed) for a, b in zip(starts[k : k + _ROWS_AT_ONCE], ends[k : k + _ROWS_AT_ONCE])])
+
+
+def _votes(hashes: bytes) -> np.ndarray:
+    bits = np.unpackbits(np.frombuffer(hashes, np.uint8)).reshape(-1, 64)
+    # 255 rows of 8-bit counters fit without carry, so eight bits are summed in each 64-bit addition
+    lanes = np.add.reduceat(bits.view(np.uint64), np.arange(0, len(bits), 255), axis=0)
+    return lanes.view(np.uint8).reshape(-1, 64).sum(0, dtype=np.int64)
+
+
+def fingerprint(text: bytes | None, words_each: int = 3, seed: int = 42) -> int:
+    """SimHash of the word shingles of one text, as an unsigned integer; bit i is bit i of the hashes' majority."""
+    counts, n = np.zeros(64, np.int64), 0
+    for hashes in shingle_hashes(text, words_each, seed):
+        counts, n = counts + _votes(hashes), n + len(hashes) // 8
+    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, words_each: int = 3, seed: int = 42, text: str = "text", out: str = "fp") -> DataFrame:
@@ -148,15 +160,94 @@ def near_duplicates(docs: DataFrame, words_each: int = 3, seed: int = 42, id_col
     return keyed.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
+#: Differing bits, and shingle similarity, of what the wider search links; parts of a fingerprint, and those that a probe joins;
+#: uncertain bits that a probe flips; shingles in the sketch that verifies similarity.
+WIDE_BITS, SIMILAR, PARTS, JOINED, UNSURE, SKETCH = 12, 0.8, 5, 2, 3, 64
+PROFILE = "struct<fp:bigint,keys:array<bigint>,sketch:binary>"
+
+
+def probes(votes: np.ndarray, fps: np.ndarray) -> np.ndarray:
+    """Keys of each fingerprint (rows): every choice of JOINED parts, with every flip of its UNSURE least decided bits."""
+    places = np.array_split(np.arange(64), PARTS)
+    out = []
+    for number, chosen in enumerate(itertools.combinations(range(PARTS), JOINED)):
+        columns = np.concatenate([places[k] for k in chosen])
+        mask = np.uint64(sum(1 << (63 - int(c)) for c in columns))
+        weak = columns[np.argsort(np.abs(votes[:, columns]), axis=1, kind="stable")[:, :UNSURE]]
+        bits = np.uint64(1) << (63 - weak).astype(np.uint64)
+        for flip in range(1 << UNSURE):
+            key = fps & mask
+            for j in range(UNSURE):
+                if flip >> j & 1:
+                    key = key ^ bits[:, j]
+            out.append((key * np.uint64(0x9E3779B97F4A7C15) + np.uint64(number)) * np.uint64(0xC2B2AE3D27D4EB4F))
+    return np.stack(out, axis=1).view(np.int64) if len(fps) else np.zeros((0, 1), np.int64)
+
+
+def similarity(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two texts' shingles by their sketches; exact where both hold all their shingles."""
+    x, y = np.frombuffer(a, ">u8"), np.frombuffer(b, ">u8")
+    both = np.union1d(x, y)
+    if len(x) >= SKETCH or len(y) >= SKETCH:
+        both = both[:SKETCH]
+    return float(np.isin(both, np.intersect1d(x, y)).mean()) if len(both) else 1.0
+
+
+def profiles(docs: DataFrame, words_each: int, seed: int = 42, text: str = "text", out: str = "profile") -> DataFrame:
+    """``docs`` with fingerprint, probe keys and the sketch (the smallest distinct shingle hashes) of ``text``."""
+    prepare(docs.sparkSession)
+
+    @F.arrow_udf(PROFILE)
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            votes, fps, sketches = np.zeros((len(batch), 64)), np.zeros(len(batch), np.uint64), []
+            for i, x in enumerate(batch.cast(pa.large_binary())):
+                counts, n, least = np.zeros(64, np.int64), 0, np.zeros(0, ">u8")
+                for hashes in shingle_hashes(x.as_buffer().to_pybytes() if x.is_valid else None, words_each, seed):
+                    counts, n = counts + _votes(hashes), n + len(hashes) // 8
+                    least = np.unique(np.concatenate([least, np.frombuffer(hashes, ">u8")]))[:SKETCH]
+                fps[i] = int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
+                votes[i] = counts / max(n, 1) - 0.5
+                sketches.append(least.astype(">u8").tobytes())
+            keys = probes(votes, fps)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1) * keys.shape[1], pa.int32()), pa.array(keys.reshape(-1)))
+            yield pa.StructArray.from_arrays([pa.array(fps.view(np.int64)), lists, pa.array(sketches, pa.binary())], names=["fp", "keys", "sketch"])
+
+    return docs.withColumn(out, of.asNondeterministic()(F.col(text)))
+
+
+def similar_links(classes: DataFrame) -> DataFrame:
+    """Links (fp, hub) between distinct fingerprints (fp, keys, sketch) of texts whose shingles are similar.
+
+    Near copies differ in up to WIDE_BITS bits, and mostly in bits that were hardly decided in either. Those that meet
+    under a probe key are linked to the smallest of them there, if the fingerprints' distance and the sketches allow it; a
+    key that thousands share gives a link each, not pairs.
+    """
+
+    @F.arrow_udf("double")
+    def alike(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([similarity(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
+
+    keyed = classes.select("fp", F.explode("keys").alias("key")).repartition("key")
+    hubs = keyed.groupBy("key").agg(F.min("fp").alias("hub"), F.max("fp").alias("last")).where("hub < last").select("key", "hub")
+    met = keyed.join(hubs, "key").where(F.col("fp") != F.col("hub")).select("fp", "hub")
+    near = met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("hub"))) <= WIDE_BITS).distinct()
+    one, two = classes.select("fp", F.col("sketch").alias("a")), classes.select(F.col("fp").alias("hub"), F.col("sketch").alias("b"))
+    return near.join(one, "fp").join(two, "hub").where(alike("a", "b") >= SIMILAR).select("fp", "hub")
+
+
 def representatives(docs: DataFrame, words_each: int = 5, seed: int = 42) -> DataFrame:
     """The rows of ``docs`` (doc_id, text and any others) without all but one of each near-duplicate group.
 
-    The row with the smallest doc_id stays, nulls last; rows equal in doc_id and text are one row.
+    Groups are connected by the exact links of 2 bits and by the wider links of similar texts. The row with the smallest
+    doc_id stays, nulls last; rows equal in doc_id and text are one row.
     """
     keyed = docs.withColumn("__text", F.xxhash64(F.coalesce("text", F.lit(""))))
-    prints = cut(fingerprints(keyed.select("doc_id", "text", "__text"), words_each, seed).select("doc_id", "__text", "fp"), "fingerprints")
-    roots = components(links(prints.select("fp").distinct()))
-    rooted = prints.join(roots, prints.fp == roots.node, "left").withColumn("group", F.coalesce("root", "fp"))
+    prints = cut(profiles(keyed.select("doc_id", "text", "__text"), words_each, seed).select("doc_id", "__text", "profile.*"), "profiles")
+    classes = cut(prints.groupBy("fp").agg(F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "classes")
+    linked = cut(links(classes.select("fp")).select("fp", "hub").union(similar_links(classes)), "links")
+    roots = components(linked)
+    rooted = prints.select("doc_id", "__text", "fp").join(roots, prints.fp == roots.node, "left").withColumn("group", F.coalesce("root", "fp"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__text")).alias("first")
     kept = rooted.groupBy("group").agg(first).select(F.col("first.doc_id").alias("kept_id"), F.col("first.__text").alias("kept_text"))
     same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("__text") == F.col("kept_text"))
