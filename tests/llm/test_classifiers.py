@@ -55,6 +55,15 @@ def test_marginals_of_long_texts_do_not_depend_on_the_runs(monkeypatch):
     assert np.allclose(whole, cut, atol=1e-12)
 
 
+def test_log_odds_without_slots_are_the_same():
+    rng = np.random.default_rng(4)
+    model = toxicity.Model(rng.normal(size=(1 << toxicity.BITS) + 1), np.zeros((2, 2)))
+    texts = pa.array(["", "one Two, three-four! one", None, "x", "idiot idiot Wordlonger"])
+    want, starts, _ = toxicity.emissions(texts, model)
+    got, same = toxicity.log_odds_of(texts, model)
+    assert np.allclose(want, got) and (starts == same).all()
+
+
 def test_words_of_blank_and_null_texts():
     codes, starts, names = words.split(pa.array(["a b a", None, "", "  ", " b\n c "]))
     assert starts.tolist() == [0, 3, 3, 3, 3, 5]

@@ -30,6 +30,8 @@ from tickloom.llm.common import prepare, slices
 
 BITS, RUN = 18, 64
 _SHIFT = np.uint64(64 - BITS)
+#: Bytes of text whose words are tagged at once; a word takes some forty times its bytes meanwhile.
+SLICE = 3 << 20
 BEGINNINGS = (4, 5, 6)
 SPANS = "array<struct<start:int,end:int>>"
 
@@ -74,6 +76,23 @@ def emissions(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, np
     return values.sum(0) + model.weights[-1], starts, slots
 
 
+def log_odds_of(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Log-odds and starts as from ``emissions``, with the features of a distinct word summed once and no slots kept."""
+    codes, starts, names = words.split(texts)
+    hashes = word_hashes(names)
+    weights = model.weights
+    own = np.where(hashes == 0, 0.0, weights[(hashes >> _SHIFT).astype(np.int64)]).sum(0)
+    out = own[codes] + weights[-1]
+    if len(codes):
+        before = weights[((hashes[0] * np.uint64(0x9E3779B97F4A7C15)) >> _SHIFT).astype(np.int64)][codes[:-1]]
+        after = weights[((hashes[0] * np.uint64(0xC2B2AE3D27D4EB4F)) >> _SHIFT).astype(np.int64)][codes[1:]]
+        bounds = starts[(starts > 0) & (starts < len(codes))]
+        before[bounds - 1], after[bounds - 1] = 0.0, 0.0
+        out[1:] += before
+        out[:-1] += after
+    return out, starts
+
+
 def _chain(x: np.ndarray, starts: np.ndarray, m: np.ndarray, first: np.ndarray) -> np.ndarray:
     """v1/v0 at every word, where v = (v before) m diag(1, x) and, at the first word of a text, v = first diag(1, x)."""
     n = np.diff(starts)
@@ -139,7 +158,7 @@ def marginals(log_odds: np.ndarray, starts: np.ndarray, moves: np.ndarray) -> tu
 def expected_toxic(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expected toxic words of each text (each by its own odds, so that doubts hardly add up), the words' marginals, and the
     first word of each text."""
-    log_odds, starts, _ = emissions(texts, model)
+    log_odds, starts = log_odds_of(texts, model)
     p, _, _ = marginals(log_odds, starts, model.moves)
     return words.totals(p * p, starts), p, starts
 
@@ -263,7 +282,7 @@ def fit(learn: DataFrame, shards: int = 8, rounds: int = 3, seed: int = 13, shar
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [expected_toxic(part, shared.value)[0] for part in slices(batch.column(0))]
+            found = [expected_toxic(part, shared.value)[0] for part in slices(batch.column(0), SLICE)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else [], pa.float64()), batch.column(1)], names=["expected", "label"])
 
     seen = learn.select("text", "label").mapInArrow(expect, "expected double, label double").toPandas()
@@ -292,7 +311,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
     @F.arrow_udf("double")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            found = [document_scores(expected_toxic(part, shared.value)[0], shared.value) for part in slices(batch)]
+            found = [document_scores(expected_toxic(part, shared.value)[0], shared.value) for part in slices(batch, SLICE)]
             yield pa.array(np.concatenate(found) if found else [], pa.float64())
 
     return docs.withColumn(out, of.asNondeterministic()(F.col(text)))
@@ -309,7 +328,7 @@ def tag(docs: DataFrame, model: Model, text: str = "text", out: str = "toxic_spa
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
             rows: list = []
-            for part in slices(batch):
+            for part in slices(batch, SLICE):
                 _, p, starts = expected_toxic(part, shared.value)
                 for value, a, b in zip(part, starts[:-1].tolist(), starts[1:].tolist()):
                     rows.append(spans_of(value.as_py(), p[a:b]) if b > a and p[a:b].max() > 0.5 else [])
