@@ -201,7 +201,9 @@ def pack(cut_pieces: DataFrame, capacity: int = 4096, each: int = 4096, islands:
             else:
                 left = again
         placed = placed.unionByName(done.select("rid", F.lit(level).alias("level"), "instance", F.col("bin").cast("long").alias("bin")))
-    numbered = rows.join(placed, "rid").withColumn("sequence_id", F.xxhash64("level", "instance", "bin"))
+    # Whole pieces are numbered below zero, bins by their place: no two sequences can share a number.
+    sequence = F.when(F.col("level") == 0, -1 - F.col("bin")).otherwise((F.col("instance") * (1 << 20) + F.col("bin")) * 32 + F.col("level"))
+    numbered = rows.join(placed, "rid").withColumn("sequence_id", sequence)
     within = F.sum("length").over(_order()) - F.col("length")
     return numbered.withColumn("offset", within).select(*cut_pieces.columns, "sequence_id", "offset")
 
