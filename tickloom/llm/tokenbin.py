@@ -43,7 +43,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, vocabulary_s
 
         for batch in batches:
             at = 0
-            for part in slices(batch.column(1), 4 << 20):
+            for part in slices(batch.column(1), 3 << 20):
                 ids, n = encoder.encode(part)
                 ends = np.cumsum(n)
                 doc_ids += batch.column(0).slice(at, len(part)).to_pylist()

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Chunks that a worker remembers before it starts afresh.
-MOST_CHUNKS = 1_000_000
+MOST_CHUNKS = 400_000
 _ODD_SPACE = "[\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
 _ODD_LEADS = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
