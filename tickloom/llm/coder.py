@@ -21,92 +21,105 @@ import numpy as np
 MAGIC = b"TLK1"
 BLOCK = 512
 #: Bits of the whole distribution, of the least share of order 0, and of the order-0 distribution itself.
-_TOTAL, _LEAST, _UNITS = 24, 20, 20
-#: Ids of an order-0 range (a power of two), and steps between two readings of its counts.
-_RANGE_BITS, _REFRESH = 8, 128
+_TOTAL, _LEAST, _UNITS = 24, 20, 16
+#: Ids of an order-0 range (a power of two), least units of one, and steps between two readings of its counts.
+_RANGE_BITS, _FLOOR, _REFRESH = 8, 16, 128
 _SLOTS = 512
-_LEVELS = 4
+_ROOM = np.uint32(((1 << _TOTAL) - (1 << _LEAST)) >> 8)
 _TOP, _LOW = np.uint64(1 << 48), np.uint64(1 << 32)
-_U = np.uint64
+_U, _V = np.uint64, np.uint32
+# A guess is kept as its id times four plus its confidence; an empty slot has the id of all ones.
+_MORE, _LESS = np.array([1, 2, 3, 3], np.uint32), np.array([0, 0, 1, 1], np.uint32)
+_NONE = np.uint32(0x3FFFFFFF)
 
 
 class _Model:
-    """The state of all lanes, and what it says of the next id."""
+    """The state of all lanes, and what it says of the next id; all numbers are unsigned integers of 32 bits."""
 
     def __init__(self, lanes: int, vocabulary: int):
         self.lanes = lanes
         self.ranges = (vocabulary >> _RANGE_BITS) + 1
-        self.base = np.arange(lanes) * _SLOTS
-        self.levels = np.arange(lanes) * _LEVELS
-        self.rows = np.arange(lanes) * self.ranges
-        self.edges = np.arange(lanes) * (self.ranges + 1)
-        self.guess = [np.full(lanes * _SLOTS, -1, np.int32) for _ in range(2)]
-        self.trust = [np.zeros(lanes * _SLOTS, np.uint8) for _ in range(2)]
-        first = np.array([6000, 24000, 42000, 54000], np.int64)
-        self.rate = [np.tile(first, lanes) for _ in range(2)]
+        self.base, self.levels = np.arange(lanes) * _SLOTS, np.arange(lanes) * 4
+        self.rows, self.edges = np.arange(lanes) * self.ranges, np.arange(lanes) * (self.ranges + 1)
+        self.lift = np.arange(lanes) << (_UNITS + 1)
+        self.guess = [np.full(lanes * _SLOTS, _NONE << _V(2), np.uint32) for _ in range(2)]
+        self.rate = [np.tile(np.array([6000, 24000, 42000, 54000], np.int32), lanes) for _ in range(2)]
         prior = (1 << 12) // (np.arange(self.ranges) + 2) + 1
-        self.counts = np.tile(prior.astype(np.int64), lanes)
-        self.back = [np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)]
-        self.read_counts(lanes)
-
-    def read_counts(self, k: int) -> None:
-        counts = self.counts.reshape(self.lanes, self.ranges)
-        spare = (1 << _UNITS) - (self.ranges << _RANGE_BITS)
-        shares = (counts * spare) // counts.sum(1, keepdims=True) + (1 << _RANGE_BITS)
+        self.counts = np.tile(prior.astype(np.int32), lanes)
+        self.one, self.two = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
+        self.read_counts()
+
+    def read_counts(self) -> None:
+        counts = self.counts.reshape(self.lanes, self.ranges).astype(np.int64)
+        spare = (1 << _UNITS) - self.ranges * _FLOOR
         edges = np.zeros((self.lanes, self.ranges + 1), np.int64)
-        np.cumsum(shares, axis=1, out=edges[:, 1:])
+        np.cumsum((counts * spare) // counts.sum(1, keepdims=True) + _FLOOR, axis=1, out=edges[:, 1:])
         edges[:, -1] = 1 << _UNITS
-        self.edge = edges.reshape(-1)
+        self.edge = edges.reshape(-1).astype(np.uint32)
+        self.lifted = (edges + self.lift[:, None]).reshape(-1)
 
     def mix(self, k: int) -> None:
         """Shares of the first k lanes' order-2 and order-1 guesses, and the rest for order 0."""
-        one, two = self.back[0][:k], self.back[1][:k]
-        slot2 = (((one * 0x9E3779B1 + two * 0x85EBCA6B) >> 13) & (_SLOTS - 1)) + self.base[:k]
-        slot1 = (((one * 0x9E3779B1) >> 11) & (_SLOTS - 1)) + self.base[:k]
-        self.slots = (slot2, slot1)
-        self.said = (self.guess[0][slot2], self.guess[1][slot1])
-        self.kept = (self.trust[0][slot2], self.trust[1][slot1])
-        self.at = tuple(self.levels[:k] + t for t in self.kept)
-        room = (1 << _TOTAL) - (1 << _LEAST)
-        self.share2 = np.where(self.said[0] >= 0, (self.rate[0][self.at[0]] * room) >> 16, 0)
-        self.share1 = np.where((self.said[1] >= 0) & (self.said[1] != self.said[0]), (self.rate[1][self.at[1]] * (room - self.share2)) >> 16, 0)
+        one = self.one[:k] * _V(0x9E3779B1)
+        self.slots = (((one + self.two[:k] * _V(0x85EBCA6B)) >> _V(17)) % _V(_SLOTS) + self.base[:k], (one >> _V(19)) % _V(_SLOTS) + self.base[:k])
+        held = [self.guess[o].take(self.slots[o]) for o in (0, 1)]
+        self.said, self.trust = [h >> _V(2) for h in held], [h & _V(3) for h in held]
+        self.at = [self.levels[:k] + t for t in self.trust]
+        self.old = [self.rate[o].take(self.at[o]) for o in (0, 1)]
+        self.known = [g != _NONE for g in self.said]
+        part = [(self.old[o] >> 8).astype(np.uint32) for o in (0, 1)]
+        self.share2 = part[0] * _ROOM * self.known[0]
+        self.share1 = part[1] * (_ROOM - (self.share2 >> _V(8))) * (self.known[1] & (self.said[1] != self.said[0]))
         self.both = self.share2 + self.share1
-        self.rest = (1 << _TOTAL) - self.both
-
-    def order0(self, k: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and width of ids under order 0, within the whole distribution."""
-        edge = self.edges[:k] + (ids >> _RANGE_BITS)
-        low = self.edge[edge]
-        width, j = self.edge[edge + 1] - low, ids & ((1 << _RANGE_BITS) - 1)
-        a = (self.rest * (low + ((width * j) >> _RANGE_BITS))) >> _UNITS
-        b = (self.rest * (low + ((width * (j + 1)) >> _RANGE_BITS))) >> _UNITS
-        return self.both + a, b - a
-
-    def find0(self, k: int, value: np.ndarray) -> np.ndarray:
-        """The id whose order-0 interval holds ``value`` (counted from the end of the guesses' shares)."""
-        unit = (((value + 1) << _UNITS) - 1) // self.rest
-        low, high = np.zeros(k, np.int64), np.full(k, self.ranges, np.int64)
-        for _ in range(int(self.ranges).bit_length()):
-            mid = (low + high) >> 1
-            right = self.edge[self.edges[:k] + mid] <= unit
-            low, high = np.where(right, mid, low), np.where(right, high, mid)
-        start = self.edge[self.edges[:k] + low]
-        width = self.edge[self.edges[:k] + low + 1] - start
-        return (low << _RANGE_BITS) + np.minimum((((unit - start + 1) << _RANGE_BITS) - 1) // width, (1 << _RANGE_BITS) - 1)
+        self.unit = (_V(1 << _TOTAL) - self.both) >> _V(_UNITS)
+
+    def interval(self, k: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and width of each lane's id in the mixed distribution."""
+        edge = self.edges[:k] + (ids >> _V(_RANGE_BITS))
+        low = self.edge.take(edge)
+        wide, j = (self.edge.take(edge + 1) - low) * self.unit, ids & _V((1 << _RANGE_BITS) - 1)
+        a = (wide * j) >> _V(_RANGE_BITS)
+        # wide is below 2**24, so the last id's end still fits 32 bits
+        b = np.where(j == (1 << _RANGE_BITS) - 1, wide, (wide * (j + _V(1))) >> _V(_RANGE_BITS))
+        self.hit2 = self.said[0] == ids
+        self.hit1 = self.said[1] == ids
+        first = self.hit1 & (self.share1 > 0)
+        start = np.where(self.hit2, _V(0), np.where(first, self.share2, self.both + low * self.unit + a))
+        width = np.where(self.hit2, self.share2, np.where(first, self.share1, b - a))
+        return start, width
+
+    def find(self, k: int, value: np.ndarray) -> np.ndarray:
+        """The id in whose interval each lane's value lies."""
+        plain = value >= self.both
+        rest = np.where(plain, value - self.both, _V(0))
+        at = np.searchsorted(self.lifted, self.lift[:k] + rest // self.unit, side="right") - 1
+        low = self.edge.take(at)
+        wide = (self.edge.take(at + 1) - low) * self.unit
+        j = (((rest - low * self.unit + _V(1)) << _V(_RANGE_BITS)) - _V(1)) // wide
+        found = ((at - self.edges[:k]).astype(np.uint32) << _V(_RANGE_BITS)) + np.minimum(j, _V((1 << _RANGE_BITS) - 1))
+        return np.where(plain, found, np.where(value < self.share2, self.said[0], self.said[1]))
 
     def learn(self, k: int, ids: np.ndarray) -> None:
-        for order in (0, 1):
-            slot, hit, trust, at = self.slots[order], self.said[order] == ids, self.kept[order], self.at[order]
-            rate = self.rate[order]
-            old = rate[at]
-            known = self.said[order] >= 0
-            rate[at] = np.where(known, old + (np.where(hit, 64000, 600) - old >> 4), old)
-            self.trust[order][slot] = np.where(hit, np.minimum(trust + 1, _LEVELS - 1), trust >> 1)
-            swap = ~hit & (trust == 0)
-            self.guess[order][slot] = np.where(swap, ids, self.said[order])
-        self.counts[self.rows[:k] + (ids >> _RANGE_BITS)] += 48
-        self.back[1][:k] = self.back[0][:k]
-        self.back[0][:k] = ids
+        for o, hit in ((0, self.hit2), (1, self.hit1)):
+            trust, old = self.trust[o], self.old[o]
+            self.rate[o][self.at[o]] = old + (((np.where(hit, np.int32(64000), np.int32(600)) - old) >> 4) * self.known[o])
+            kept = np.where(hit | (trust == 0), ids, self.said[o])
+            self.guess[o][self.slots[o]] = (kept << _V(2)) + np.where(hit, _MORE.take(trust), _LESS.take(trust))
+        self.counts[self.rows[:k] + (ids >> _V(_RANGE_BITS))] += 48
+        self.two[:k] = self.one[:k]
+        self.one[:k] = ids
+
+
+def _narrow(low: np.ndarray, span: np.ndarray, start: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    step = span >> _U(_TOTAL)
+    return low + start.astype(np.uint64) * step, width.astype(np.uint64) * step
+
+
+def _settled(low: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lanes whose leading 16 bits are due, and the spans, cut short where they have become too small to go on with."""
+    same = (low ^ (low + span)) < _TOP
+    due = same | (span < _LOW)
+    return due, np.where(due & ~same, (~low + _U(1)) & (_LOW - _U(1)), span)
 
 
 def encode_blocks(ids: np.ndarray, vocabulary: int, block: int = BLOCK) -> list[bytes]:
@@ -114,48 +127,38 @@ def encode_blocks(ids: np.ndarray, vocabulary: int, block: int = BLOCK) -> list[
     lanes = -(-len(ids) // block)
     if not lanes:
         return []
-    sheet = np.zeros(lanes * block, np.int64)
+    sheet = np.zeros(lanes * block, np.uint32)
     sheet[: len(ids)] = ids
     sheet = np.ascontiguousarray(sheet.reshape(lanes, block).T)
     last = len(ids) - (lanes - 1) * block
     model = _Model(lanes, vocabulary)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    words = np.zeros((lanes, 2 * block + 8), "<u2")
-    filled = np.zeros(lanes, np.int64)
-
-    def shift(which: np.ndarray) -> None:
-        words[which, filled[which]] = (low[which] >> _U(48)).astype(np.uint16)
-        filled[which] += 1
-        low[which] <<= _U(16)
-        span[which] <<= _U(16)
-
+    room = 2 * block + 8
+    words = np.zeros(lanes * room, "<u2")
+    begin = np.arange(lanes) * room
+    filled = begin.copy()
     for t in range(block if lanes > 1 else last):
         k = lanes if t < last else lanes - 1
         if t and t % _REFRESH == 0:
-            model.read_counts(k)
+            model.read_counts()
         x = sheet[t, :k]
         model.mix(k)
-        start, width = model.order0(k, x)
-        hit2 = model.said[0] == x
-        hit1 = (model.said[1] == x) & ~hit2
-        start = np.where(hit2, 0, np.where(hit1, model.share2, start)).astype(np.uint64)
-        width = np.where(hit2, model.share2, np.where(hit1, model.share1, width)).astype(np.uint64)
-        step = span[:k] >> _U(_TOTAL)
-        low[:k] += start * step
-        span[:k] = width * step
+        a, r = _narrow(low[:k], span[:k], *model.interval(k, x))
         while True:
-            same = (low[:k] ^ (low[:k] + span[:k])) < _TOP
-            small = ~same & (span[:k] < _LOW)
-            which = np.flatnonzero(same | small)
-            if not len(which):
+            due, r = _settled(a, r)
+            if not due.any():
                 break
-            tight = np.flatnonzero(small)
-            span[tight] = (~low[tight] + _U(1)) & (_LOW - _U(1))
-            shift(which)
+            words[filled[:k]] = a >> _U(48)  # written by all, kept by those that move on
+            filled[:k] += due
+            shift = due * _U(16)
+            a, r = a << shift, r << shift
+        low[:k], span[:k] = a, r
         model.learn(k, x)
     for _ in range(4):
-        shift(np.arange(lanes))
-    return [words[i, : filled[i]].tobytes() for i in range(lanes)]
+        words[filled] = low >> _U(48)
+        filled += 1
+        low = low << _U(16)
+    return [words[a:b].tobytes() for a, b in zip(begin.tolist(), filled.tolist())]
 
 
 def decode_blocks(payloads: list[bytes], count: int, vocabulary: int, block: int = BLOCK) -> np.ndarray:
@@ -163,12 +166,16 @@ def decode_blocks(payloads: list[bytes], count: int, vocabulary: int, block: int
     lanes = len(payloads)
     if not lanes:
         return np.zeros(0, np.int64)
-    longest = max(map(len, payloads)) // 2 + 8
-    words = np.zeros((lanes, longest), np.uint64)
+    room = max(map(len, payloads)) // 2 + 8
+    words = np.zeros((lanes, room), np.uint16)
     for i, p in enumerate(payloads):
         words[i, : len(p) // 2] = np.frombuffer(p, "<u2")
-    taken = np.full(lanes, 4, np.int64)
-    code = (words[:, 0] << _U(48)) | (words[:, 1] << _U(32)) | (words[:, 2] << _U(16)) | words[:, 3]
+    words = words.reshape(-1)
+    taken = np.arange(lanes) * room
+    code = np.zeros(lanes, np.uint64)
+    for _ in range(4):
+        code = (code << _U(16)) | words.take(taken)
+        taken += 1
     last = count - (lanes - 1) * block
     sheet = np.zeros((block, lanes), np.int64)
     model = _Model(lanes, vocabulary)
@@ -176,32 +183,21 @@ def decode_blocks(payloads: list[bytes], count: int, vocabulary: int, block: int
     for t in range(block if lanes > 1 else last):
         k = lanes if t < last else lanes - 1
         if t and t % _REFRESH == 0:
-            model.read_counts(k)
+            model.read_counts()
         model.mix(k)
-        step = span[:k] >> _U(_TOTAL)
-        value = ((code[:k] - low[:k]) // step).astype(np.int64)
-        x = np.where(value < model.share2, model.said[0], model.said[1]).astype(np.int64)
-        plain = value >= model.both
-        x = np.where(plain, model.find0(k, np.where(plain, value - model.both, 0)), x)
-        start, width = model.order0(k, x)
-        hit2 = model.said[0] == x
-        hit1 = (model.said[1] == x) & ~hit2
-        start = np.where(hit2, 0, np.where(hit1, model.share2, start)).astype(np.uint64)
-        width = np.where(hit2, model.share2, np.where(hit1, model.share1, width)).astype(np.uint64)
-        low[:k] += start * step
-        span[:k] = width * step
+        value = ((code[:k] - low[:k]) // (span[:k] >> _U(_TOTAL))).astype(np.uint32)
+        x = model.find(k, value)
+        a, r = _narrow(low[:k], span[:k], *model.interval(k, x))
+        c = code[:k]
         while True:
-            same = (low[:k] ^ (low[:k] + span[:k])) < _TOP
-            small = ~same & (span[:k] < _LOW)
-            which = np.flatnonzero(same | small)
-            if not len(which):
+            due, r = _settled(a, r)
+            if not due.any():
                 break
-            tight = np.flatnonzero(small)
-            span[tight] = (~low[tight] + _U(1)) & (_LOW - _U(1))
-            code[which] = (code[which] << _U(16)) | words[which, taken[which]]
-            taken[which] += 1
-            low[which] <<= _U(16)
-            span[which] <<= _U(16)
+            shift = due * _U(16)
+            c = np.where(due, (c << _U(16)) | words.take(taken[:k]), c)
+            taken[:k] += due
+            a, r = a << shift, r << shift
+        code[:k], low[:k], span[:k] = c, a, r
         model.learn(k, x)
         sheet[t, :k] = x
     return sheet.T.reshape(-1)[:count]
