@@ -105,3 +105,32 @@ def test_sketches_give_exact_similarity_of_short_texts():
 
     a, b = np.array([1, 2, 3, 9], ">u8"), np.array([2, 3, 9, 11], ">u8")
     assert simhash.similarity(a.tobytes(), b.tobytes()) == 3 / 5 and simhash.similarity(b"", b"") == 1.0
+
+
+def plain_groups(texts):
+    """Groups over 2 bits or an exact similarity of 0.8 of five-word shingles; all pairs compared."""
+    sets = [frozenset(tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))) for t in texts]
+    prints, root = [plain_fingerprint(t, 5) for t in texts], list(range(len(texts)))
+    near = []
+    for x, y in itertools.combinations(range(len(texts)), 2):
+        both = len(sets[x] & sets[y])
+        if 5 * both >= 4 * (len(sets[x]) + len(sets[y]) - both):
+            near.append(both / (len(sets[x]) + len(sets[y]) - both))
+        elif (prints[x] ^ prints[y]).bit_count() > 2:
+            continue
+        a, b = root[x], root[y]
+        root = [min(a, b) if r in (a, b) else r for r in root]
+    return set(root), near
+
+
+def test_pairs_just_above_and_below_the_similarity_are_told_apart(spark):
+    rng = random.Random(3)
+    texts = []
+    for g in range(60):
+        base = [f"{g}w{rng.randrange(10**6)}" for _ in range(rng.randrange(60, 400))]
+        end = round(len(base) * rng.choice([0.76, 0.78, 0.79, 0.81, 0.82, 0.84, 0.86]))
+        texts += [" ".join(base), " ".join(base[:end])]
+    want, near = plain_groups(texts)
+    assert sum(s < 0.86 for s in near) > 15 and len(near) < 60
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.representatives(docs).collect()} == want

@@ -16,7 +16,6 @@ of the input are ignored. A null doc_id takes part in linking but never names a
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -160,93 +159,139 @@ def near_duplicates(docs: DataFrame, words_each: int = 3, seed: int = 42, id_col
     return keyed.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-#: Differing bits, and shingle similarity, of what the wider search links; parts of a fingerprint, and those that a probe joins;
-#: uncertain bits that a probe flips; shingles in the sketch that verifies similarity.
-WIDE_BITS, SIMILAR, PARTS, JOINED, UNSURE, SKETCH = 12, 0.8, 5, 2, 3, 64
-PROFILE = "struct<fp:bigint,keys:array<bigint>,sketch:binary>"
+#: Shingle similarity of a link beyond 2 bits, 4 of 5 in whole numbers; pairs for each posting beyond which hubs come first, and most of their rounds.
+SIMILAR, PAIRS_EACH, HUB_ROUNDS = 0.8, 8, 8
+PROFILE = "struct<fp:bigint,key:bigint,n:int,half:array<bigint>>"
 
 
-def probes(votes: np.ndarray, fps: np.ndarray) -> np.ndarray:
-    """Keys of each fingerprint (rows): every choice of JOINED parts, with every flip of its UNSURE least decided bits."""
-    places = np.array_split(np.arange(64), PARTS)
-    out = []
-    for number, chosen in enumerate(itertools.combinations(range(PARTS), JOINED)):
-        columns = np.concatenate([places[k] for k in chosen])
-        mask = np.uint64(sum(1 << (63 - int(c)) for c in columns))
-        weak = columns[np.argsort(np.abs(votes[:, columns]), axis=1, kind="stable")[:, :UNSURE]]
-        bits = np.uint64(1) << (63 - weak).astype(np.uint64)
-        for flip in range(1 << UNSURE):
-            key = fps & mask
-            for j in range(UNSURE):
-                if flip >> j & 1:
-                    key = key ^ bits[:, j]
-            out.append((key * np.uint64(0x9E3779B97F4A7C15) + np.uint64(number)) * np.uint64(0xC2B2AE3D27D4EB4F))
-    return np.stack(out, axis=1).view(np.int64) if len(fps) else np.zeros((0, 1), np.int64)
+def distinct_shingles(text: bytes | None, words_each: int, seed: int) -> np.ndarray:
+    """The distinct shingle hashes of one text, sorted, as signed integers."""
+    return np.unique(np.frombuffer(b"".join(shingle_hashes(text, words_each, seed)), ">i8").astype(np.int64))
 
 
 def similarity(a: bytes, b: bytes) -> float:
-    """Jaccard similarity of two texts' shingles by their sketches; exact where both hold all their shingles."""
+    """Jaccard similarity of two texts from all their distinct shingle hashes, 8 bytes each."""
     x, y = np.frombuffer(a, ">u8"), np.frombuffer(b, ">u8")
-    both = np.union1d(x, y)
-    if len(x) >= SKETCH or len(y) >= SKETCH:
-        both = both[:SKETCH]
-    return float(np.isin(both, np.intersect1d(x, y)).mean()) if len(both) else 1.0
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
+
+
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, rows)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *rows])))
 
 
 def profiles(docs: DataFrame, words_each: int, seed: int = 42, text: str = "text", out: str = "profile") -> DataFrame:
-    """``docs`` with fingerprint, probe keys and the sketch (the smallest distinct shingle hashes) of ``text``."""
+    """``docs`` with fingerprint, a hash of the words, the number of distinct shingles and those with a hash of at least zero of ``text``."""
     prepare(docs.sparkSession)
 
     @F.arrow_udf(PROFILE)
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            votes, fps, sketches = np.zeros((len(batch), 64)), np.zeros(len(batch), np.uint64), []
+            fps, keys, sizes, halves = np.zeros(len(batch), np.uint64), np.zeros(len(batch), np.uint64), np.zeros(len(batch), np.int32), []
             for i, x in enumerate(batch.cast(pa.large_binary())):
-                counts, n, least = np.zeros(64, np.int64), 0, np.zeros(0, ">u8")
-                for hashes in shingle_hashes(x.as_buffer().to_pybytes() if x.is_valid else None, words_each, seed):
+                words = b" ".join((x.as_buffer().to_pybytes() if x.is_valid else b"").lower().split())
+                counts, n, parts = np.zeros(64, np.int64), 0, []
+                for hashes in shingle_hashes(words, words_each, seed):
                     counts, n = counts + _votes(hashes), n + len(hashes) // 8
-                    least = np.unique(np.concatenate([least, np.frombuffer(hashes, ">u8")]))[:SKETCH]
+                    parts.append(hashes)
+                found = np.unique(np.frombuffer(b"".join(parts), ">i8").astype(np.int64))
                 fps[i] = int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
-                votes[i] = counts / max(n, 1) - 0.5
-                sketches.append(least.astype(">u8").tobytes())
-            keys = probes(votes, fps)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1) * keys.shape[1], pa.int32()), pa.array(keys.reshape(-1)))
-            yield pa.StructArray.from_arrays([pa.array(fps.view(np.int64)), lists, pa.array(sketches, pa.binary())], names=["fp", "keys", "sketch"])
+                keys[i], sizes[i] = xxhash.xxh64_intdigest(words, seed + 1), len(found)
+                halves.append(found[np.searchsorted(found, 0) :])
+            yield pa.StructArray.from_arrays([pa.array(fps.view(np.int64)), pa.array(keys.view(np.int64)), pa.array(sizes), _lists(halves)], names=["fp", "key", "n", "half"])
 
     return docs.withColumn(out, of.asNondeterministic()(F.col(text)))
 
 
-def similar_links(classes: DataFrame) -> DataFrame:
-    """Links (fp, hub) between distinct fingerprints (fp, keys, sketch) of texts whose shingles are similar.
+def shingle_sets(texts: DataFrame, words_each: int, seed: int = 42) -> DataFrame:
+    """key and all distinct shingle hashes of each text (key, text)."""
+    prepare(texts.sparkSession)
+
+    @F.arrow_udf("array<bigint>")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield _lists([distinct_shingles(x.as_buffer().to_pybytes() if x.is_valid else None, words_each, seed) for x in batch.cast(pa.large_binary())])
+
+    return texts.select("key", of(F.col("text")).alias("shingles"))
+
+
+def _with_similar(prints: DataFrame, classes: DataFrame) -> DataFrame:
+    """The classes that may have a similar partner.
 
-    Near copies differ in up to WIDE_BITS bits, and mostly in bits that were hardly decided in either. Those that meet
-    under a probe key are linked to the smallest of them there, if the fingerprints' distance and the sketches allow it; a
-    key that thousands share gives a link each, not pairs.
+    A text of n shingles shares at least 4n/5 of them with any text of a similarity of 0.8, so at most n/5 are in no other
+    text. Half of all hash values are enough to see that most texts have more.
+    """
+    seen = prints.select("key", F.explode("half").alias("h")).groupBy("h").agg(F.min("key").alias("key"), F.max("key").alias("last"))
+    lone = seen.where("key = last").groupBy("key").agg(F.count("*").alias("lone"))
+    return classes.where("n > 0").join(lone, "key", "left").where("coalesce(lone, 0) <= n div 5").drop("lone")
+
+
+def _postings(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """h, key, fp and n of the shared shingles among the n/5 + 1 rarest of each text; similar texts have one of them in common.
+
+    Rarest means in the fewest of ``sets``, then the smallest hash. A shingle of one text only counts for its place but has no partner.
+    """
+    each = sets.select("key", F.explode("shingles").alias("h"))
+    shared = each.groupBy("h").agg(F.count("*").alias("texts")).where("texts > 1")
+    ranked = each.join(shared, "h").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("texts", "h"))).alias("common")).join(classes.select("key", "fp", "n"), "key")
+    kept = F.expr("slice(common, 1, greatest(0, cast(n div 5 as int) + 1 - (n - size(common))))")
+    return ranked.select("key", "fp", "n", F.explode(kept).alias("s")).select("s.h", "key", "fp", "n")
+
+
+def similar_roots(sets: DataFrame, classes: DataFrame, linked: DataFrame) -> DataFrame:
+    """(node, root) of the fingerprints over ``linked`` and over all pairs of texts with a shingle similarity of SIMILAR or more.
+
+    sets: key and all shingles; classes: key, fp and n of distinct texts. Only pairs of different components matter, so where
+    many texts share a rare shingle each is first held against one of them, another in each round, until that joins no
+    more or the pairs that are left are few; then all pairs left are compared.
     """
 
     @F.arrow_udf("double")
     def alike(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array([similarity(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
-
-    keyed = classes.select("fp", F.explode("keys").alias("key")).repartition("key")
-    hubs = keyed.groupBy("key").agg(F.min("fp").alias("hub"), F.max("fp").alias("last")).where("hub < last").select("key", "hub")
-    met = keyed.join(hubs, "key").where(F.col("fp") != F.col("hub")).select("fp", "hub")
-    near = met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("hub"))) <= WIDE_BITS).distinct()
-    one, two = classes.select("fp", F.col("sketch").alias("a")), classes.select(F.col("fp").alias("hub"), F.col("sketch").alias("b"))
-    return near.join(one, "fp").join(two, "hub").where(alike("a", "b") >= SIMILAR).select("fp", "hub")
+        return pa.array([similarity(np.asarray(x.values).tobytes(), np.asarray(y.values).tobytes()) for x, y in zip(a, b)], pa.float64())
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        one, two = sets.select("key", F.col("shingles").alias("a")), sets.select(F.col("key").alias("other"), F.col("shingles").alias("b"))
+        sure = pairs.distinct().join(one, "key").join(two, "other").where(alike("a", "b") >= SIMILAR)
+        return cut(sure.select("fp", F.col("other_fp").alias("hub")).distinct(), "similar")
+
+    close = "least(n, other_n) * 5L >= greatest(n, other_n) * 4L and comp <> other_comp"
+    postings = cut(_postings(sets, classes), "postings")
+    most = PAIRS_EACH * postings.count()
+    for k in range(HUB_ROUNDS + 1):
+        roots = components(linked)
+        placed = postings.join(roots, postings.fp == roots.node, "left").select("h", "key", "fp", "n", F.coalesce("root", "fp").alias("comp"))
+        counts = placed.groupBy("h", "comp").agg(F.count("*").alias("c")).groupBy("h").agg(F.sum("c").alias("rows"), F.sum(F.expr("c * c")).alias("same"), F.count("*").alias("comps"))
+        mixed = counts.where("comps > 1")
+        left = mixed.agg(F.sum(F.expr("(double(rows) * rows - same) / 2"))).first()[0] or 0
+        placed = cut(placed.join(mixed.select("h"), "h", "left_semi"), "placed")
+        if left <= most or k == HUB_ROUNDS:
+            break
+        hubs = placed.groupBy("h").agg(F.min_by(F.struct("key", "fp", "n", "comp"), F.xxhash64("key", F.lit(k))).alias("o"))
+        against = hubs.select("h", F.col("o.key").alias("other"), F.col("o.fp").alias("other_fp"), F.col("o.n").alias("other_n"), F.col("o.comp").alias("other_comp"))
+        more = verified(placed.join(against, "h").where(close).select("key", "fp", "other", "other_fp"))
+        if more.isEmpty():
+            break
+        linked = linked.union(more)
+    others = placed.select("h", F.col("key").alias("other"), F.col("fp").alias("other_fp"), F.col("n").alias("other_n"), F.col("comp").alias("other_comp"))
+    more = verified(placed.join(others, "h").where(close).where("key < other").select("key", "fp", "other", "other_fp"))
+    return components(linked.union(more)) if not more.isEmpty() else roots
 
 
 def representatives(docs: DataFrame, words_each: int = 5, seed: int = 42) -> DataFrame:
     """The rows of ``docs`` (doc_id, text and any others) without all but one of each near-duplicate group.
 
-    Groups are connected by the exact links of 2 bits and by the wider links of similar texts. The row with the smallest
-    doc_id stays, nulls last; rows equal in doc_id and text are one row.
+    Groups are connected by the exact links of 2 bits and by all pairs of texts whose shingles are similar. The row with the
+    smallest doc_id stays, nulls last; rows equal in doc_id and text are one row.
     """
     keyed = docs.withColumn("__text", F.xxhash64(F.coalesce("text", F.lit(""))))
     prints = cut(profiles(keyed.select("doc_id", "text", "__text"), words_each, seed).select("doc_id", "__text", "profile.*"), "profiles")
-    classes = cut(prints.groupBy("fp").agg(F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "classes")
-    linked = cut(links(classes.select("fp")).select("fp", "hub").union(similar_links(classes)), "links")
-    roots = components(linked)
+    classes = cut(prints.groupBy("key").agg(F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("__text").alias("source")), "classes")
+    linked = cut(links(classes.select("fp").distinct()).select("fp", "hub"), "links")
+    some = cut(_with_similar(prints, classes), "partners")
+    texts = keyed.select("text", "__text").join(some.select("key", "source"), F.col("__text") == F.col("source")).select("key", "text").dropDuplicates(["key"])
+    roots = similar_roots(cut(shingle_sets(texts, words_each, seed), "sets"), some, linked)
     rooted = prints.select("doc_id", "__text", "fp").join(roots, prints.fp == roots.node, "left").withColumn("group", F.coalesce("root", "fp"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__text")).alias("first")
     kept = rooted.groupBy("group").agg(first).select(F.col("first.doc_id").alias("kept_id"), F.col("first.__text").alias("kept_text"))
