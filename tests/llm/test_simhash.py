@@ -134,3 +134,17 @@ def test_pairs_just_above_and_below_the_similarity_are_told_apart(spark):
     assert sum(s < 0.86 for s in near) > 15 and len(near) < 60
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id for r in simhash.representatives(docs).collect()} == want
+
+
+def test_no_text_hides_copies_that_share_its_passage(spark, monkeypatch):
+    rng = random.Random(11)
+    passage = [f"p{k}" for k in range(60)]
+    texts = []
+    for g in range(50):
+        base = [f"{g}v{k}" for k in range(rng.randrange(10, 120))] + passage
+        texts += [" ".join(base[: round(len(base) * cut)]) for cut in (1, 0.9, 0.82)]
+    want, _ = plain_groups(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.representatives(docs).collect()} == want
+    monkeypatch.setattr(simhash, "PAIRS_EACH", 0, raising=False)  # hubs in rounds, then the rest
+    assert {r.doc_id for r in simhash.representatives(docs).collect()} == want
