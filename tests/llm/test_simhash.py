@@ -148,3 +148,22 @@ def test_no_text_hides_copies_that_share_its_passage(spark, monkeypatch):
     assert {r.doc_id for r in simhash.representatives(docs).collect()} == want
     monkeypatch.setattr(simhash, "PAIRS_EACH", 0, raising=False)  # hubs in rounds, then the rest
     assert {r.doc_id for r in simhash.representatives(docs).collect()} == want
+
+
+def test_similarity_counts_whole_sets():
+    import numpy as np
+
+    a, b = np.arange(1000, dtype=">u8"), np.arange(115, 1115, dtype=">u8")
+    assert simhash.similarity(a.tobytes(), b.tobytes()) == 885 / 1115
+
+
+def test_texts_below_the_similarity_are_not_dropped(spark):
+    rng = random.Random(2)
+    texts = []
+    for g in range(60):
+        base = [f"{g}w{rng.randrange(10**6)}" for _ in range(400)]
+        texts += [" ".join(base), " ".join(base[: rng.choice([305, 310, 315])])]
+    want, near = plain_groups(texts)
+    assert not near
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.representatives(docs).collect()} == want
