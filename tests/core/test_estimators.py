@@ -1,3 +1,4 @@
+import dataclasses
 import math
 
 import numpy as np
@@ -195,3 +196,20 @@ def test_outputs(spark, tmp_path):
     assert text == "Symbol,PIN\na,1.0\nb,NA\n"
     assert runs.union_by_name(frame, frame.select("Symbol")).count() == 4
     assert runs.output_dir("/x", "UK", "pin") == "/x/UK/pin"
+
+
+def test_windows_go_on_until_they_converge_or_say_so():
+    rng = np.random.default_rng(4)
+    days = panel(rng.poisson(4, 90), rng.poisson(5, 90))
+    buys, sells = (np.lib.stride_tricks.sliding_window_view(days[c].to_numpy(float), 60) for c in "BS")
+    for work, base, model in ((estimates.pin_windows, config.PinConfig(max_cycles=5), kernels.PIN), (estimates.apin_windows, config.ApinConfig(max_cycles=5), kernels.adjusted())):
+        out = work(days, base)
+        assert len(out) == 31 and set(out.skip_reason) == {"Success"}
+        p = out[list(model.names)].to_numpy(float)
+        _, now = kernels.step(model, p, buys, sells)
+        for _ in range(300):
+            p, _ = kernels.step(model, p, buys, sells)
+        assert (kernels.step(model, p, buys, sells)[1] - now).max() < 1e-3
+        cut = work(days, dataclasses.replace(base, last_cycles=5))
+        assert len(cut) == 31 and "Not_Converged" in set(cut.skip_reason)
+        assert cut[cut.skip_reason == "Not_Converged"][list(model.names)].isna().all(axis=None)

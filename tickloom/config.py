@@ -15,7 +15,7 @@ class Windows:
 
 @dataclass(frozen=True)
 class PinConfig:
-    """starts: EA, YZ or GWJ. slab: window ends that one task estimates together."""
+    """starts: EA, YZ or GWJ. slab: window ends that one task estimates together. last_cycles: after max_cycles, what still climbs goes on up to so many."""
 
     windows: Windows = Windows()
     starts: str = "EA"
@@ -23,6 +23,7 @@ class PinConfig:
     slab: int = 256
     max_cycles: int = 300
     tolerance: float = 1e-9
+    last_cycles: int = 5000
 
 
 @dataclass(frozen=True)
@@ -32,6 +33,7 @@ class ApinConfig:
     emit_skips: whether windows without an estimate give a row with the reason.
     tie_theta: shocks are equally likely on days with and without information.
     warm_extra: cluster starts added to a warm start.
+    last_cycles: after max_cycles, what still climbs goes on up to so many.
     """
 
     windows: Windows = Windows()
@@ -42,6 +44,7 @@ class ApinConfig:
     timeout_seconds: float = 120.0
     max_cycles: int = 80
     tolerance: float = 1e-8
+    last_cycles: int = 5000
 
 
 APIN_BASE = ApinConfig(emit_skips=False)

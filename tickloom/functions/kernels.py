@@ -89,12 +89,17 @@ def step(model: Model, p: np.ndarray, buys: np.ndarray, sells: np.ndarray) -> tu
     return model.clamp(np.concatenate([model.from_weights(days, p[:, : model.chances]), new_rates], axis=1)), likelihood
 
 
-def maximise(model: Model, start: np.ndarray, buys: np.ndarray, sells: np.ndarray, max_cycles: int, tolerance: float, deadline: float | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Parameters and log-likelihood that each row's start leads to; rows are independent."""
+def maximise(
+    model: Model, start: np.ndarray, buys: np.ndarray, sells: np.ndarray, max_cycles: int, tolerance: float, deadline: float | None = None, last_cycles: int = 0, unfinished: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Parameters and log-likelihood that each row's start leads to; rows are independent.
+
+    Rows that still climb after ``max_cycles`` go on up to ``last_cycles``; ``unfinished``, a boolean array, is set for those that climb even then.
+    """
     p = model.clamp(start.astype(float))
     best = np.full(len(p), -np.inf)
     live = np.arange(len(p))
-    for _ in range(max_cycles):
+    for _ in range(max(max_cycles, last_cycles)):
         if deadline is not None and time.monotonic() > deadline:
             raise OutOfTime
         if not len(live):
@@ -115,6 +120,9 @@ def maximise(model: Model, start: np.ndarray, buys: np.ndarray, sells: np.ndarra
         done = now - best[live] <= tolerance * (1 + np.abs(now))
         best[live] = np.maximum(now, best[live])
         live = live[~done]
+    if unfinished is not None:
+        unfinished[:] = False
+        unfinished[live] = True
     _, best = step(model, p, buys, sells)
     return p, best
 

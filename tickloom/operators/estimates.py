@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tickloom.config import ApinConfig, PinConfig
 from tickloom.functions import kernels, starts
 from tickloom.functions.shipping import ship
-from tickloom.schemas import APIN, EST_ERROR, LOW_VALID_DAYS, PIN, SUCCESS, TIMEOUT, names
+from tickloom.schemas import APIN, EST_ERROR, LOW_VALID_DAYS, NOT_CONVERGED, PIN, SUCCESS, TIMEOUT, names
 
 
 def _windows(days: pd.DataFrame, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -43,12 +43,15 @@ def pin_windows(days: pd.DataFrame, config: PinConfig) -> pd.DataFrame:
         owner.append(np.full(len(found), i))
     if first:
         owners = np.concatenate(owner)
-        p, likelihood = kernels.maximise(kernels.PIN, np.concatenate(first), buys[owners], sells[owners], config.max_cycles, config.tolerance)
+        climbing = np.zeros(len(owners), bool)
+        p, likelihood = kernels.maximise(kernels.PIN, np.concatenate(first), buys[owners], sells[owners], config.max_cycles, config.tolerance, None, config.last_cycles, climbing)
         measure = kernels.pin_of(p)
         likelihood = np.where(np.isfinite(measure) & np.isfinite(p).all(1), likelihood, -np.inf)
         order = np.lexsort((-likelihood, owners))
         best = order[np.unique(owners[order], return_index=True)[1]]
         best = best[np.isfinite(likelihood[best])]
+        reason[owners[best]] = NOT_CONVERGED
+        best = best[~climbing[best]]
         estimates[owners[best]] = np.column_stack([p[best], measure[best]])
         reason[owners[best]] = SUCCESS
     for k, name in enumerate(["a", "d", "u", "eb", "es", "PIN"]):
@@ -117,13 +120,17 @@ def apin_windows(days: pd.DataFrame, config: ApinConfig, clock=time.monotonic) -
             if config.tie_theta:
                 first[:, 3] = first[:, 2]
             days_b, days_s = np.tile(buys[i], (len(first), 1)), np.tile(sells[i], (len(first), 1))
-            p, likelihood = kernels.maximise(model, first, days_b, days_s, config.max_cycles, config.tolerance, deadline)
+            climbing = np.zeros(len(first), bool)
+            p, likelihood = kernels.maximise(model, first, days_b, days_s, config.max_cycles, config.tolerance, deadline, config.last_cycles, climbing)
             a, s = kernels.apin_psos(p)
             sound = np.isfinite(likelihood) & np.isfinite(p).all(1) & np.isfinite(a) & np.isfinite(s)
             if sound.any():
                 k = int(np.where(sound, likelihood, -np.inf).argmax())
-                estimate, reason = (*p[k].tolist(), float(a[k]), float(s[k])), SUCCESS
-                last = p[k]
+                if climbing[k]:
+                    reason = NOT_CONVERGED
+                else:
+                    estimate, reason = (*p[k].tolist(), float(a[k]), float(s[k])), SUCCESS
+                    last = p[k]
         except kernels.OutOfTime:
             reason = TIMEOUT
         except (FloatingPointError, np.linalg.LinAlgError, ValueError):

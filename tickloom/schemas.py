@@ -13,7 +13,7 @@ VPIN = "Symbol STRING, BucketNo INT, Date DATE, Starttime TIMESTAMP_NTZ, Endtime
 
 # The country codes of the tick folders, and the reasons that a window's row can carry.
 COUNTRIES = ("KOR", "US", "JP", "CA", "FR", "GR", "HK", "IT", "UK")
-SUCCESS, LOW_VALID_DAYS, EST_ERROR, TIMEOUT = "Success", "Low_Valid_Days", "Est_Error", "Timeout"
+SUCCESS, LOW_VALID_DAYS, EST_ERROR, TIMEOUT, NOT_CONVERGED = "Success", "Low_Valid_Days", "Est_Error", "Timeout", "Not_Converged"
 
 
 def names(schema: str) -> list[str]:
