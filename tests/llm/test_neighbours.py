@@ -59,3 +59,27 @@ def test_unusable_vectors_take_no_part(spark):
 def test_no_vectors(spark):
     usable = N.usable(spark.createDataFrame([], "vec_id long, embedding array<float>"))
     assert N.search(usable, usable).collect() == []
+
+
+def test_one_long_vector_hides_nothing(spark):
+    rng = np.random.default_rng(7)
+    vectors = rng.normal(size=(6000, 64))
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    vectors[1] *= 30
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    usable = N.usable(frame)
+    got = {}
+    for r in N.search(usable, usable.where("vec_id % 20 = 0")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = exact(range(6000), vectors, 20)
+    assert got.keys() == want.keys() and {len(v) for v in got.values()} == {20}
+    assert np.mean([len(got[q] & set(want[q])) / 20 for q in want]) >= 0.95
+
+
+def test_queries_short_of_candidates_are_held_against_all_vectors(spark):
+    vectors = np.random.default_rng(8).normal(size=(300, 64))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    usable = N.usable(frame)
+    rows = N.search(usable, usable.where("vec_id % 20 = 0"), probes=1, width=0.2, shard_rows=100).collect()
+    got = {q: [r.vec_id for r in sorted(rows, key=lambda r: r.rank) if r.query_id == q] for q in {r.query_id for r in rows}}
+    assert got == exact(range(300), vectors, 20)

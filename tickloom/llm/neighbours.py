@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by largest inner product: multiprobe p-stable hashing with exact reranking.
 
-Vectors are scaled by the largest norm and given one more component that makes their norm 1, queries are normalised, so
-that Euclidean order is the order of inner products. A table hashes a vector to the cells of K Gaussian projections of
+Vectors are dealt into bands of norms within a factor of two, scaled by the largest norm of their band and given one more
+component that makes their norm 1, queries are normalised, so that Euclidean order within a band is the order of inner
+products; every band is searched. A table hashes a vector to the cells of K Gaussian projections of
 width ``width``; a query visits its own bucket and then perturbed ones, in the order of the summed squared distances to
 the cell borders that they cross (their estimated success). Candidates of all tables are reranked by inner products in
 double precision on the original vectors.
@@ -11,8 +12,8 @@ which its queries visit, so that a common vector or dense cluster never lands in
 its queries with ``k`` candidates at most, which loses nothing of the final ``k``.
 
 Nulls and edge cases: vectors that are null, zero, hold a null or non-finite component or differ from the commonest
-length take no part, nor do rows without vec_id; rows that repeat a vec_id count once; ties go to the smaller vec_id; with fewer than ``k``
-candidates all that are found are returned; an empty table gives an empty result; other columns are ignored.
+length take no part, nor do rows without vec_id; rows that repeat a vec_id count once; ties go to the smaller vec_id; queries with
+fewer than ``k`` candidates are held against all vectors; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import prepare
+from tickloom.llm.common import cut, prepare
 
 
 @dataclass(frozen=True)
@@ -34,7 +35,7 @@ class Tables:
     """The hash functions, made anew from the seed wherever they are needed."""
 
     dims: int
-    scale: float
+    scales: tuple[float, ...]
     tables: int = 5
     projections: int = 4
     width: float = 1.2
@@ -44,13 +45,23 @@ class Tables:
         rng = np.random.default_rng(self.seed)
         return rng.normal(size=(self.dims + 1, self.tables * self.projections)), rng.uniform(0, self.width, self.tables * self.projections)
 
+    def bands(self, vectors: np.ndarray) -> np.ndarray:
+        """The band of each vector: the first of the ascending scales that its norm does not exceed."""
+        found = np.searchsorted(np.array(self.scales), np.linalg.norm(vectors, axis=1) * (1 - 1e-9))
+        return np.minimum(found, len(self.scales) - 1)
+
+    def buckets(self, vectors: np.ndarray) -> np.ndarray:
+        """Names of the bucket of each vector in each table, (rows, tables)."""
+        return names(np.floor(self.project(vectors, False)), self.bands(vectors)[:, None] * self.tables + np.arange(self.tables))
+
     def project(self, vectors: np.ndarray, queries: bool) -> np.ndarray:
         """Positions on each projection in cells, (rows, tables, projections)."""
         norms = np.linalg.norm(vectors, axis=1)
         if queries:
             lifted = np.column_stack([vectors / norms[:, None], np.zeros(len(vectors))])
         else:
-            lifted = np.column_stack([vectors / self.scale, np.sqrt(np.maximum(0, 1 - (norms / self.scale) ** 2))])
+            scale = np.array(self.scales)[self.bands(vectors)]
+            lifted = np.column_stack([vectors / scale[:, None], np.sqrt(np.maximum(0, 1 - (norms / scale) ** 2))])
         gauss, shift = self.functions()
         return ((lifted @ gauss + shift) / self.width).reshape(len(vectors), self.tables, self.projections)
 
@@ -122,15 +133,18 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, probes: int = 60
     """query_id, rank, vec_id and score of the ``k`` nearest found; both inputs are (vec_id, v) as from ``usable``."""
     spark = vectors.sparkSession
     prepare(spark)
-    known = vectors.agg(F.count("*").alias("n"), F.max(F.expr("sqrt(aggregate(v, 0d, (s, x) -> s + x * x))")).alias("norm"), F.max(F.size("v")).alias("dims")).first()
+    norm = F.expr("least(greatest(sqrt(aggregate(v, 0d, (s, x) -> s + x * x)), 1e-300D), 1e300D)")
+    known = vectors.agg(F.count("*").alias("n"), F.max(norm).alias("norm"), F.max(F.size("v")).alias("dims")).first()
     if not known.n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    hashing = Tables(known.dims, known.norm, tables, projections, width)
+    # Counted from the longest vector, so that equal norms are one band whatever their rounding; a double allows some 2,000 bands.
+    banded = vectors.select(norm.alias("norm")).groupBy(F.floor(F.log2(F.lit(known.norm)) - F.log2("norm") + 1e-9).alias("band")).agg(F.max("norm").alias("scale"))
+    hashing = Tables(known.dims, tuple(sorted(r.scale for r in banded.collect())), tables, projections, width)
     base = max(1, -(-tables * known.n // shard_rows))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = names(np.floor(hashing.project(_matrix(batch.column(0)), False)), np.arange(tables))
+            found = hashing.buckets(_matrix(batch.column(0)))
             buckets, n = np.unique(found, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(n)], names=["bucket", "n"])
 
@@ -142,7 +156,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, probes: int = 60
         parts = splits.value
         for batch in batches:
             ids = np.asarray(batch.column(0))
-            bucket = names(np.floor(hashing.project(_matrix(batch.column(1)), False)), np.arange(tables))
+            bucket = hashing.buckets(_matrix(batch.column(1)))
             part = np.array([[i % parts.get(b, 1) for b in row] for i, row in zip(ids.tolist(), bucket.tolist())], np.int64).reshape(bucket.shape)
             shard = _shard_of(bucket, part, base)
             rows = np.repeat(np.arange(len(ids)), tables)
@@ -158,7 +172,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, probes: int = 60
                 visits: dict[int, list[int]] = {}
                 for t in range(tables):
                     moved = cells[r, t].astype(np.int64) + perturbations(at[r, t] - cells[r, t], probes)
-                    for b in names(moved, t).tolist():
+                    for b in np.concatenate([names(moved, band * tables + t) for band in range(len(hashing.scales))]).tolist():
                         for part in range(parts.get(b, 1)):
                             s = int(_shard_of(np.array([b]), np.array([part]), base)[0])
                             visits.setdefault(s, []).append(b)
@@ -206,10 +220,23 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, probes: int = 60
 
     left = vectors.mapInArrow(dealt, "shard long, bucket long, vec_id long, v array<double>")
     right = queries.mapInArrow(asked, "shard long, buckets array<long>, query_id long, v array<double>")
-    best = left.groupBy("shard").cogroup(right.groupBy("shard")).applyInArrow(answer, "query_id long, vec_id long, score double")
-    merged = best.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    ranked = merged.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def ranked(left: DataFrame, right: DataFrame) -> DataFrame:
+        best = left.groupBy("shard").cogroup(right.groupBy("shard")).applyInArrow(answer, "query_id long, vec_id long, score double")
+        merged = best.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        places = merged.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+        return places.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    found = cut(ranked(left, right), "neighbours")
+    full = found.groupBy("query_id").agg(F.count("*").alias("c")).where(F.col("c") >= min(k, known.n)).select("query_id")
+    short = cut(queries.select(F.col("vec_id").alias("query_id"), "v").join(full, "query_id", "left_anti"), "short")
+    if short.isEmpty():
+        return found
+    # Queries with too few candidates are held against all vectors, block by block.
+    blocks = max(1, -(-known.n // shard_rows))
+    every = vectors.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("shard"), F.lit(0).cast("long").alias("bucket"), "vec_id", "v")
+    asking = short.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("shard"), F.array(F.lit(0).cast("long")).alias("buckets"), "query_id", "v")
+    return found.join(short.select("query_id"), "query_id", "left_anti").unionByName(ranked(every, asking))
 
 
 def _pick(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
