@@ -15,15 +15,14 @@ class Windows:
 
 @dataclass(frozen=True)
 class PinConfig:
-    """starts: EA, YZ or GWJ. slab: window ends that one task estimates together. last_cycles: after max_cycles, what still climbs goes on up to so many."""
+    """starts: EA, YZ or GWJ. slab: window ends that one task estimates together. cycles: what still climbs after so many has no estimate."""
 
     windows: Windows = Windows()
     starts: str = "EA"
     extra_clusters: int = 4
-    slab: int = 256
-    max_cycles: int = 300
+    slab: int = 512
+    cycles: int = 5000
     tolerance: float = 1e-9
-    last_cycles: int = 5000
 
 
 @dataclass(frozen=True)
@@ -33,7 +32,8 @@ class ApinConfig:
     emit_skips: whether windows without an estimate give a row with the reason.
     tie_theta: shocks are equally likely on days with and without information.
     warm_extra: cluster starts added to a warm start.
-    last_cycles: after max_cycles, what still climbs goes on up to so many.
+    cycles: what still climbs after so many has no estimate.
+    slab: window ends whose generated starts one task follows together.
     """
 
     windows: Windows = Windows()
@@ -42,9 +42,9 @@ class ApinConfig:
     warm_extra: int = 0
     fresh_starts: int = 20
     timeout_seconds: float = 120.0
-    max_cycles: int = 80
+    cycles: int = 5000
     tolerance: float = 1e-8
-    last_cycles: int = 5000
+    slab: int = 512
 
 
 APIN_BASE = ApinConfig(emit_skips=False)
@@ -55,10 +55,11 @@ APIN_WARM = ApinConfig(warm_extra=5)
 
 @dataclass(frozen=True)
 class VpinConfig:
-    """buckets: volume buckets of an average day. sample: buckets in one VPIN. trading_hours is accepted for other calculators and does not affect volume buckets."""
+    """min_ticks: ticks, two a bar, that an estimate needs. buckets: volume buckets of an average day. sample: buckets in one VPIN. trading_hours is accepted for other calculators and does not affect volume buckets."""
 
     bar: str = "1 minute"
     buckets: int = 50
     sample: int = 50
     min_bars: int = 500
+    min_ticks: int = 200
     trading_hours: float = 7.0

@@ -7,6 +7,7 @@ raises the likelihood; squared extrapolation speeds it up and gives way to the p
 
 from __future__ import annotations
 
+import functools
 import time
 from dataclasses import dataclass
 
@@ -15,11 +16,13 @@ import numpy as np
 RATE_FLOOR, CHANCE_FLOOR = 1e-8, 1e-10
 
 
-class OutOfTime(Exception):
-    """The deadline of an estimate has passed."""
+#: What became of a row: converged; still climbing after the last cycle; out of time; given up, as another start of its window is out of reach.
+CONVERGED, CLIMBING, LATE, BEATEN = 0, 1, 2, 3
+#: Cycles after which starts of a window are held against each other.
+RACE = 100
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class Model:
     """Chances come first among the parameters, rates after them. buy, sell: branch by rate, 1 where it takes part."""
 
@@ -29,31 +32,52 @@ class Model:
     sell: np.ndarray
     tied: bool = False
 
+    @functools.cached_property
+    def both(self) -> np.ndarray:
+        """Branch by rate of buys, then of sells."""
+        return np.concatenate([self.buy, self.sell])
+
+    @functools.cached_property
+    def shared(self) -> np.ndarray:
+        return self.buy + self.sell
+
     def clamp(self, p: np.ndarray) -> np.ndarray:
-        k = self.chances
-        return np.concatenate([np.clip(p[:, :k], CHANCE_FLOOR, 1 - CHANCE_FLOOR), np.maximum(p[:, k:], RATE_FLOOR)], axis=1)
+        k, out = self.chances, p.copy()
+        np.minimum(np.maximum(out[:, :k], CHANCE_FLOOR), 1 - CHANCE_FLOOR, out=out[:, :k])
+        np.maximum(out[:, k:], RATE_FLOOR, out=out[:, k:])
+        return out
 
     def weights(self, p: np.ndarray) -> np.ndarray:
         """Chance of each branch."""
         a, d = p[:, 0], p[:, 1]
+        news = np.empty((len(p), 3))
+        news[:, 0], news[:, 1], news[:, 2] = 1 - a, a * d, a * (1 - d)
         if self.chances == 2:
-            return np.stack([1 - a, a * d, a * (1 - d)], axis=1)
-        t, u = p[:, 2], p[:, 3]
-        return np.stack([(1 - a) * (1 - t), (1 - a) * t, a * d * (1 - u), a * d * u, a * (1 - d) * (1 - u), a * (1 - d) * u], axis=1)
+            return news
+        out = np.empty((len(p), 3, 2))
+        shock = p[:, [2, 3, 3]]
+        out[:, :, 0], out[:, :, 1] = news * (1 - shock), news * shock
+        return out.reshape(len(p), 6)
+
+    @functools.cached_property
+    def parts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each chance, the branches that it is the share of, and of which branches (branch by chance)."""
+        if self.chances == 2:
+            return np.array([[0, 0], [1, 1], [1, 0]], float), np.array([[1, 0], [1, 1], [1, 1]], float)
+        of, among = np.zeros((6, 4)), np.zeros((6, 4))
+        of[2:, 0], among[:, 0] = 1, 1
+        of[2:4, 1], among[2:, 1] = 1, 1
+        of[1, 2], among[:2, 2] = 1, 1
+        of[[3, 5], 3], among[2:, 3] = 1, 1
+        if self.tied:
+            of[1::2, 2:], among[:, 2:] = 1, 1
+        return of, among
 
     def from_weights(self, w: np.ndarray, old: np.ndarray) -> np.ndarray:
         """Chances from the days attributed to each branch; where nothing is attributed the old value stays."""
-        if self.chances == 2:
-            event, bad = w[:, 1] + w[:, 2], w[:, 1]
-            parts = [(event, w.sum(1)), (bad, event)]
-        else:
-            event, bad = w[:, 2:].sum(1), w[:, 2] + w[:, 3]
-            quiet, shocked = w[:, 0] + w[:, 1], w[:, 3] + w[:, 5]
-            parts = [(event, w.sum(1)), (bad, event), (w[:, 1], quiet), (shocked, event)]
-            if self.tied:
-                both = w[:, 1] + shocked
-                parts[2:] = [(both, w.sum(1))] * 2
-        return np.stack([np.divide(x, y, out=old[:, k].copy(), where=y > 0) for k, (x, y) in enumerate(parts)], axis=1)
+        of, among = self.parts
+        among = w @ among
+        return np.divide(w @ of, among, out=old.copy(), where=among > 0)
 
 
 # PIN: days without news, with bad news (more sells), with good news (more buys); rates mu, eps.b, eps.s.
@@ -69,62 +93,103 @@ def adjusted(tied: bool = False) -> Model:
     return Model(("a", "d", "t1", "t2", "ub", "us", "eb", "es", "pb", "ps"), 4, buy, sell, tied)
 
 
-def step(model: Model, p: np.ndarray, buys: np.ndarray, sells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The next parameters of each row, and the log-likelihood (without factorials) of the given ones."""
-    rates = p[:, model.chances :]
-    # einsum, unlike a matrix product, starts no threads of its own inside a Spark task
-    lam_b, lam_s = np.einsum("nr,kr->nk", rates, model.buy), np.einsum("nr,kr->nk", rates, model.sell)
-    const = np.log(model.weights(p)) - lam_b - lam_s
-    each = np.log(lam_b)[:, :, None] * buys[:, None, :] + np.log(lam_s)[:, :, None] * sells[:, None, :] + const[:, :, None]
+def collapsed(buys: np.ndarray, sells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct days of each window as (windows, 3, days) of buys, sells and ones, and how often each occurs; padded with days that occur never."""
+    n, length = buys.shape
+    order = np.lexsort((sells, buys), axis=1) if n else np.zeros((0, length), int)
+    b, s = np.take_along_axis(buys, order, 1), np.take_along_axis(sells, order, 1)
+    new = np.ones((n, length), bool)
+    new[:, 1:] = (b[:, 1:] != b[:, :-1]) | (s[:, 1:] != s[:, :-1])
+    place = np.cumsum(new, axis=1) - 1
+    most = int(place.max(initial=-1)) + 1
+    row = np.arange(n)[:, None]
+    times = np.bincount((row * most + place).ravel(), minlength=n * most).reshape(n, most).astype(float)
+    days = np.zeros((n, 3, most))
+    days[:, 2] = 1
+    days[np.broadcast_to(row, place.shape)[new], 0, place[new]] = b[new]
+    days[np.broadcast_to(row, place.shape)[new], 1, place[new]] = s[new]
+    return days, times
+
+
+def step(model: Model, p: np.ndarray, days: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The next parameters of each row, and the log-likelihood (without factorials) of the given ones; days and times as from ``collapsed``."""
+    rates, branches = p[:, model.chances :], len(model.buy)
+    lam = rates @ model.both.T
+    logs = np.log(lam)
+    terms = np.empty((len(p), branches, 3))
+    terms[:, :, 0], terms[:, :, 1] = logs[:, :branches], logs[:, branches:]
+    terms[:, :, 2] = np.log(model.weights(p)) - lam[:, :branches] - lam[:, branches:]
+    each = np.matmul(terms, days)
     top = each.max(1)
-    post = np.exp(each - top[:, None, :])
+    each -= top[:, None, :]
+    post = np.exp(each, out=each)
     total = post.sum(1)
-    likelihood = (top + np.log(total)).sum(1)
-    post /= total[:, None, :]
-    days = post.sum(2)
-    b, s = np.einsum("nkt,nt->nk", post, buys), np.einsum("nkt,nt->nk", post, sells)
-    counts = (np.einsum("nk,kr->nr", b / lam_b, model.buy) + np.einsum("nk,kr->nr", s / lam_s, model.sell)) * rates
-    held = np.einsum("nk,kr->nr", days, model.buy + model.sell)
-    new_rates = np.divide(counts, held, out=rates.copy(), where=held > 0)
-    return model.clamp(np.concatenate([model.from_weights(days, p[:, : model.chances]), new_rates], axis=1)), likelihood
+    likelihood = ((top + np.log(total)) * times).sum(1)
+    post *= (times / total)[:, None, :]
+    sums = np.matmul(post, days.transpose(0, 2, 1))
+    held = sums[:, :, 2]
+    counts = ((sums[:, :, :2].transpose(0, 2, 1).reshape(len(p), -1) / lam) @ model.both) * rates
+    owed = held @ model.shared
+    new_rates = np.divide(counts, owed, out=rates.copy(), where=owed > 0)
+    return model.clamp(np.concatenate([model.from_weights(held, p[:, : model.chances]), new_rates], axis=1)), likelihood
 
 
 def maximise(
-    model: Model, start: np.ndarray, buys: np.ndarray, sells: np.ndarray, max_cycles: int, tolerance: float, deadline: float | None = None, last_cycles: int = 0, unfinished: np.ndarray | None = None
-) -> tuple[np.ndarray, np.ndarray]:
-    """Parameters and log-likelihood that each row's start leads to; rows are independent.
-
-    Rows that still climb after ``max_cycles`` go on up to ``last_cycles``; ``unfinished``, a boolean array, is set for those that climb even then.
+    model: Model,
+    start: np.ndarray,
+    buys: np.ndarray,
+    sells: np.ndarray,
+    cycles: int,
+    tolerance: float,
+    owner: np.ndarray | None = None,
+    deadline: float | None = None,
+    patience: int = 10_000,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Parameters and log-likelihood that each row's start leads to, and what became of it (CONVERGED, CLIMBING, LATE, BEATEN).
+
+    owner: the window of each row, in ``buys`` and ``sells``; without it rows are windows. A start is given up once another
+    of its window is ahead by more than ``patience`` cycles would bring it at its present speed.
     """
+    owner = np.arange(len(start)) if owner is None else owner
+    days, times = collapsed(buys, sells)
     p = model.clamp(start.astype(float))
     best = np.full(len(p), -np.inf)
+    fate = np.full(len(p), CLIMBING, np.int8)
     live = np.arange(len(p))
-    for _ in range(max(max_cycles, last_cycles)):
-        if deadline is not None and time.monotonic() > deadline:
-            raise OutOfTime
+    d, t = days[owner], times[owner]
+    for k in range(cycles):
         if not len(live):
             break
-        b, s, p0 = buys[live], sells[live], p[live]
-        p1, _ = step(model, p0, b, s)
-        p2, l1 = step(model, p1, b, s)
+        if deadline is not None and time.monotonic() > deadline:
+            fate[live] = LATE
+            break
+        p0 = p[live]
+        p1, _ = step(model, p0, d, t)
+        p2, l1 = step(model, p1, d, t)
         r, v = p1 - p0, p2 - p1 - (p1 - p0)
-        length = np.linalg.norm(v, axis=1)
-        reach = np.minimum(-np.linalg.norm(r, axis=1) / np.where(length > 0, length, 1), -1)[:, None]
+        length = np.sqrt((v * v).sum(1))
+        reach = np.minimum(-np.sqrt((r * r).sum(1)) / np.where(length > 0, length, 1), -1)[:, None]
         far = model.clamp(p0 - 2 * reach * r + reach**2 * v)
         if model.tied:
             far[:, 3] = far[:, 2]
-        p3, far_l = step(model, far, b, s)
+        p3, far_l = step(model, far, d, t)
         good = np.isfinite(far_l) & (far_l >= l1)
         p[live] = np.where(good[:, None], p3, p2)
         now = np.where(good, far_l, l1)
-        done = now - best[live] <= tolerance * (1 + np.abs(now))
+        gain = now - best[live]
+        done = gain <= tolerance * (1 + np.abs(now))
         best[live] = np.maximum(now, best[live])
-        live = live[~done]
-    if unfinished is not None:
-        unfinished[:] = False
-        unfinished[live] = True
-    _, best = step(model, p, buys, sells)
-    return p, best
+        fate[live[done]] = CONVERGED
+        if k >= RACE and k % 20 == 0 and len(live) > 1:
+            ahead = np.full(len(days), -np.inf)
+            np.maximum.at(ahead, owner, np.where(np.isfinite(best), best, -np.inf))
+            beaten = ~done & (ahead[owner[live]] - best[live] > patience * gain)
+            fate[live[beaten]] = BEATEN
+            done |= beaten
+        if done.any():
+            live, d, t = live[~done], d[~done], t[~done]
+    _, best = step(model, p, days[owner], times[owner])
+    return p, best, fate
 
 
 def pin_of(p: np.ndarray) -> np.ndarray:

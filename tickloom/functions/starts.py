@@ -66,32 +66,52 @@ def pin_starts(kind: str, buys: np.ndarray, sells: np.ndarray, extra: int) -> np
     return found if len(found) else pin_gwj(buys, sells)
 
 
-def apin_starts(buys: np.ndarray, sells: np.ndarray, count: int) -> np.ndarray:
-    """``count`` deterministic starts: shocks are cut from the days' totals, news from their imbalances, at several levels."""
-    total, gap = buys + sells, buys - sells
+def _apin(buys: np.ndarray, sells: np.ndarray, bad: np.ndarray, good: np.ndarray, shocked: np.ndarray) -> list[float]:
+    event, calm = bad | good, ~shocked
+    eb = max(_mean(buys, calm & ~good, buys.mean()), 1e-2)
+    es = max(_mean(sells, calm & ~bad, sells.mean()), 1e-2)
+    return [
+        np.clip(event.mean(), 0.02, 0.98),
+        np.clip(bad.sum() / max(event.sum(), 1), 0.02, 0.98),
+        np.clip(_mean(shocked.astype(float), ~event, shocked.mean()), 0.02, 0.98),
+        np.clip(_mean(shocked.astype(float), event, shocked.mean()), 0.02, 0.98),
+        max(_mean(buys, good & calm, buys.mean()) - eb, 1e-2),
+        max(_mean(sells, bad & calm, sells.mean()) - es, 1e-2),
+        eb,
+        es,
+        max(_mean(buys, shocked & ~good, buys.mean()) - eb, 1e-2),
+        max(_mean(sells, shocked & ~bad, sells.mean()) - es, 1e-2),
+    ]
+
+
+def _upper(values: np.ndarray, parts: int, top: int) -> np.ndarray:
+    """Whether each value is in the ``top`` uppermost of ``parts`` clusters; no value is where all are equal."""
+    label = clusters(values, min(parts, len(np.unique(values))))
+    return label > max(label.max() - top, 0) if label.max() else np.zeros(len(values), bool)
+
+
+def apin_starts(buys: np.ndarray, sells: np.ndarray, count: int, extra: int = 4) -> np.ndarray:
+    """At most ``count`` starts from clusters of the days.
+
+    The days fall into 3 + ``extra`` complete-linkage clusters by imbalance. Each pair of cuts between them tells bad news, none
+    and good news apart; of each of the three, the days in the upper of two clusters by their totals are shocked. Balanced cuts come
+    first. Where there are fewer than ``count``, the cuts follow once more with the upper one of three clusters as shocked.
+    """
+    gap, total = buys - sells, buys + sells
+    label = clusters(gap, min(3 + extra, len(np.unique(gap))))
+    most = int(label.max())
+    cuts = [(i, j) for i in range(0, most + 1) for j in range(i + 1, most + 2) if (i, j) != (0, most + 1) or not most]
+    middle = (most + 1) / 2
+    cuts.sort(key=lambda c: (abs(c[0] + c[1] - 2 * middle), abs(c[1] - c[0] - (most + 1) / 3), c))
     out = []
-    news_levels = (0.3, 0.5, 0.15, 0.7, 0.4)
-    shock_levels = (0.3, 0.15, 0.5, 0.7)
-    for k in range(max(count, 1)):
-        news, shock = news_levels[k % 5], shock_levels[(k // 5 + k) % 4]
-        shocked = total > np.quantile(total, 1 - shock)
-        event = np.abs(gap) > np.quantile(np.abs(gap), 1 - news)
-        bad, good = event & (gap < 0), event & (gap >= 0)
-        calm = ~shocked
-        eb = max(_mean(buys, calm & ~good, buys.mean()), 1e-2)
-        es = max(_mean(sells, calm & ~bad, sells.mean()), 1e-2)
-        out.append(
-            [
-                np.clip(event.mean(), 0.02, 0.98),
-                np.clip(bad.sum() / max(event.sum(), 1), 0.02, 0.98),
-                np.clip(_mean(shocked.astype(float), ~event, shock), 0.02, 0.98),
-                np.clip(_mean(shocked.astype(float), event, shock), 0.02, 0.98),
-                max(_mean(buys, good & calm, buys.mean()) - eb, 1e-2),
-                max(_mean(sells, bad & calm, sells.mean()) - es, 1e-2),
-                eb,
-                es,
-                max(_mean(buys, shocked & ~good, buys.mean()) - eb, 1e-2),
-                max(_mean(sells, shocked & ~bad, sells.mean()) - es, 1e-2),
-            ]
-        )
+    for parts, top in ((2, 1), (3, 1)):
+        for i, j in cuts:
+            if len(out) == max(count, 1):
+                break
+            bad, good = label < i, label >= j
+            shocked = np.zeros(len(buys), bool)
+            for layer in (bad, good, ~(bad | good)):
+                if layer.any():
+                    shocked[layer] = _upper(total[layer], parts, top)
+            out.append(_apin(buys, sells, bad, good, shocked))
     return np.maximum(np.array(out), RATE_FLOOR)

@@ -2,12 +2,17 @@
 
 Windows of PIN do not depend on each other: a symbol's dates are cut into slabs that overlap by a window, so that one long
 series is estimated by many tasks. AdjPIN starts each window from the last estimate of the same symbol and is sequential by
-definition; its unit of work is a symbol.
+definition: a symbol stays in one task, and the symbols of a task advance together, one window of each at a time. Starts that
+do not depend on the last estimate are followed beforehand, in slabs like those of PIN.
+
+Nulls and edge cases: a symbol with fewer days than a window has no rows; windows with too few days with trades have a reason and
+no estimate; whatever goes wrong with a window is its own reason and stops no other window or symbol; an empty panel gives an empty result.
 """
 
 from __future__ import annotations
 
 import time
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,7 +22,12 @@ from pyspark.sql import functions as F
 from tickloom.config import ApinConfig, PinConfig
 from tickloom.functions import kernels, starts
 from tickloom.functions.shipping import ship
-from tickloom.schemas import APIN, EST_ERROR, LOW_VALID_DAYS, NOT_CONVERGED, PIN, SUCCESS, TIMEOUT, names
+from tickloom.functions.store import cut, dealt
+from tickloom.schemas import APIN, EST_ERROR, GUESS, LOW_VALID_DAYS, NOT_CONVERGED, PIN, SUCCESS, TIMEOUT, names
+
+#: Symbols of a task that advance together.
+TOGETHER = 64
+_WHY = {kernels.CLIMBING: NOT_CONVERGED, kernels.LATE: TIMEOUT}
 
 
 def _windows(days: pd.DataFrame, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -25,6 +35,42 @@ def _windows(days: pd.DataFrame, length: int) -> tuple[np.ndarray, np.ndarray]:
     return view(days.B.to_numpy(float), length), view(days.S.to_numpy(float), length)
 
 
+def best_of(kernel: kernels.Model, generate: Callable, measures: Callable, buys: np.ndarray, sells: np.ndarray, which: np.ndarray, config, deadline: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Parameters, log-likelihood and fate of the best start of the windows ``which``; minus infinity where none has a sound end.
+
+    generate: the starts of a window. A window whose starts cannot be made has none; all others are followed at once.
+    """
+    first, owner = [], []
+    for k, i in enumerate(which):
+        try:
+            found = generate(buys[i], sells[i])
+        except Exception:  # noqa: BLE001 - whatever is wrong with one window stays with it
+            continue
+        first.append(found)
+        owner.append(np.full(len(found), k))
+    p, likelihood, fate = np.full((len(which), len(kernel.names)), np.nan), np.full(len(which), -np.inf), np.full(len(which), kernels.CONVERGED, np.int8)
+    if not first:
+        return p, likelihood, fate
+    owners = np.concatenate(owner)
+    ends, reached, became = kernels.maximise(kernel, np.concatenate(first), buys[which], sells[which], config.cycles, config.tolerance, owners, deadline)
+    sound = np.isfinite(reached) & np.isfinite(ends).all(1) & np.isfinite(measures(ends)).all(1)
+    reached = np.where(sound, reached, -np.inf)
+    order = np.lexsort((-reached, owners))
+    best = order[np.unique(owners[order], return_index=True)[1]]
+    p[owners[best]], likelihood[owners[best]], fate[owners[best]] = ends[best], reached[best], became[best]
+    late = np.unique(owners[became == kernels.LATE])
+    fate[late] = kernels.LATE
+    return p, likelihood, fate
+
+
+def _pin_measure(p: np.ndarray) -> np.ndarray:
+    return kernels.pin_of(p)[:, None]
+
+
+def _apin_measures(p: np.ndarray) -> np.ndarray:
+    return np.column_stack(kernels.apin_psos(p))
+
+
 def pin_windows(days: pd.DataFrame, config: PinConfig) -> pd.DataFrame:
     """PIN of each full window of one symbol's consecutive days (Symbol, Date, B, S, in order)."""
     length = config.windows.length
@@ -36,47 +82,37 @@ def pin_windows(days: pd.DataFrame, config: PinConfig) -> pd.DataFrame:
     estimates = np.full((len(buys), 6), np.nan)
     reason = np.where(valid < config.windows.min_valid, LOW_VALID_DAYS, EST_ERROR).astype(object)
     todo = np.flatnonzero(valid >= config.windows.min_valid)
-    first, owner = [], []
-    for i in todo:
-        found = starts.pin_starts(config.starts, buys[i], sells[i], config.extra_clusters)
-        first.append(found)
-        owner.append(np.full(len(found), i))
-    if first:
-        owners = np.concatenate(owner)
-        climbing = np.zeros(len(owners), bool)
-        p, likelihood = kernels.maximise(kernels.PIN, np.concatenate(first), buys[owners], sells[owners], config.max_cycles, config.tolerance, None, config.last_cycles, climbing)
-        measure = kernels.pin_of(p)
-        likelihood = np.where(np.isfinite(measure) & np.isfinite(p).all(1), likelihood, -np.inf)
-        order = np.lexsort((-likelihood, owners))
-        best = order[np.unique(owners[order], return_index=True)[1]]
-        best = best[np.isfinite(likelihood[best])]
-        reason[owners[best]] = NOT_CONVERGED
-        best = best[~climbing[best]]
-        estimates[owners[best]] = np.column_stack([p[best], measure[best]])
-        reason[owners[best]] = SUCCESS
+    p, likelihood, fate = best_of(kernels.PIN, lambda b, s: starts.pin_starts(config.starts, b, s, config.extra_clusters), _pin_measure, buys, sells, todo, config)
+    found = np.isfinite(likelihood)
+    good = found & (fate == kernels.CONVERGED)
+    reason[todo[found & ~good]] = NOT_CONVERGED
+    estimates[todo[good]] = np.column_stack([p[good], _pin_measure(p[good])])
+    reason[todo[good]] = SUCCESS
     for k, name in enumerate(["a", "d", "u", "eb", "es", "PIN"]):
         out[name] = estimates[:, k]
     out["skip_reason"] = reason
     return out.astype(object).where(out.notna(), None)
 
 
-def pin(dense: DataFrame, config: PinConfig = PinConfig()) -> DataFrame:
-    """One row for each full window: the estimate, or nulls and the reason why there is none."""
-    ship(dense.sparkSession)
-    length, slab = config.windows.length, config.slab
+def in_slabs(dense: DataFrame, work: Callable, length: int, slab: int, schema: str) -> DataFrame:
+    """``work`` on each stretch of a symbol's days that holds ``slab`` window ends, dealt over tasks; one row for each window."""
     # The last length-1 days before a slab's first window end belong to that slab as well.
     numbered = dense.withColumn("n", F.row_number().over(Window.partitionBy("Symbol").orderBy("Date")) - 1)
     own, ahead = F.floor(F.col("n") / slab), F.floor((F.col("n") + length - 1) / slab)
-    spread = numbered.withColumn("slab", F.explode(F.sequence(own, ahead)))
+    spread = cut(numbered.withColumn("slab", F.explode(F.sequence(own, ahead))), "slabs")
 
-    def work(key: tuple, days: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, days: pd.DataFrame) -> pd.DataFrame:
         days = days.sort_values("n")
-        first = int(key[1]) * slab
-        found = pin_windows(days, config)
-        ends = days.n.to_numpy()[length - 1 :]
-        return found[ends >= first] if len(found) else found
+        found = work(days)
+        return found[days.n.to_numpy()[length - 1 :] >= int(key[1]) * slab] if len(found) else found
+
+    return dealt(spread, "Symbol", "slab").groupBy("Symbol", "slab").applyInPandas(one, schema)
+
 
-    return spread.groupBy("Symbol", "slab").applyInPandas(work, PIN)
+def pin(dense: DataFrame, config: PinConfig = PinConfig()) -> DataFrame:
+    """One row for each full window: the estimate, or nulls and the reason why there is none."""
+    ship(dense.sparkSession)
+    return in_slabs(dense, lambda days: pin_windows(days, config), config.windows.length, config.slab, PIN)
 
 
 def warm_start(last: np.ndarray, config: ApinConfig) -> np.ndarray:
@@ -87,69 +123,141 @@ def warm_start(last: np.ndarray, config: ApinConfig) -> np.ndarray:
     return start[None, :]
 
 
-def apin_windows(days: pd.DataFrame, config: ApinConfig, clock=time.monotonic) -> pd.DataFrame:
-    """AdjPIN of each full window of one symbol, each started from the last success.
+def _generated(count: int, config: ApinConfig) -> Callable:
+    def make(buys: np.ndarray, sells: np.ndarray) -> np.ndarray:
+        found = starts.apin_starts(buys, sells, count)
+        if config.tie_theta:
+            found[:, 3] = found[:, 2]
+        return found
 
-    A window with too few days with trades leaves the last estimate in place; a failure forgets it.
-    """
+    return make
+
+
+def apin_guesses(days: pd.DataFrame, config: ApinConfig) -> pd.DataFrame:
+    """Where the generated starts of each window with enough valid days lead: the best one's parameters, log-likelihood and fate."""
     length = config.windows.length
-    model = kernels.adjusted(config.tie_theta)
     if len(days) < length:
-        return pd.DataFrame(columns=names(APIN))
+        return pd.DataFrame(columns=names(GUESS))
     buys, sells = _windows(days, length)
-    valid = (buys + sells > 0).sum(1)
-    dates, symbol = days.Date.to_numpy()[length - 1 :], days.Symbol.iloc[0]
-    rows: list[tuple] = []
-    last: np.ndarray | None = None
+    todo = np.flatnonzero((buys + sells > 0).sum(1) >= config.windows.min_valid)
+    deadline = time.monotonic() + config.timeout_seconds * len(todo)
+    p, likelihood, fate = best_of(kernels.adjusted(config.tie_theta), _generated(config.warm_extra, config), _apin_measures, buys, sells, todo, config, deadline)
+    guesses = np.full((len(buys), 10), np.nan)
+    reached, became = np.full(len(buys), -np.inf), np.zeros(len(buys), int)
+    guesses[todo], reached[todo], became[todo] = p, likelihood, fate
+    return pd.DataFrame({"Symbol": days.Symbol.iloc[0], "Date": days.Date.to_numpy()[length - 1 :], "guess": list(guesses), "reached": reached, "fate": became})
+
+
+class _Series:
+    """One symbol on its way through its windows."""
+
+    def __init__(self, days: pd.DataFrame, config: ApinConfig):
+        length = config.windows.length
+        self.symbol, self.dates = days.Symbol.iloc[0], days.Date.to_numpy()[length - 1 :]
+        self.buys, self.sells = _windows(days, length)
+        self.valid = (self.buys + self.sells > 0).sum(1)
+        self.last: np.ndarray | None = None
+        self.rows: list[tuple] = []
+        self.guesses = None
+        if config.warm_extra:
+            if "guess" not in days:
+                days = days.merge(apin_guesses(days, config), on=["Symbol", "Date"], how="left")
+            self.guesses = days[["guess", "reached", "fate"]].iloc[length - 1 :].reset_index(drop=True)
+
+    def guess(self, i: int) -> tuple[np.ndarray, float, int] | None:
+        """What the generated starts of window ``i`` have led to, where they have led to anything."""
+        if self.guesses is None or not np.isfinite(self.guesses.reached[i]):
+            return None
+        return np.asarray(self.guesses.guess[i], float), float(self.guesses.reached[i]), int(self.guesses.fate[i])
+
+
+def _advance(series: list[_Series], i: int, config: ApinConfig, clock: Callable) -> list[tuple[str, np.ndarray | None]]:
+    """Reason and estimate of window ``i`` of each series."""
+    buys, sells = np.stack([s.buys[i] for s in series]), np.stack([s.sells[i] for s in series])
+    fresh, warm = iter(series), _generated(config.fresh_starts, config)
+
+    def generate(b: np.ndarray, s: np.ndarray) -> np.ndarray:
+        last = next(fresh).last
+        return warm(b, s) if last is None else warm_start(last, config)
+
+    # Windows that advance together share the sum of their time limits.
+    deadline = clock() + config.timeout_seconds * len(series)
+    p, reached, fate = best_of(kernels.adjusted(config.tie_theta), generate, _apin_measures, buys, sells, np.arange(len(series)), config, deadline)
+    out = []
+    for k, one in enumerate(series):
+        best, height, end = p[k], reached[k], int(fate[k])
+        other = one.guess(i) if one.last is not None else None
+        if other is not None and end != kernels.LATE and (other[2] == kernels.LATE or other[1] > height):
+            best, height, end = other
+        if end == kernels.LATE:
+            out.append((TIMEOUT, None))
+        elif not np.isfinite(height):
+            out.append((EST_ERROR, None))
+        else:
+            out.append((_WHY.get(end, SUCCESS), best if end not in _WHY else None))
+    return out
+
+
+def apin_series(frames: list[pd.DataFrame], config: ApinConfig, clock: Callable = time.monotonic) -> pd.DataFrame:
+    """AdjPIN of each full window of several symbols (the days of each, in order), each window started from the symbol's last success.
+
+    A window with too few days with trades leaves the last estimate in place; a failure forgets it.
+    """
+    series = [_Series(days, config) for days in frames if len(days) >= config.windows.length]
     nothing = (None,) * 12
-    for i in range(len(buys)):
-        head = (symbol, dates[i], int(valid[i]))
-        if valid[i] < config.windows.min_valid:
-            if config.emit_skips:
-                rows.append((*head, *nothing, LOW_VALID_DAYS))
+    for i in range(max((len(s.valid) for s in series), default=0)):
+        ready = []
+        for s in series:
+            if i < len(s.valid):
+                if s.valid[i] >= config.windows.min_valid:
+                    ready.append(s)
+                elif config.emit_skips:
+                    s.rows.append((s.symbol, s.dates[i], int(s.valid[i]), *nothing, LOW_VALID_DAYS))
+        if not ready:
             continue
-        deadline = clock() + config.timeout_seconds
-        reason, estimate = EST_ERROR, None
         try:
-            if last is None:
-                first = starts.apin_starts(buys[i], sells[i], config.fresh_starts)
-            else:
-                first = warm_start(last, config)
-                if config.warm_extra:
-                    first = np.vstack([first, starts.apin_starts(buys[i], sells[i], config.warm_extra)])
-            if config.tie_theta:
-                first[:, 3] = first[:, 2]
-            days_b, days_s = np.tile(buys[i], (len(first), 1)), np.tile(sells[i], (len(first), 1))
-            climbing = np.zeros(len(first), bool)
-            p, likelihood = kernels.maximise(model, first, days_b, days_s, config.max_cycles, config.tolerance, deadline, config.last_cycles, climbing)
-            a, s = kernels.apin_psos(p)
-            sound = np.isfinite(likelihood) & np.isfinite(p).all(1) & np.isfinite(a) & np.isfinite(s)
-            if sound.any():
-                k = int(np.where(sound, likelihood, -np.inf).argmax())
-                if climbing[k]:
-                    reason = NOT_CONVERGED
-                else:
-                    estimate, reason = (*p[k].tolist(), float(a[k]), float(s[k])), SUCCESS
-                    last = p[k]
-        except kernels.OutOfTime:
-            reason = TIMEOUT
-        except (FloatingPointError, np.linalg.LinAlgError, ValueError):
-            reason = EST_ERROR
-        if estimate is None:
-            last = None
-            if config.emit_skips:
-                rows.append((*head, *nothing, reason))
-        else:
-            rows.append((*head, *estimate, reason))
-    return pd.DataFrame(rows, columns=names(APIN)).astype(object)
+            found = _advance(ready, i, config, clock)
+        except Exception:  # noqa: BLE001 - one window at a time, so that only the one at fault is without estimate
+            found = []
+            for s in ready:
+                try:
+                    found += _advance([s], i, config, clock)
+                except Exception:  # noqa: BLE001
+                    found.append((EST_ERROR, None))
+        for s, (reason, best) in zip(ready, found):
+            s.last = best
+            head = (s.symbol, s.dates[i], int(s.valid[i]))
+            if best is not None:
+                s.rows.append((*head, *best.tolist(), *_apin_measures(best[None])[0].tolist(), reason))
+            elif config.emit_skips:
+                s.rows.append((*head, *nothing, reason))
+    return pd.DataFrame([row for s in series for row in s.rows], columns=names(APIN)).astype(object)
+
+
+def apin_windows(days: pd.DataFrame, config: ApinConfig, clock: Callable = time.monotonic) -> pd.DataFrame:
+    """``apin_series`` of one symbol."""
+    return apin_series([days], config, clock)
 
 
 def apin(dense: DataFrame, config: ApinConfig = ApinConfig()) -> DataFrame:
     """AdjPIN and PSOS of the rolling windows; with ``emit_skips`` off there is no reason column and no row without estimate."""
     ship(dense.sparkSession)
+    panel = cut(dense, "panel")
+    if config.warm_extra:
+        guesses = in_slabs(panel, lambda days: apin_guesses(days, config), config.windows.length, config.slab, GUESS)
+        panel = cut(panel.join(guesses, ["Symbol", "Date"], "left"), "guesses")
 
-    def work(days: pd.DataFrame) -> pd.DataFrame:
-        return apin_windows(days.sort_values("Date"), config)
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for batch in batches:
+            rest = batch if rest is None else pd.concat([rest, batch])
+            # The days of a symbol are together, so all symbols but the last one are whole.
+            if rest.Symbol.nunique() > TOGETHER:
+                whole = rest[rest.Symbol != rest.Symbol.iloc[-1]]
+                yield apin_series([days for _, days in whole.groupby("Symbol", sort=False)], config)
+                rest = rest[rest.Symbol == rest.Symbol.iloc[-1]]
+        if rest is not None and len(rest):
+            yield apin_series([days for _, days in rest.groupby("Symbol", sort=False)], config)
 
-    found = dense.groupBy("Symbol").applyInPandas(work, APIN)
+    found = dealt(panel, "Symbol", each=TOGETHER).sortWithinPartitions("Symbol", "Date").mapInPandas(work, APIN)
     return found if config.emit_skips else found.drop("skip_reason")

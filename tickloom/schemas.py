@@ -9,6 +9,7 @@ DENSE = "Symbol STRING, Date DATE, B INT, S INT"
 BARS = "Symbol STRING, Datetime TIMESTAMP_NTZ, Open DOUBLE, Close DOUBLE, Volume DOUBLE"
 PIN = "Symbol STRING, Date DATE, valid_days INT, a DOUBLE, d DOUBLE, u DOUBLE, eb DOUBLE, es DOUBLE, PIN DOUBLE, skip_reason STRING"
 APIN = "Symbol STRING, Date DATE, valid_days INT, a DOUBLE, d DOUBLE, t1 DOUBLE, t2 DOUBLE, ub DOUBLE, us DOUBLE, eb DOUBLE, es DOUBLE, pb DOUBLE, ps DOUBLE, APIN DOUBLE, PSOS DOUBLE, skip_reason STRING"
+GUESS = "Symbol STRING, Date DATE, guess ARRAY<DOUBLE>, reached DOUBLE, fate INT"
 VPIN = "Symbol STRING, BucketNo INT, Date DATE, Starttime TIMESTAMP_NTZ, Endtime TIMESTAMP_NTZ, AggBuyVol DOUBLE, AggSellVol DOUBLE, AOI DOUBLE, VPIN DOUBLE"
 
 # The country codes of the tick folders, and the reasons that a window's row can carry.
