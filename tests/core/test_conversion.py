@@ -10,10 +10,10 @@ from tickloom.sources import ticks
 
 
 def test_worked_conversion_example(spark):
-    raw = spark.createDataFrame([(20836.5, 34300.914478218, " \t258540 ", -1.0, 16950.0, 2.0, "x"), (None, None, "nan", None, None, None, None), (None, None, None, float("nan"), 1.0, 1.0, None)], "Date double, Time double, Symbol string, LR double, Price double, Volume double, Note string")
+    raw = spark.createDataFrame([(20836.5, 34300.914478218, " \t258540 ", -1.0, 16950.0, 2.0, "x"), (None, None, "nan", None, None, None, None), (float("nan"), float("nan"), None, float("nan"), 1.0, 1.0, None)], "Date double, Time double, Symbol string, LR double, Price double, Volume double, Note string")
     first, second, third = ticks.convert_raw(raw).collect()
     assert (first.Date, first.Time, first.Symbol, first.LR, first.Note) == (dt.date(2017, 1, 17), 34300914478218, "258540", -1, "x")
-    assert tuple(second) == (None,) * 7 and third.LR is None and third.Symbol is None
+    assert tuple(second) == (None,) * 7 and (third.Date, third.Time, third.LR, third.Symbol) == (None,) * 4
     assert ticks.convert_raw(raw).columns == raw.columns
 
 
@@ -81,3 +81,43 @@ def test_streamed_bars_equal_batch_bars(spark, tmp_path):
     got = {(r.Datetime, r.Open, r.Close) for r in spark.table("live").collect()}
     want = {(r.Datetime, r.Open, r.Close) for r in bars.time_bars(frame).collect()}
     assert got <= want and len(got) >= 4
+
+
+STUB = """
+import pandas as pd
+from types import SimpleNamespace
+
+def read_sas7bdat(path, metadataonly=False, **_):
+    assert metadataonly
+    return None, SimpleNamespace(column_names=["Symbol", "Date", "LR"], readstat_variable_types={"Symbol": "string", "Date": "double", "LR": "double"})
+
+def read_file_in_chunks(reader, path, chunksize, disable_datetime_conversion):
+    assert reader is read_sas7bdat and disable_datetime_conversion
+    rows = pd.DataFrame({"LR": [1.0, float("nan"), -1.0], "Date": [20836.0, float("nan"), 20837.0], "Symbol": [" a", None, "nan"]})
+    rows = rows.drop(columns="LR") if path.endswith("b") else rows
+    for k in range(0, len(rows), chunksize):
+        yield rows.iloc[k : k + chunksize], None
+"""
+
+
+def test_exports_are_read_by_name_and_missing_numbers_are_null(spark, tmp_path, monkeypatch):
+    (tmp_path / "pyreadstat.py").write_text(STUB)
+    monkeypatch.syspath_prepend(str(tmp_path))
+    spark.sparkContext.addPyFile(str(tmp_path / "pyreadstat.py"))
+    spark.dataSource.register(ticks.sas_source())
+    raw = spark.read.format("sas7bdat").option("path", "/a,/b").option("chunksize", "2").load()
+    assert raw.columns == ["Symbol", "Date", "LR"]
+    rows = [tuple(r) for r in ticks.convert_raw(raw).collect()]
+    assert rows[:3] == [("a", dt.date(2017, 1, 17), 1), (None, None, None), (None, dt.date(2017, 1, 18), -1)]
+    assert rows[3:] == [("a", dt.date(2017, 1, 17), None), (None, None, None), (None, dt.date(2017, 1, 18), None)]
+
+
+def test_zones(spark):
+    frame = spark.createDataFrame([(dt.datetime(2020, 1, 2, 3, 0),)], "t timestamp_ntz")
+    utc = bars.to_utc("t", "Asia/Seoul")
+    assert frame.select(utc.alias("u"), bars.date_in(utc, "Asia/Seoul").alias("d")).first() == (dt.datetime(2020, 1, 1, 18, 0), dt.date(2020, 1, 2))
+
+
+def test_bars_in_order(spark):
+    rows = [(s, dt.datetime(2020, 1, 2, 9, m)) for m in (3, 1, 2) for s in "ba"]
+    assert [tuple(r) for r in bars.in_order(spark.createDataFrame(rows, "Symbol string, Datetime timestamp_ntz")).collect()] == sorted(rows)

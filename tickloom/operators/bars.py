@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -11,6 +11,16 @@ def tick_datetime(date: str = "Date", time_ns: str = "Time") -> Column:
     return F.expr(f"to_timestamp_ntz({date}) + make_dt_interval(0, 0, 0, CAST({time_ns} div 1000 AS DECIMAL(18,0)) / 1000000)")
 
 
+def to_utc(local: str | Column, zone: str) -> Column:
+    """A timestamp without zone that is local to ``zone``, in UTC."""
+    return F.convert_timezone(F.lit(zone), F.lit("UTC"), local)
+
+
+def date_in(utc: str | Column, zone: str) -> Column:
+    """The date in ``zone`` at a timestamp without zone in UTC."""
+    return F.to_date(F.convert_timezone(F.lit("UTC"), F.lit(zone), utc))
+
+
 def time_bars(ticks: DataFrame, every: str = "1 minute", tie: str | None = None) -> DataFrame:
     """Open, Close and Volume of each interval [t, t+every) with trades of positive volume.
 
@@ -48,5 +58,6 @@ def pseudo_ticks(bars: DataFrame) -> DataFrame:
     return bars.select("Symbol", F.explode(two).alias("t")).select("Symbol", "t.ts", "t.price", "t.volume")
 
 
-def by_symbol() -> Window:
-    return Window.partitionBy("Symbol").orderBy("Datetime")
+def in_order(bars: DataFrame) -> DataFrame:
+    """Bars by symbol and time, over all partitions in their order; a symbol with many bars may reach over several."""
+    return bars.repartitionByRange("Symbol", "Datetime").sortWithinPartitions("Symbol", "Datetime")

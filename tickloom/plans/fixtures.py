@@ -32,16 +32,21 @@ def event_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as a raw numeric export: days since 1960, seconds since midnight, padded symbols, sides as doubles."""
+    """Events as a raw numeric export: days since 1960, seconds since midnight, padded symbols, sides as doubles, some of all missing as null or NaN."""
     events = table(spark, sf_dir, "events")
     day = F.to_date("ts")
+    user, nan = F.col("user_id"), F.lit(float("nan"))
+
+    def missing(value, k: int):
+        return F.when(user % 11 == k, nan).when(user % 13 != k, value)
+
     micros = F.expr("unix_micros(CAST(ts AS TIMESTAMP)) - unix_date(to_date(ts)) * 86400000000")
     return events.select(
         "event_id",
-        (F.datediff(day, F.lit("1960-01-01").cast("date")).cast("double") + 0.25).alias("Date"),
-        (micros / 1e6).alias("Time"),
+        missing(F.datediff(day, F.lit("1960-01-01").cast("date")).cast("double") + 0.25, 1).alias("Date"),
+        missing(micros / 1e6, 2).alias("Time"),
         F.when(F.col("user_id") % 7 == 0, "nan").otherwise(F.concat(F.lit(" \t"), "event_type", F.lit("  "))).alias("Symbol"),
-        F.when(F.col("user_id") % 3 == 0, 1.0).when(F.col("user_id") % 3 == 1, -1.0).alias("LR"),
+        F.when(user % 17 == 0, nan).when(user % 3 == 0, 1.0).when(user % 3 == 1, -1.0).alias("LR"),
         F.col("value").alias("Price"),
         F.col("value").cast("float").alias("Volume"),
     )
@@ -58,10 +63,10 @@ dense AS (SELECT s.Symbol, c.Date, coalesce(B, 0)::INT AS B, coalesce(S, 0)::INT
 NATION_SQL = _lineitem_sql("n_name")
 REGION_SQL = _lineitem_sql("CAST(n_regionkey AS VARCHAR)")
 EVENT_SQL = "ticks AS (SELECT event_type AS Symbol, ts AS Datetime, value AS Price, value AS Volume, event_id FROM events)"
-RAW_SQL = """raw AS (SELECT event_id, date_diff('day', DATE '1960-01-01', CAST(ts AS DATE))::DOUBLE + 0.25 AS Date,
-    (epoch_us(ts) - epoch_us(CAST(CAST(ts AS DATE) AS TIMESTAMP)))::DOUBLE / 1e6 AS Time,
+RAW_SQL = """raw AS (SELECT event_id, CASE WHEN user_id % 11 = 1 THEN 'nan'::DOUBLE WHEN user_id % 13 <> 1 THEN date_diff('day', DATE '1960-01-01', CAST(ts AS DATE))::DOUBLE + 0.25 END AS Date,
+    CASE WHEN user_id % 11 = 2 THEN 'nan'::DOUBLE WHEN user_id % 13 <> 2 THEN (epoch_us(ts) - epoch_us(CAST(CAST(ts AS DATE) AS TIMESTAMP)))::DOUBLE / 1e6 END AS Time,
     CASE WHEN user_id % 7 = 0 THEN 'nan' ELSE chr(32) || chr(9) || event_type || '  ' END AS Symbol,
-    CASE WHEN user_id % 3 = 0 THEN 1.0 WHEN user_id % 3 = 1 THEN -1.0 END::DOUBLE AS LR, value AS Price, value::FLOAT AS Volume FROM events)"""
+    CASE WHEN user_id % 17 = 0 THEN 'nan'::DOUBLE WHEN user_id % 3 = 0 THEN 1.0 WHEN user_id % 3 = 1 THEN -1.0 END::DOUBLE AS LR, value AS Price, value::FLOAT AS Volume FROM events)"""
 
 
 def bars_sql(every: str) -> str:

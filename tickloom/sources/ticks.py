@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tickloom.schemas import COUNTRIES, TICKS
 
+# Fixed value: the names of the tick folders, country and year.
 _FOLDER = re.compile(r"^([A-Z]+)_(\d{4})$")
 
 
@@ -22,7 +23,7 @@ def check_country(country: str) -> str:
     return country
 
 
-def _listed(spark: SparkSession, pattern: str) -> list[str]:
+def listed(spark: SparkSession, pattern: str) -> list[str]:
     """Paths that match a pattern, in order of their names; works on any file system that Spark knows."""
     path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
     found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
@@ -32,12 +33,12 @@ def _listed(spark: SparkSession, pattern: str) -> list[str]:
 def country_folders(spark: SparkSession, base: str, country: str) -> list[str]:
     """The country's folders ``{country}_{year}`` under ``base``, by name."""
     check_country(country)
-    return [p for p in _listed(spark, f"{base}/{country}_*") if (m := _FOLDER.match(p.rstrip("/").rpartition("/")[2])) and m[1] == country]
+    return [p for p in listed(spark, f"{base}/{country}_*") if (m := _FOLDER.match(p.rstrip("/").rpartition("/")[2])) and m[1] == country]
 
 
 def tick_files(spark: SparkSession, base: str, country: str, suffix: str = "parquet") -> list[str]:
     """The country's tick files, by folder and name; an error if there are none."""
-    files = [f for folder in country_folders(spark, base, country) for f in _listed(spark, f"{folder}/*.{suffix}")]
+    files = [f for folder in country_folders(spark, base, country) for f in listed(spark, f"{folder}/*.{suffix}")]
     if not files:
         raise FileNotFoundError(f"no {suffix} files of {country} under {base}")
     return files
@@ -54,15 +55,20 @@ def with_origin(ticks: DataFrame) -> DataFrame:
     return ticks.select("*", F.regexp_extract(name, r"/([A-Z]+)_\d{4}/[^/]*$", 1).alias("country"), F.regexp_extract(name, r"/[A-Z]+_(\d{4})/[^/]*$", 1).cast("int").alias("year"))
 
 
+def _known(value: str | Column) -> Column:
+    """The number, null where it is missing: exports mark missing numbers as NaN."""
+    value = F.col(value) if isinstance(value, str) else value
+    return F.when(~F.isnan(value), value)
+
+
 def raw_date(days: str | Column) -> Column:
-    """Days since 1960-01-01 as a date; a fraction of a day is dropped."""
-    return F.date_add(F.lit("1960-01-01").cast("date"), F.floor(days).cast("int"))
+    """Days since 1960-01-01 as a date; a fraction of a day is dropped; null for null and NaN."""
+    return F.date_add(F.lit("1960-01-01").cast("date"), F.floor(_known(days)).cast("int"))
 
 
 def raw_time_ns(seconds: str | Column) -> Column:
-    """Seconds since midnight as whole nanoseconds, half to even."""
-    seconds = F.col(seconds) if isinstance(seconds, str) else seconds
-    return F.rint(seconds * F.lit(1e9)).cast("bigint")
+    """Seconds since midnight as whole nanoseconds, half to even; null for null and NaN."""
+    return F.rint(_known(seconds) * F.lit(1e9)).cast("bigint")
 
 
 def clean_symbol(symbol: str | Column) -> Column:
@@ -72,7 +78,7 @@ def clean_symbol(symbol: str | Column) -> Column:
 
 
 def side(lr: str | Column) -> Column:
-    """LR as a byte; a value that is no whole number raises."""
+    """LR as a byte, null for null and NaN; a value that is no whole number raises."""
     lr = F.col(lr) if isinstance(lr, str) else lr
     broken = F.raise_error(F.concat(F.lit("LR is not whole: "), lr.cast("string")))
     return F.when(lr.isNotNull() & ~F.isnan(lr) & (F.floor(lr) != lr), broken.cast("tinyint")).otherwise(F.when(F.isnan(lr), None).otherwise(lr).cast("tinyint"))
@@ -95,21 +101,28 @@ def convert_raw(raw: DataFrame) -> DataFrame:
 
 
 def sas_source():
-    """A Spark data source for SAS7BDAT files, one partition a file, raw numbers; needs the optional package pyreadstat."""
+    """A Spark data source for SAS7BDAT files, one partition a file, raw numbers; needs the optional package pyreadstat.
+
+    Columns are those of the first file unless a schema is given; a file without one of them has nulls there. Missing
+    numbers are nulls.
+    """
     from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+    from pyspark.sql.pandas.types import to_arrow_schema
 
     class Reader(DataSourceReader):
-        def __init__(self, options: dict):
-            self.paths, self.chunk = sorted(options["path"].split(",")), int(options.get("chunksize", "5000000"))
+        def __init__(self, options: dict, schema):
+            self.paths, self.chunk, self.schema = sorted(options["path"].split(",")), int(options.get("chunksize", "5000000")), schema
 
         def partitions(self) -> list[InputPartition]:
             return [InputPartition(p) for p in self.paths]
 
-        def read(self, partition: InputPartition) -> Iterator[tuple]:
+        def read(self, partition: InputPartition) -> Iterator:
+            import pyarrow as pa
             import pyreadstat
 
+            kinds = to_arrow_schema(self.schema)
             for frame, _ in pyreadstat.read_file_in_chunks(pyreadstat.read_sas7bdat, partition.value, chunksize=self.chunk, disable_datetime_conversion=True):
-                yield from frame.where(frame.notna(), None).itertuples(index=False, name=None)
+                yield pa.RecordBatch.from_pandas(frame.reindex(columns=kinds.names), schema=kinds, preserve_index=False)
 
     class Sas(DataSource):
         @classmethod
@@ -117,10 +130,13 @@ def sas_source():
             return "sas7bdat"
 
         def schema(self) -> str:
-            return "Price DOUBLE, Volume DOUBLE, Symbol STRING, Date DOUBLE, Time DOUBLE, MidPoint DOUBLE, QSpread DOUBLE, LR DOUBLE"
+            import pyreadstat
+
+            _, told = pyreadstat.read_sas7bdat(sorted(self.options["path"].split(","))[0], metadataonly=True)
+            return ", ".join(f"`{c}` {'STRING' if told.readstat_variable_types[c] == 'string' else 'DOUBLE'}" for c in told.column_names)
 
         def reader(self, schema) -> Reader:
-            return Reader(self.options)
+            return Reader(self.options, schema)
 
     return Sas
 
@@ -132,9 +148,9 @@ def convert_folders(spark: SparkSession, base: str, read_raw, force: bool = Fals
     """
     done = {}
     for folder in sorted(f for c in COUNTRIES for f in country_folders(spark, base, c)):
-        for path in _listed(spark, f"{folder}/*.sas7bdat"):
+        for path in listed(spark, f"{folder}/*.sas7bdat"):
             target = path.removesuffix(".sas7bdat") + ".parquet"
-            if not force and _listed(spark, f"{target}/_SUCCESS"):
+            if not force and listed(spark, f"{target}/_SUCCESS"):
                 done[path] = "kept"
                 continue
             convert_raw(read_raw(path)).write.mode("overwrite").option("compression", "snappy").parquet(target)
