@@ -4,6 +4,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tickloom import config
 from tickloom.functions import kernels, starts
@@ -27,7 +28,8 @@ def test_pin_parameters_are_recovered():
     true = [0.4, 0.3, 80, 100, 90]
     b, s = simulated(kernels.PIN, true, 3000)
     first = starts.pin_ea(b[:200], s[:200])
-    p, l = kernels.maximise(kernels.PIN, first, np.tile(b, (len(first), 1)), np.tile(s, (len(first), 1)), 300, 1e-10)
+    p, l, fate = kernels.maximise(kernels.PIN, first, b[None], s[None], 5000, 1e-10, np.zeros(len(first), int))
+    assert fate[l.argmax()] == kernels.CONVERGED
     assert np.allclose(p[l.argmax()], true, rtol=0.06)
 
 
@@ -39,7 +41,7 @@ def test_adjpin_parameters_are_recovered(tied):
     first = starts.apin_starts(b, s, 6)
     if tied:
         first[:, 3] = first[:, 2]
-    p, l = kernels.maximise(model, first, np.tile(b, (6, 1)), np.tile(s, (6, 1)), 300, 1e-10)
+    p, l, _ = kernels.maximise(model, first, b[None], s[None], 300, 1e-10, np.zeros(6, int))
     best = p[l.argmax()]
     assert np.allclose(best, true, rtol=0.15, atol=0.03)
     assert not tied or best[2] == best[3]
@@ -54,7 +56,7 @@ def test_every_step_raises_the_likelihood():
             p[:, 3] = p[:, 2]
         before = None
         for _ in range(30):
-            p, now = kernels.step(model, p, b, s)
+            p, now = kernels.step(model, p, *kernels.collapsed(b, s))
             assert before is None or (now >= before - 1e-9).all()
             before = now
 
@@ -64,7 +66,7 @@ def test_kernel_and_expressions_agree(spark):
     days = panel(rng.poisson(2, 60), rng.poisson(3, 60))
     frame = spark.createDataFrame(days)
     for point, model in (({"a": 0.4, "d": 0.5, "u": 1.5, "eb": 1.2, "es": 1.1}, kernels.PIN), ({"a": 0.4, "d": 0.5, "t1": 0.2, "t2": 0.3, "ub": 1.5, "us": 1.2, "eb": 1.1, "es": 1.0, "pb": 0.8, "ps": 0.7}, kernels.adjusted())):
-        p, l = kernels.step(model, np.array([[point[n] for n in model.names]]), days.B.to_numpy(float)[None], days.S.to_numpy(float)[None])
+        p, l = kernels.step(model, np.array([[point[n] for n in model.names]]), *kernels.collapsed(days.B.to_numpy(float)[None], days.S.to_numpy(float)[None]))
         assert abs(likelihood.window_likelihood(frame, point).first().loglik - l[0]) < 1e-8
         row = likelihood.em_step(frame, point).first()
         assert np.allclose([row[n] for n in model.names], p[0], atol=1e-10)
@@ -81,8 +83,8 @@ def test_pin_rows_and_slabs(spark):
     thin = panel(np.where(np.arange(70) % 5 == 0, 1, 0), np.zeros(70), "thin")
     short = panel(rng.poisson(4, 59), rng.poisson(4, 59), "short")
     frame = spark.createDataFrame(pd.concat([whole, thin, short]))
-    one = estimates.pin(frame, config.PinConfig(slab=1000, max_cycles=60)).toPandas().sort_values(["Symbol", "Date"]).reset_index(drop=True)
-    many = estimates.pin(frame, config.PinConfig(slab=16, max_cycles=60)).toPandas().sort_values(["Symbol", "Date"]).reset_index(drop=True)
+    one = estimates.pin(frame, config.PinConfig(slab=1000)).toPandas().sort_values(["Symbol", "Date"]).reset_index(drop=True)
+    many = estimates.pin(frame, config.PinConfig(slab=16)).toPandas().sort_values(["Symbol", "Date"]).reset_index(drop=True)
     pd.testing.assert_frame_equal(one, many, check_exact=False, atol=1e-6)
     assert one.groupby("Symbol").size().to_dict() == {"a": 91, "thin": 11}
     good, low = one[one.Symbol == "a"], one[one.Symbol == "thin"]
@@ -91,6 +93,15 @@ def test_pin_rows_and_slabs(spark):
     assert {r.skip_reason: r.n for r in report.reasons(spark.createDataFrame(one)).collect()} == {"Success": 91, "Low_Valid_Days": 11}
 
 
+def test_distinct_days_keep_their_number():
+    rng = np.random.default_rng(8)
+    b, s = rng.poisson(1, (7, 60)).astype(float), rng.poisson(1, (7, 60)).astype(float)
+    days, times = kernels.collapsed(b, s)
+    for k in range(7):
+        held = {(x, y): n for x, y, n in zip(days[k, 0], days[k, 1], times[k]) if n}
+        assert held == pd.Series(list(zip(b[k], s[k]))).value_counts().to_dict()
+
+
 def test_adjpin_state_survives_thin_windows_and_not_failures(monkeypatch):
     rng = np.random.default_rng(4)
     days = panel(rng.poisson(4, 66), rng.poisson(5, 66))
@@ -99,9 +110,8 @@ def test_adjpin_state_survives_thin_windows_and_not_failures(monkeypatch):
 
     def watched(model, first, *args):
         seen.append(len(first))
-        if len(seen) == 3:
-            raise kernels.OutOfTime
-        return inner(model, first, *args)
+        p, l, fate = inner(model, first, *args)
+        return p, l, np.full_like(fate, kernels.LATE) if len(seen) == 3 else fate
 
     monkeypatch.setattr(estimates.kernels, "maximise", watched)
     out = estimates.apin_windows(days, config.APIN_SKIP)
@@ -110,7 +120,56 @@ def test_adjpin_state_survives_thin_windows_and_not_failures(monkeypatch):
     assert len(estimates.apin_windows(days, config.APIN_BASE)) == 6
     seen.clear()
     estimates.apin_windows(days, config.APIN_WARM)
-    assert seen == [20, 6, 6, 20, 6, 6, 6]
+    assert seen == [7 * 5, 20, 1, 20, 1, 1, 1, 1]
+
+
+def test_symbols_that_advance_together_are_estimated_as_if_alone():
+    rng = np.random.default_rng(10)
+    frames = [panel(rng.poisson(4, n), rng.poisson(5, n), f"s{n}") for n in (63, 59, 61, 70)]
+    for preset in (config.APIN_SKIP, config.APIN_THETA, config.APIN_WARM):
+        together = estimates.apin_series(frames, preset)
+        alone = pd.concat([estimates.apin_windows(f, preset) for f in frames])
+        assert together.groupby("Symbol").size().to_dict() == {"s63": 4, "s61": 2, "s70": 11}
+        assert np.allclose(together.APIN.astype(float), alone.APIN.astype(float), atol=1e-4)
+
+
+def test_what_breaks_one_window_breaks_no_other(monkeypatch):
+    rng = np.random.default_rng(11)
+    frames = [panel(rng.poisson(4, 62), rng.poisson(5, 62), s) for s in ("bad", "fine")]
+    inner = kernels.maximise
+    odd = frames[0].B.to_numpy(float)[1:61]
+
+    def broken(model, first, buys, *args):
+        if any((b == odd).all() for b in buys):
+            raise ZeroDivisionError
+        return inner(model, first, buys, *args)
+
+    monkeypatch.setattr(estimates.kernels, "maximise", broken)
+    out = estimates.apin_series(frames, config.APIN_SKIP)
+    assert out[out.Symbol == "bad"].skip_reason.tolist() == ["Success", "Est_Error", "Success"] and (out[out.Symbol == "fine"].skip_reason == "Success").all()
+
+
+def test_estimates_are_maxima_of_the_likelihood():
+    """Against a search that knows nothing of the model's steps."""
+    rng = np.random.default_rng(12)
+    days = panel(*simulated(kernels.PIN, [0.4, 0.4, 9, 6, 5], 60, seed=3))
+    row = estimates.pin_windows(days, config.PinConfig()).iloc[0]
+    data = kernels.collapsed(days.B.to_numpy(float)[None], days.S.to_numpy(float)[None])
+    best = np.array([row[n] for n in kernels.PIN.names], float)
+    at = kernels.step(kernels.PIN, best[None], *data)[1][0]
+    tries = np.column_stack([rng.uniform(0.01, 0.99, (20_000, 2)), rng.uniform(0.1, 15, (20_000, 3))])
+    tries = np.vstack([tries, kernels.PIN.clamp(best * np.exp(rng.normal(0, 0.05, (20_000, 5))))])
+    many = [np.repeat(x, len(tries), axis=0) for x in data]
+    assert kernels.step(kernels.PIN, tries, *many)[1].max() <= at + 1e-6
+
+
+@pytest.mark.parametrize("preset", [config.APIN_BASE, config.APIN_WARM])
+def test_few_symbols_are_spread_over_tasks(spark, preset):
+    rng = np.random.default_rng(9)
+    frame = spark.createDataFrame(pd.concat([panel(rng.poisson(4, 62), rng.poisson(5, 62), f"s{k}") for k in range(5)]))
+    for found in (estimates.pin(frame), estimates.apin(frame, preset)):
+        parts = found.withColumn("task", F.spark_partition_id()).groupBy("Symbol").agg(F.countDistinct("task").alias("tasks"), F.max("task").alias("task"), F.count("*").alias("n")).collect()
+        assert len({r.task for r in parts}) == 5 and all(r.tasks == 1 and r.n == 3 for r in parts)
 
 
 def test_tied_shocks_and_measures_in_range(spark):
@@ -168,20 +227,23 @@ def test_dense_panel_keeps_every_count(spark):
 
 def test_runs_resume_and_never_mix_settings(spark, tmp_path):
     rng = np.random.default_rng(7)
-    frame = spark.createDataFrame(pd.concat([panel(rng.poisson(4, 61), rng.poisson(4, 61), f"s{k}") for k in range(5)]))
-    calls = []
+    frame = spark.createDataFrame(pd.concat([panel(rng.poisson(4, 61), rng.poisson(4, 61), f"s{k}") for k in range(9)]))
+    calls, told = [], []
 
     def estimate(part):
-        calls.append(1)
+        calls.append([r.Symbol for r in part.select("Symbol").distinct().collect()])
         if len(calls) == 3:
-            raise RuntimeError("lost")
+            raise ValueError("lost")
         return part.groupBy("Symbol").count()
 
     path = f"file://{tmp_path}/run"
-    with pytest.raises(RuntimeError):
-        runs.resumable(spark, frame, estimate, path, batches=4)
-    out = runs.resumable(spark, frame, estimate, path, batches=4)
-    assert out.count() == 5 and len(calls) == 3 + 2
+    with pytest.raises(RuntimeError, match="1 of 5 batches failed; the first: lost"):
+        runs.resumable(spark, frame, estimate, path, each=2, tell=told.append)
+    lost = calls[2]
+    assert len(calls) == len(told) == 5 and lost
+    out = runs.resumable(spark, frame, estimate, path, each=2)
+    assert out.count() == 9 and sorted(sum(calls[5:], [])) == sorted(lost)
+    assert runs.resumable(spark, frame, estimate, path, each=2).count() == 9
     assert runs.remaining(daily.symbols(frame), out.where("Symbol <> 's3'")).collect()[0].Symbol == "s3"
     a = runs.fingerprint(frame, config.APIN_SKIP, "apin")
     assert a != runs.fingerprint(frame, config.APIN_THETA, "apin") and a != runs.fingerprint(frame.limit(9), config.APIN_SKIP, "apin")
@@ -201,15 +263,36 @@ def test_outputs(spark, tmp_path):
 def test_windows_go_on_until_they_converge_or_say_so():
     rng = np.random.default_rng(4)
     days = panel(rng.poisson(4, 90), rng.poisson(5, 90))
-    buys, sells = (np.lib.stride_tricks.sliding_window_view(days[c].to_numpy(float), 60) for c in "BS")
-    for work, base, model in ((estimates.pin_windows, config.PinConfig(max_cycles=5), kernels.PIN), (estimates.apin_windows, config.ApinConfig(max_cycles=5), kernels.adjusted())):
+    data = kernels.collapsed(*(np.lib.stride_tricks.sliding_window_view(days[c].to_numpy(float), 60) for c in "BS"))
+    for work, base, model in ((estimates.pin_windows, config.PinConfig(), kernels.PIN), (estimates.apin_windows, config.ApinConfig(), kernels.adjusted())):
         out = work(days, base)
         assert len(out) == 31 and set(out.skip_reason) == {"Success"}
         p = out[list(model.names)].to_numpy(float)
-        _, now = kernels.step(model, p, buys, sells)
+        _, now = kernels.step(model, p, *data)
         for _ in range(300):
-            p, _ = kernels.step(model, p, buys, sells)
-        assert (kernels.step(model, p, buys, sells)[1] - now).max() < 1e-3
-        cut = work(days, dataclasses.replace(base, last_cycles=5))
+            p, _ = kernels.step(model, p, *data)
+        assert (kernels.step(model, p, *data)[1] - now).max() < 1e-3
+        cut = work(days, dataclasses.replace(base, cycles=5))
         assert len(cut) == 31 and "Not_Converged" in set(cut.skip_reason)
         assert cut[cut.skip_reason == "Not_Converged"][list(model.names)].isna().all(axis=None)
+
+
+def test_reports_and_reasons(spark):
+    rows = spark.createDataFrame([("a", 0.25), ("b", None)], "Symbol string, VPIN double")
+    one = report.report(rows, "VPIN").first()
+    assert (one.n_rows, one.estimated, one.lowest, one.outcome) == ("2", "50.0%", "0.2500", "ok")
+    assert report.report(rows.where("VPIN IS NULL"), "VPIN").first().outcome == "no result: no estimate succeeded"
+    assert report.report(rows.where("false"), "VPIN").first().outcome == "no result: no symbol has enough data"
+    stamps = [("thin", 1.0, 2.0, 3), ("flat", 1.0, 1.0, 300), ("null", None, None, 3)]
+    bars_ = spark.createDataFrame([(s, k, o, c, 1.0) for s, o, c, n in stamps for k in range(n)], "Symbol string, k int, Open double, Close double, Volume double").withColumn("Datetime", F.expr("TIMESTAMP_NTZ '2020-01-01' + make_interval(0, 0, 0, 0, k)"))
+    cfg = config.VpinConfig(min_bars=2)
+    errors = {r.Symbol: r.error for r in vpin.without_result(bars_, vpin.vpin(vpin.usable_bars(bars_, cfg), cfg), cfg).collect()}
+    assert errors == {"thin": "fewer than 200 ticks: 6", "flat": "price changes do not vary", "null": "no usable bars"}
+
+
+def test_the_panel_reads_the_trades_once(spark, tmp_path):
+    rows = [("a", "2020-01-01", 1), ("b", "2020-01-03", -1)]
+    spark.createDataFrame(rows, "Symbol string, d string, LR int").selectExpr("Symbol", "CAST(d AS DATE) AS Date", "LR").write.parquet(f"file://{tmp_path}/ticks")
+    dense = daily.dense_daily(daily.daily_counts(spark.read.parquet(f"file://{tmp_path}/ticks")))
+    assert dense.count() == 4
+    assert not [f for f in dense.inputFiles() if "/ticks/" in f] and dense.inputFiles()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.functions.store import cut
+
 
 def signed_trades(ticks: DataFrame) -> DataFrame:
     """Trades with a side: LR 1 is a buy, -1 a sell; others and nulls go."""
@@ -32,6 +34,10 @@ def calendar_grid(daily: DataFrame) -> DataFrame:
 
 
 def dense_daily(daily: DataFrame) -> DataFrame:
-    """The panel with zeros on days without trades, counts as 32-bit integers."""
+    """The panel with zeros on days without trades, counts as 32-bit integers.
+
+    Symbols, calendar and counts are three readings of the daily table, so that is written first: the trades are read once.
+    """
+    daily = cut(daily, "daily")
     filled = calendar_grid(daily).join(daily, ["Symbol", "Date"], "left")
     return filled.select("Symbol", "Date", F.coalesce("B", F.lit(0)).cast("int").alias("B"), F.coalesce("S", F.lit(0)).cast("int").alias("S"))

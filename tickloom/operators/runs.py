@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
+import uuid
 from collections.abc import Callable
 from dataclasses import asdict
 from datetime import datetime
@@ -12,7 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.sources.ticks import check_country
+from tickloom.sources.ticks import check_country, listed
 
 
 def output_dir(root: str, country: str, model: str | None = None) -> str:
@@ -47,20 +49,37 @@ def remaining(symbols: DataFrame, done: DataFrame) -> DataFrame:
     return symbols.join(done.select("Symbol").distinct(), "Symbol", "left_anti")
 
 
-def resumable(spark: SparkSession, panel: DataFrame, estimate: Callable[[DataFrame], DataFrame], path: str, batches: int = 16) -> DataFrame:
-    """Results of all symbols of ``panel``, written batch by batch; batches that are there already are not done again.
+def _committed(spark: SparkSession, path: str) -> list[str]:
+    """Names of the batches under ``path`` that are there whole: their results, and then the symbols that they are of."""
+    return [p.rpartition("/_SUCCESS")[0].rpartition("/")[2] for p in listed(spark, f"{path}/symbols/*/_SUCCESS")]
 
-    Symbols are dealt into batches by a hash, so a batch is a fixed set of symbols. Each is written as one committed
-    folder of its own; a failed one leaves nothing and is retried by the next run.
+
+def resumable(spark: SparkSession, panel: DataFrame, estimate: Callable[[DataFrame], DataFrame], path: str, each: int = 100, tell: Callable[[str], None] | None = None) -> DataFrame:
+    """Results of all symbols of ``panel``; symbols whose results are under ``path`` already are not done again.
+
+    The symbols left are dealt into batches of about ``each``. A batch is written as one committed folder, so what fails leaves
+    nothing and stops no other batch; all failures are raised together at the end, and the next run does their symbols alone.
+    tell: is told of each batch what is done and how long the rest may take.
     """
-    numbered = panel.withColumn("batch", F.pmod(F.xxhash64("Symbol"), F.lit(batches)))
-    for k in range(batches):
-        where = f"{path}/batch={k}"
-        target = spark._jvm.org.apache.hadoop.fs.Path(f"{where}/_SUCCESS")
-        if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
-            continue
-        estimate(numbered.where(F.col("batch") == k).drop("batch")).write.mode("overwrite").option("compression", "zstd").parquet(where)
-    return spark.read.option("basePath", path).parquet(*(f"{path}/batch={k}" for k in range(batches))).drop("batch")
+    done = _committed(spark, path)
+    every = panel.select("Symbol").where("Symbol IS NOT NULL").distinct()
+    left = remaining(every, spark.read.schema("Symbol STRING").parquet(*(f"{path}/symbols/{k}" for k in done))) if done else every
+    count = -(-left.count() // each)
+    numbered = left.withColumn("batch", F.pmod(F.xxhash64("Symbol"), F.lit(max(count, 1)))).select("Symbol", "batch")
+    began, failed = time.monotonic(), []
+    for k in range(count):
+        name, mine = uuid.uuid4().hex, numbered.where(F.col("batch") == k).select("Symbol")
+        try:
+            estimate(panel.join(mine, "Symbol", "left_semi")).write.option("compression", "zstd").parquet(f"{path}/results/{name}")
+            mine.write.parquet(f"{path}/symbols/{name}")
+        except Exception as e:  # noqa: BLE001 - told at the end
+            failed.append(e)
+        if tell:
+            passed = time.monotonic() - began
+            tell(f"batch {k + 1} of {count}, {len(failed)} failed, {passed:.0f} s, about {passed / (k + 1) * (count - k - 1):.0f} s left")
+    if failed:
+        raise RuntimeError(f"{len(failed)} of {count} batches failed; the first: {failed[0]}") from failed[0]
+    return spark.read.parquet(*(f"{path}/results/{k}" for k in _committed(spark, path)))
 
 
 def write_result(result: DataFrame, path: str, order: list[str], sample: int = 1000) -> None:

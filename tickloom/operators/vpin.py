@@ -13,10 +13,14 @@ from tickloom.operators.bars import clean_bars, liquid_symbols
 SLACK = 1e-9
 
 
+def least_bars(config: VpinConfig) -> int:
+    return max(config.min_bars, -(-config.min_ticks // 2))
+
+
 def usable_bars(bars: DataFrame, config: VpinConfig = VpinConfig()) -> DataFrame:
     """Clean bars of symbols that have enough of them."""
     cleaned = clean_bars(bars)
-    return cleaned.join(liquid_symbols(cleaned, config.min_bars).select("Symbol"), "Symbol", "left_semi")
+    return cleaned.join(liquid_symbols(cleaned, least_bars(config)).select("Symbol"), "Symbol", "left_semi")
 
 
 def bucket_sizes(bars: DataFrame, config: VpinConfig = VpinConfig()) -> DataFrame:
@@ -72,8 +76,16 @@ def vpin(bars: DataFrame, config: VpinConfig = VpinConfig(), drop_short: bool =
     return out.where("VPIN IS NOT NULL") if drop_short else out
 
 
-def without_result(bars: DataFrame, results: DataFrame) -> DataFrame:
-    """Symbols that have bars but no VPIN, with the reason."""
-    every = bars.select("Symbol").where("Symbol IS NOT NULL").distinct()
+def without_result(bars: DataFrame, results: DataFrame, config: VpinConfig = VpinConfig()) -> DataFrame:
+    """Symbols that have bars but no VPIN, with the first reason that holds."""
+    cleaned = clean_bars(bars).groupBy("Symbol").agg(F.count("*").alias("n"), F.sum("Volume").alias("volume"), F.stddev_samp(F.col("Close") - F.col("Open")).alias("sdp"))
     done = results.where("VPIN IS NOT NULL").select("Symbol").distinct()
-    return every.join(done, "Symbol", "left_anti").withColumn("error", F.lit("no full sample of volume buckets"))
+    left = bars.select("Symbol").where("Symbol IS NOT NULL").distinct().join(done, "Symbol", "left_anti").join(cleaned, "Symbol", "left")
+    error = (
+        F.when(F.col("n").isNull(), "no usable bars")
+        .when(F.col("n") < config.min_bars, F.concat(F.lit(f"fewer than {config.min_bars} usable bars: "), F.col("n").cast("string")))
+        .when(F.col("n") * 2 < config.min_ticks, F.concat(F.lit(f"fewer than {config.min_ticks} ticks: "), (F.col("n") * 2).cast("string")))
+        .when(F.coalesce("sdp", F.lit(0.0)) == 0, "price changes do not vary")
+        .otherwise(f"no {config.sample} full volume buckets")
+    )
+    return left.select("Symbol", error.alias("error"))
