@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,42 +12,56 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.functions.shipping import ship
+from tickloom.functions.store import cut, scratch, shared_dir  # noqa: F401
 
 #: Rows of an Arrow batch that carries whole texts; bounds what one Python worker holds at once.
-TEXT_ROWS = 4000
+TEXT_ROWS = 1000
 #: Bytes of text that a task works on at once within a batch.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; one of our own only where that is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="tickloom-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+def prepare(spark: SparkSession) -> None:
+    """What Python tasks over whole texts need: this package on the executors, and smaller Arrow batches unless the session sets their size itself."""
+    ship(spark)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(size) == "10000":
+        spark.conf.set(size, str(TEXT_ROWS))
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/tickloom/{name}-{uuid.uuid4().hex}"
+#: What a Python worker keeps from task to task: one thing at most, see ``held`` and ``tidy``.
+_held: dict[str, object] = {}
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """The same rows from a table written to the shared folder, so that a lost executor costs no recomputation."""
-    path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def held(key: str, make: Callable[[], object]) -> object:
+    """What ``make`` made when this worker first asked for ``key``; it is let go once a task asks for or needs another."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
 
 
-def prepare(spark: SparkSession) -> None:
-    """What Python tasks over whole texts need: this package on the executors, and smaller Arrow batches."""
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+def release() -> None:
+    """Give the memory that this worker has freed back to the system; its allocators would keep it for as long as the worker lives."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU C library
+        pass
+
+
+def tidy(batches: Iterator, keep: str | None = None) -> Iterator:
+    """The batches of a task, each after the memory of the one before is released; of what the worker held, only ``keep`` stays."""
+    for key in [k for k in _held if k != keep]:
+        del _held[key]
+    for batch in batches:
+        yield batch
+        del batch
+        release()
 
 
 def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[pa.Array]:

@@ -7,7 +7,8 @@ shards that each run FTRL-proximal updates in one task, and averages the shards'
 task nor the driver ever holds more than the bounded sample and the bounded weights.
 
 Nulls and edge cases: a null or blank text has no features and scores the bias; labels that are null or have no document
-are not learnt from; without any labels every score is 0.5; other columns of the input are kept by ``score`` as they are.
+are not learnt from; without any labels every score is 0.5; a very long text is read whole, in a slice of its own; equal texts
+have equal scores; an empty table stays empty; other columns of the input are kept by ``score`` as they are.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm import words
-from tickloom.llm.common import prepare, slices
+from tickloom.llm.common import cut, prepare, release, slices, tidy
 
 BITS = 18
 _SHIFT = np.uint64(64 - BITS)
@@ -103,10 +104,12 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, most: int, id_col: st
     return docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")
 
 
-def fit(learn: DataFrame, shards: int = 8, rounds: int = 3, seed: int = 11) -> np.ndarray:
-    """Weights and, last, the bias, from the rows of ``sample``."""
+def fit(learn: DataFrame, shards: int = 8, rounds: int = 3, seed: int = 11, shard_rows: int = 200) -> np.ndarray:
+    """Weights and, last, the bias, from the rows of ``sample``; small samples take fewer than ``shards`` shards."""
     spark = learn.sparkSession
     prepare(spark)
+    learn = cut(learn, "labelled")
+    shards = max(1, min(shards, -(-learn.count() // shard_rows)))
     dealt = learn.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
     weights = np.zeros((1 << BITS) + 1)
     for k in range(rounds):
@@ -115,6 +118,7 @@ def fit(learn: DataFrame, shards: int = 8, rounds: int = 3, seed: int = 11) -> n
         def work(key: tuple, rows: pa.Table) -> pa.Table:
             rows = rows.sort_by([("id", "ascending")])
             found = train_shard(rows["text"].combine_chunks(), rows["label"].to_numpy(), shared.value, seed * 1000 + k * 100 + key[0].as_py())
+            release()
             at = np.flatnonzero(found)
             return pa.table({"slot": at, "weight": found[at]})
 
@@ -135,7 +139,7 @@ def score(docs: DataFrame, weights: np.ndarray, text: str = "text", out: str = "
     @F.arrow_udf("double")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         held = shared.value
-        for batch in batches:
+        for batch in tidy(batches):
             found = [raw_scores(part, held[:-1], held[-1]) for part in slices(batch)]
             yield pa.array(1 / (1 + np.exp(-np.clip(np.concatenate(found), -35, 35))) if found else [], pa.float64())
 

@@ -6,8 +6,9 @@ within 2 bits therefore both lie within one step of some lattice cell, and more
 common midpoint whose embedding is that cell. The join publishes each distinct fingerprint into the cells of its unit
 ball (33 at most), drops the cells that only one fingerprint reaches, and verifies the rest bit by bit: in a crowded
 cell each fingerprint names those of its one-bit neighbours that are embedded there, and fingerprints with a
-neighbour in common are linked to the smallest of them. Such a link is exact, and since a midpoint has at most 65
-fingerprints around it, no group of copies is ever expanded into pairs.
+neighbour in common are linked to the smallest of them. Such a link is exact (two steps of one bit are two bits at most, so the
+last comparison of bits holds by construction), and since a midpoint has at most 65 fingerprints around it, no group of
+copies is ever expanded into pairs.
 
 Nulls and edge cases: a null or blank text has fingerprint zero and is linked like any other; equal texts share a
 fingerprint, so repeated rows meet in one class before the join; an empty table gives an empty result; other columns
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import cut, prepare
+from tickloom.llm.common import cut, prepare, tidy
 
 #: Segments of the embedding, and bits of each; a count takes 3 bits of the packed cell.
 SEGMENTS, WIDTH = 16, 4
@@ -72,7 +73,7 @@ def fingerprints(docs: DataFrame, words_each: int = 3, seed: int = 42, text: str
 
     @F.arrow_udf("long")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in tidy(batches):
             values = [fingerprint(x.as_buffer().to_pybytes() if x.is_valid else None, words_each, seed) for x in batch.cast(pa.large_binary())]
             yield pa.array(np.array(values, np.uint64).view(np.int64))
 
@@ -122,31 +123,39 @@ def links(prints: DataFrame, parts: int | None = None) -> DataFrame:
     return linked.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("hub"))) <= MAX_BITS)
 
 
+#: Edges that one task contracts by itself: shuffling so few costs more than it spreads.
+FEW_EDGES = 100_000
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether each node has one edge and leads to a node that leads nowhere."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 or out = 1 and into = 1").isEmpty()
+
+
 def components(edges: DataFrame, a: str = "fp", b: str = "hub", most_rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node reachable over the edges, for every node that has one.
 
-    Alternating large-star and small-star contraction; every round is written to the shared folder. A long chain halves
-    in each round, and a hub with many neighbours is only ever reduced to its minimum.
+    Alternating large-star and small-star contraction until all edges are stars; every round is written to the shared
+    folder. A long chain halves in each round, and a hub with many neighbours is only ever reduced to its minimum.
     """
 
     def smallest(pairs: DataFrame) -> DataFrame:
         return pairs.groupBy("u").agg(F.min("v").alias("m"))
 
     now = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct(), "edges")
-    before = None
+    few = now.count() <= FEW_EDGES
     for _ in range(most_rounds):
+        now = now.coalesce(1) if few else now
+        if _settled(now):
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = both.coalesce(1) if few else both
         large = both.join(smallest(both), "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         low = smallest(large)
-        small = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
-        now = cut(small, "edges")
-        seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if seen == before:
-            break
-        before = seen
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        small = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        now = cut((small.coalesce(1) if few else small).distinct(), "edges")
+    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
 def near_duplicates(docs: DataFrame, words_each: int = 3, seed: int = 42, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -187,7 +196,7 @@ def profiles(docs: DataFrame, words_each: int, seed: int = 42, text: str = "text
 
     @F.arrow_udf(PROFILE)
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in tidy(batches):
             fps, keys, sizes, halves = np.zeros(len(batch), np.uint64), np.zeros(len(batch), np.uint64), np.zeros(len(batch), np.int32), []
             for i, x in enumerate(batch.cast(pa.large_binary())):
                 words = b" ".join((x.as_buffer().to_pybytes() if x.is_valid else b"").lower().split())
@@ -210,7 +219,7 @@ def shingle_sets(texts: DataFrame, words_each: int, seed: int = 42) -> DataFrame
 
     @F.arrow_udf("array<bigint>")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in tidy(batches):
             yield _lists([distinct_shingles(x.as_buffer().to_pybytes() if x.is_valid else None, words_each, seed) for x in batch.cast(pa.large_binary())])
 
     return texts.select("key", of(F.col("text")).alias("shingles"))
@@ -254,29 +263,42 @@ def similar_roots(sets: DataFrame, classes: DataFrame, linked: DataFrame) -> Dat
     def verified(pairs: DataFrame) -> DataFrame:
         one, two = sets.select("key", F.col("shingles").alias("a")), sets.select(F.col("key").alias("other"), F.col("shingles").alias("b"))
         sure = pairs.distinct().join(one, "key").join(two, "other").where(alike("a", "b") >= SIMILAR)
-        return cut(sure.select("fp", F.col("other_fp").alias("hub")).distinct(), "similar")
+        return cut(sure.select(F.col("comp").alias("fp"), F.col("other_comp").alias("hub")).distinct(), "similar")
+
+    def facing(pairs: DataFrame) -> DataFrame:
+        return pairs.where("least(n, other_n) * 5L >= greatest(n, other_n) * 4L and comp <> other_comp").select("key", "comp", "other", "other_comp")
 
-    close = "least(n, other_n) * 5L >= greatest(n, other_n) * 4L and comp <> other_comp"
+    base = components(linked)
     postings = cut(_postings(sets, classes), "postings")
     most = PAIRS_EACH * postings.count()
+    placed = postings.join(base, postings.fp == base.node, "left").select("h", "key", "n", F.coalesce("root", "fp").alias("comp"))
+    found = []
     for k in range(HUB_ROUNDS + 1):
-        roots = components(linked)
-        placed = postings.join(roots, postings.fp == roots.node, "left").select("h", "key", "fp", "n", F.coalesce("root", "fp").alias("comp"))
+        placed = cut(placed, "placed")
         counts = placed.groupBy("h", "comp").agg(F.count("*").alias("c")).groupBy("h").agg(F.sum("c").alias("rows"), F.sum(F.expr("c * c")).alias("same"), F.count("*").alias("comps"))
-        mixed = counts.where("comps > 1")
+        mixed = cut(counts.where("comps > 1"), "mixed")
         left = mixed.agg(F.sum(F.expr("(double(rows) * rows - same) / 2"))).first()[0] or 0
-        placed = cut(placed.join(mixed.select("h"), "h", "left_semi"), "placed")
+        placed = placed.join(mixed.select("h"), "h", "left_semi")
         if left <= most or k == HUB_ROUNDS:
             break
-        hubs = placed.groupBy("h").agg(F.min_by(F.struct("key", "fp", "n", "comp"), F.xxhash64("key", F.lit(k))).alias("o"))
-        against = hubs.select("h", F.col("o.key").alias("other"), F.col("o.fp").alias("other_fp"), F.col("o.n").alias("other_n"), F.col("o.comp").alias("other_comp"))
-        more = verified(placed.join(against, "h").where(close).select("key", "fp", "other", "other_fp"))
+        hubs = placed.groupBy("h").agg(F.min_by(F.struct("key", "n", "comp"), F.xxhash64("key", F.lit(k))).alias("o"))
+        against = hubs.select("h", F.col("o.key").alias("other"), F.col("o.n").alias("other_n"), F.col("o.comp").alias("other_comp"))
+        more = verified(facing(placed.join(against, "h")))
         if more.isEmpty():
             break
+        found.append(more)
+        # Only the groups that were joined just now change their names.
+        merged = components(more)
+        placed = placed.join(merged, placed.comp == merged.node, "left").select("h", "key", "n", F.coalesce("root", "comp").alias("comp"))
+    others = placed.select("h", F.col("key").alias("other"), F.col("n").alias("other_n"), F.col("comp").alias("other_comp"))
+    more = verified(facing(placed.join(others, "h").where("key < other")))
+    if not more.isEmpty():
+        found.append(more)
+    if not found:
+        return base
+    for more in found:
         linked = linked.union(more)
-    others = placed.select("h", F.col("key").alias("other"), F.col("fp").alias("other_fp"), F.col("n").alias("other_n"), F.col("comp").alias("other_comp"))
-    more = verified(placed.join(others, "h").where(close).where("key < other").select("key", "fp", "other", "other_fp"))
-    return components(linked.union(more)) if not more.isEmpty() else roots
+    return components(linked)
 
 
 def representatives(docs: DataFrame, words_each: int = 5, seed: int = 42) -> DataFrame:

@@ -9,7 +9,8 @@ transfer matrices are multiplied up, chained per text and expanded again, which
 a calibrated function of the toxic words that its marginals expect; its spans are the words more likely toxic than not.
 
 Nulls and edge cases: a null or blank text has no words, no spans and the lowest score of the calibration; labels that are
-null or without document are not learnt from; where one class is missing every score is 0; other columns are kept.
+null or without document are not learnt from; where one class is missing every score is 0; a very long text is read whole, in a
+slice of its own; equal texts have equal scores; an empty table stays empty; other columns are kept.
 """
 
 from __future__ import annotations
@@ -26,12 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm import words
-from tickloom.llm.common import prepare, slices
+from tickloom.llm.common import cut, prepare, release, slices, tidy
 
 BITS, RUN = 18, 64
 _SHIFT = np.uint64(64 - BITS)
-#: Bytes of text whose words are tagged at once; a word takes some forty times its bytes meanwhile.
-SLICE = 3 << 20
 BEGINNINGS = (4, 5, 6)
 SPANS = "array<struct<start:int,end:int>>"
 
@@ -184,7 +183,7 @@ def lexicon(learn: DataFrame, least: int = 3, purity: float = 0.9) -> np.ndarray
     """Hashes of words and beginnings that ``least`` toxic documents hold, and clean ones at a rate of 1 - purity at most."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidy(batches):
             for k, text in enumerate(batch.column(0)):
                 if text.is_valid:
                     _, _, names = words.split(pa.array([text.as_py()]))
@@ -199,7 +198,7 @@ def lexicon(learn: DataFrame, least: int = 3, purity: float = 0.9) -> np.ndarray
     often = counts.where((F.col("toxic") >= least) & (rate >= purity)).select("h").toPandas().h.to_numpy(np.int64)
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidy(batches):
             for text in batch.column(0):
                 codes, _, names = words.split(pa.array([text.as_py()]))
                 if len(codes):
@@ -254,7 +253,7 @@ def fit(learn: DataFrame, shards: int = 8, rounds: int = 3, seed: int = 13, shar
     """A model from (id, text, label) rows of a bounded sample; small samples take fewer than ``shards`` shards."""
     spark = learn.sparkSession
     prepare(spark)
-    learn = learn.where("text is not null")
+    learn = cut(learn.where("text is not null"), "labelled")
     model = Model()
     known = lexicon(learn)
     if not len(known):
@@ -268,6 +267,7 @@ def fit(learn: DataFrame, shards: int = 8, rounds: int = 3, seed: int = 13, shar
             rows = rows.sort_by([("id", "ascending")])
             now, marks = shared.value
             found = train_shard(rows["text"].combine_chunks(), rows["label"].to_numpy(), marks, now, seed * 1000 + 100 * k + key[0].as_py())
+            release()
             flat = np.concatenate([found.weights, found.moves.ravel()])
             at = np.flatnonzero(flat)
             return pa.table({"slot": at, "weight": flat[at]})
@@ -281,8 +281,8 @@ def fit(learn: DataFrame, shards: int = 8, rounds: int = 3, seed: int = 13, shar
     shared = spark.sparkContext.broadcast(model)
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [expected_toxic(part, shared.value)[0] for part in slices(batch.column(0), SLICE)]
+        for batch in tidy(batches):
+            found = [expected_toxic(part, shared.value)[0] for part in slices(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else [], pa.float64()), batch.column(1)], names=["expected", "label"])
 
     seen = learn.select("text", "label").mapInArrow(expect, "expected double, label double").toPandas()
@@ -310,8 +310,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
 
     @F.arrow_udf("double")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            found = [document_scores(expected_toxic(part, shared.value)[0], shared.value) for part in slices(batch, SLICE)]
+        for batch in tidy(batches):
+            found = [document_scores(expected_toxic(part, shared.value)[0], shared.value) for part in slices(batch)]
             yield pa.array(np.concatenate(found) if found else [], pa.float64())
 
     return docs.withColumn(out, of.asNondeterministic()(F.col(text)))
@@ -326,9 +326,9 @@ def tag(docs: DataFrame, model: Model, text: str = "text", out: str = "toxic_spa
     @F.arrow_udf(SPANS)
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        for batch in batches:
+        for batch in tidy(batches):
             rows: list = []
-            for part in slices(batch, SLICE):
+            for part in slices(batch):
                 _, p, starts = expected_toxic(part, shared.value)
                 for value, a, b in zip(part, starts[:-1].tolist(), starts[1:].tolist()):
                     rows.append(spans_of(value.as_py(), p[a:b]) if b > a and p[a:b].max() > 0.5 else [])
