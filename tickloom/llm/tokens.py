@@ -2,23 +2,28 @@
 
 Neither vocabulary lets a token span the step from a visible character to white space, or from an ASCII letter to an
 ASCII mark other than the apostrophe, so a text's ids are the ids of its chunks between such steps put end to end. A batch is cut into chunks with numpy,
-every chunk that the worker has not met is encoded once by the library, and the ids are gathered per document. Texts with
-white space outside ASCII are encoded whole, because there a run of white space can be cut in its middle.
+every chunk that the worker has not met is encoded once by the library, and the ids are gathered per document. Texts with white space outside ASCII are encoded whole, because there a run of white
+space can be cut in its middle, and so are texts that hold the name of one of the vocabulary's special tokens, which the
+library takes for that token.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from tickloom.llm.common import held
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Chunks that a worker remembers before it starts afresh.
-MOST_CHUNKS = 400_000
+#: Bytes of chunks that a worker remembers before it starts afresh; each takes some 150 bytes besides.
+MOST_BYTES = 6 << 20
+MOST_CHUNKS = 600_000
 _ODD_SPACE = "[\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
 _ODD_LEADS = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -30,16 +35,18 @@ _PLAIN[[9, 10, 11, 12, 13]] = 32
 
 
 class Encoder:
-    """Encodes arrays of texts; keeps the ids of the chunks it has met, up to MOST_CHUNKS of them."""
+    """Encodes arrays of texts; keeps the ids of the chunks it has met, up to a bound."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         from tokenizers.normalizers import Sequence
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         # A vocabulary that lower-cases and drops white space lets chunks be folded before they are looked up.
         self.folds = isinstance(self.tokenizer.normalizer, Sequence) and self._ids("Ab\tC\n d") == self._ids("ab c  d")
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = "|".join(re.escape(t) for t in special)
+        self.hints = {t[:2].encode() for t in special}
         self._forget()
 
     def _ids(self, text: str) -> list[int]:
@@ -48,30 +55,35 @@ class Encoder:
     def _forget(self) -> None:
         self.known: dict[bytes, int] = {}
         self.starts, self.sizes, self.flat = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1 << 14, np.int32)
-        self.used = 0
+        self.used = self.bytes = 0
 
     def _learn(self, chunks: list[bytes]) -> None:
         found = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         first, total = len(self.known), int(sizes.sum())
-        for name, need in (("starts", first + len(found)), ("sizes", first + len(found)), ("flat", self.used + total)):
-            held = getattr(self, name)
-            if need > len(held):
-                setattr(self, name, np.concatenate([held, np.zeros(max(need - len(held), len(held)), held.dtype)]))
-        self.sizes[first : first + len(found)] = sizes
-        self.starts[first : first + len(found)] = self.used + np.cumsum(sizes) - sizes
+        for name, need in (("starts", first + len(chunks)), ("sizes", first + len(chunks)), ("flat", self.used + total)):
+            held_ = getattr(self, name)
+            if need > len(held_):
+                setattr(self, name, np.concatenate([held_, np.zeros(max(need - len(held_), len(held_)), held_.dtype)]))
+        self.sizes[first : first + len(chunks)] = sizes
+        self.starts[first : first + len(chunks)] = self.used + np.cumsum(sizes) - sizes
         self.flat[self.used : self.used + total] = np.fromiter((i for ids in found for i in ids), np.int32, total)
         self.used += total
-        self.known.update(zip(chunks, range(first, first + len(found))))
+        self.bytes += sum(map(len, chunks))
+        self.known.update(zip(chunks, range(first, first + len(chunks))))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, and the number of ids of each; a null counts as empty."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        if len(self.known) > MOST_CHUNKS:
+        if len(self.known) > MOST_CHUNKS or self.bytes > MOST_BYTES:
             self._forget()
         lengths = np.asarray(pc.binary_length(texts)).astype(np.int64)
         offsets = np.concatenate([[0], np.cumsum(lengths)])
         data = b"".join(texts.cast(pa.large_binary()).to_pylist())
+        if self.special and any(h in data for h in self.hints):
+            named = np.asarray(pc.match_substring_regex(texts, self.special))
+            if named.any():
+                return self._around(texts, named)
         raw = np.frombuffer(data, np.uint8)
         if self.folds:
             raw = _PLAIN[raw]
@@ -107,16 +119,23 @@ class Encoder:
         counts = np.bincount(doc, weights=sizes, minlength=len(texts)).astype(np.int64)
         return ids, counts
 
-
-_encoders: dict[str, Encoder] = {}
+    def _around(self, texts: pa.Array, named: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode``; the texts ``named`` go to the library as they are."""
+        ids, counts = self.encode(pc.if_else(pa.array(named), "", texts))
+        whole = {i: np.array(self._ids(texts[i].as_py()), ids.dtype) for i in np.flatnonzero(named).tolist()}
+        parts, stop = [], 0
+        for i in sorted(whole):
+            upto = int(counts[:i].sum())
+            parts += [ids[stop:upto], whole[i]]
+            stop = upto
+        parts.append(ids[stop:])
+        counts[list(whole)] = [len(w) for w in whole.values()]
+        return np.concatenate(parts), counts
 
 
 def encoder(path: str) -> Encoder:
-    """This worker's encoder for a vocabulary file; it lives on from batch to batch."""
-    if path not in _encoders:
-        _encoders.clear()
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """This worker's encoder for a vocabulary file; it lives on from task to task, until one does other work."""
+    return held(path, lambda: Encoder(path))
 
 
 def crc(ids: np.ndarray) -> int:
