@@ -1,12 +1,14 @@
 """Token ids in an adaptive context-mixing range coder, many independent blocks abreast.
 
-Each block starts from the same fresh state. For every id, an order-2 and an order-1 context each predict the id that
-followed them last, with a success rate learned per confidence level; those rates and an adaptive order-0 distribution
-over ranges of ids are mixed into one distribution, and a range coder narrows its interval by it. All blocks of a segment
-advance by one id at a time, as numpy vectors, so that a step costs a fixed number of array operations however many
-blocks there are. Only integers are used: encoder and decoder follow the same states on any machine.
+Each block starts from the same fresh state. For every id, an order-2 and an order-1 context each name the id that
+followed them last, with a confidence. How often the first, or else the second, is right is learnt for each pair of confidences;
+what is left goes to an adaptive order-0 distribution. These three are mixed into one distribution, by which a range
+coder narrows its interval. Order 0 knows each of the smallest ids by itself and the others by ranges, an eighth of an
+octave each (vocabularies number their tokens by falling frequency); the place in a range follows in as many bits as it has.
+All blocks of a segment advance by one id at a time, as numpy vectors, so that a step costs a fixed number of array
+operations however many blocks there are. Only integers decide: encoder and decoder follow the same states on any machine.
 
-Segment bytes (little-endian): magic ``TLK1``; shard, segment, documents, ids, ids per block (5 x u64); documents: null
+Segment bytes (little-endian): magic ``TLK2``; shard, segment, documents, ids, ids per block (5 x u64); documents: null
 flag u8, doc_id i64, ids u64, each as one array; blocks: bytes u32, crc32 of those bytes u32, crc32 of the ids u32,
 each as one array; payloads.
 """
@@ -18,108 +20,103 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"TLK1"
-BLOCK = 512
-#: Bits of the whole distribution, of the least share of order 0, and of the order-0 distribution itself.
-_TOTAL, _LEAST, _UNITS = 24, 20, 16
-#: Ids of an order-0 range (a power of two), least units of one, and steps between two readings of its counts.
-_RANGE_BITS, _FLOOR, _REFRESH = 8, 16, 128
+MAGIC = b"TLK2"
+BLOCK = 1024
+#: Ranges of an octave, units of the order-0 distribution, what an id adds to its range's count, most steps between two readings of the counts.
+_EACH, _UNITS, _COUNT, _REFRESH = 8, 1024, 24, 128
 _SLOTS = 512
-_ROOM = np.uint32(((1 << _TOTAL) - (1 << _LEAST)) >> 8)
-_TOP, _LOW = np.uint64(1 << 48), np.uint64(1 << 32)
-_U, _V = np.uint64, np.uint32
-# A guess is kept as its id times four plus its confidence; an empty slot has the id of all ones.
-_MORE, _LESS = np.array([1, 2, 3, 3], np.uint32), np.array([0, 0, 1, 1], np.uint32)
-_NONE = np.uint32(0x3FFFFFFF)
+_U, _TOP = np.uint32, np.uint32(1 << 16)
+_16, _3, _4 = np.uint32(16), np.uint32(3), np.uint32(4)
+# A guess is kept as its id times four plus its confidence; an empty slot has the id of all ones and confidence 0.
+_NONE = np.uint32(0x3FFFFFFF << 2)
+# The next confidence and whether the id stays, by twice the confidence plus whether it was right.
+_NEXT = np.array([1, 1, 1, 2, 1, 3, 2, 3], np.uint32)
+_STAYS = np.array([0, 0, 0, 1, 1, 1, 1, 1], np.uint32)
+#: The least share of either guess, and the most that one can approach, of 2**16.
+_FLOOR, _SURE = np.uint32(64), np.int32(60000)
+
+
+def range_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order-0 range of ids, its first id, and the bits of a place in it."""
+    ids = np.asarray(ids, np.int64)
+    octave = np.frexp(np.maximum(ids, _EACH))[1] - 1
+    bits = octave - (_EACH.bit_length() - 1)
+    number = np.where(ids < 2 * _EACH, ids, _EACH * (bits + 1) + ((ids >> bits) & (_EACH - 1)))
+    return number, ids >> bits << bits, bits
 
 
 class _Model:
-    """The state of all lanes, and what it says of the next id; all numbers are unsigned integers of 32 bits."""
+    """The state of all lanes, and what it says of the next id."""
 
     def __init__(self, lanes: int, vocabulary: int):
-        self.lanes = lanes
-        self.ranges = (vocabulary >> _RANGE_BITS) + 1
-        self.base, self.levels = np.arange(lanes) * _SLOTS, np.arange(lanes) * 4
-        self.rows, self.edges = np.arange(lanes) * self.ranges, np.arange(lanes) * (self.ranges + 1)
-        self.lift = np.arange(lanes) << (_UNITS + 1)
-        self.guess = [np.full(lanes * _SLOTS, _NONE << _V(2), np.uint32) for _ in range(2)]
-        self.rate = [np.tile(np.array([6000, 24000, 42000, 54000], np.int32), lanes) for _ in range(2)]
-        prior = (1 << 12) // (np.arange(self.ranges) + 2) + 1
-        self.counts = np.tile(prior.astype(np.int32), lanes)
-        self.one, self.two = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
+        number, first, bits = range_of(np.arange(max(vocabulary, 1)))
+        at = np.unique(number, return_index=True)[1]
+        self.lanes, self.ranges = lanes, len(at)
+        self.first, self.bits = first[at].astype(np.uint32), bits[at].astype(np.uint32)
+        self.slots = np.arange(lanes) * _SLOTS
+        self.pairs = np.arange(lanes) * 32
+        self.units, self.rows = np.arange(lanes) * _UNITS, np.arange(lanes) * self.ranges
+        self.guess1, self.guess2 = (np.full(lanes * _SLOTS, _NONE, np.uint32) for _ in range(2))
+        # Chance that the order-2 guess is right, and that either is, by 16 for equal guesses, 4 x order-2 confidence and order-1 confidence.
+        two = np.repeat(np.array([0, 14000, 40000, 54000], np.int32), 4)
+        either = np.maximum(two + 1, np.tile(np.array([0, 5000, 16000, 30000], np.int32), 4) * (65536 - two) // 65536 + two)
+        self.two, self.either = np.tile(np.concatenate([two, two]), lanes), np.tile(np.concatenate([either, two]), lanes)
+        self.counts = np.full(lanes * self.ranges, 8, np.int32)
+        self.hash1, self.hash2 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
         self.read_counts()
 
     def read_counts(self) -> None:
         counts = self.counts.reshape(self.lanes, self.ranges).astype(np.int64)
-        spare = (1 << _UNITS) - self.ranges * _FLOOR
         edges = np.zeros((self.lanes, self.ranges + 1), np.int64)
-        np.cumsum((counts * spare) // counts.sum(1, keepdims=True) + _FLOOR, axis=1, out=edges[:, 1:])
-        edges[:, -1] = 1 << _UNITS
-        self.edge = edges.reshape(-1).astype(np.uint32)
-        self.lifted = (edges + self.lift[:, None]).reshape(-1)
+        np.cumsum(counts, axis=1, out=edges[:, 1:])
+        edges = edges * (_UNITS - self.ranges) // edges[:, -1:] + np.arange(self.ranges + 1)
+        wide = np.diff(edges, axis=1)
+        self.edge = (edges[:, :-1] | wide << 16).astype(np.uint32).reshape(-1)
+        self.range_at = np.repeat(np.tile(np.arange(self.ranges, dtype=np.uint8 if self.ranges <= 256 else np.uint16), self.lanes), wide.reshape(-1))
 
     def mix(self, k: int) -> None:
-        """Shares of the first k lanes' order-2 and order-1 guesses, and the rest for order 0."""
-        one = self.one[:k] * _V(0x9E3779B1)
-        self.slots = (((one + self.two[:k] * _V(0x85EBCA6B)) >> _V(17)) % _V(_SLOTS) + self.base[:k], (one >> _V(19)) % _V(_SLOTS) + self.base[:k])
-        held = [self.guess[o].take(self.slots[o]) for o in (0, 1)]
-        self.said, self.trust = [h >> _V(2) for h in held], [h & _V(3) for h in held]
-        self.at = [self.levels[:k] + t for t in self.trust]
-        self.old = [self.rate[o].take(self.at[o]) for o in (0, 1)]
-        self.known = [g != _NONE for g in self.said]
-        part = [(self.old[o] >> 8).astype(np.uint32) for o in (0, 1)]
-        self.share2 = part[0] * _ROOM * self.known[0]
-        self.share1 = part[1] * (_ROOM - (self.share2 >> _V(8))) * (self.known[1] & (self.said[1] != self.said[0]))
-        self.both = self.share2 + self.share1
-        self.unit = (_V(1 << _TOTAL) - self.both) >> _V(_UNITS)
-
-    def interval(self, k: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and width of each lane's id in the mixed distribution."""
-        edge = self.edges[:k] + (ids >> _V(_RANGE_BITS))
-        low = self.edge.take(edge)
-        wide, j = (self.edge.take(edge + 1) - low) * self.unit, ids & _V((1 << _RANGE_BITS) - 1)
-        a = (wide * j) >> _V(_RANGE_BITS)
-        # wide is below 2**24, so the last id's end still fits 32 bits
-        b = np.where(j == (1 << _RANGE_BITS) - 1, wide, (wide * (j + _V(1))) >> _V(_RANGE_BITS))
-        self.hit2 = self.said[0] == ids
-        self.hit1 = self.said[1] == ids
-        first = self.hit1 & (self.share1 > 0)
-        start = np.where(self.hit2, _V(0), np.where(first, self.share2, self.both + low * self.unit + a))
-        width = np.where(self.hit2, self.share2, np.where(first, self.share1, b - a))
-        return start, width
-
-    def find(self, k: int, value: np.ndarray) -> np.ndarray:
-        """The id in whose interval each lane's value lies."""
-        plain = value >= self.both
-        rest = np.where(plain, value - self.both, _V(0))
-        at = np.searchsorted(self.lifted, self.lift[:k] + rest // self.unit, side="right") - 1
-        low = self.edge.take(at)
-        wide = (self.edge.take(at + 1) - low) * self.unit
-        j = (((rest - low * self.unit + _V(1)) << _V(_RANGE_BITS)) - _V(1)) // wide
-        found = ((at - self.edges[:k]).astype(np.uint32) << _V(_RANGE_BITS)) + np.minimum(j, _V((1 << _RANGE_BITS) - 1))
-        return np.where(plain, found, np.where(value < self.share2, self.said[0], self.said[1]))
-
-    def learn(self, k: int, ids: np.ndarray) -> None:
-        for o, hit in ((0, self.hit2), (1, self.hit1)):
-            trust, old = self.trust[o], self.old[o]
-            self.rate[o][self.at[o]] = old + (((np.where(hit, np.int32(64000), np.int32(600)) - old) >> 4) * self.known[o])
-            kept = np.where(hit | (trust == 0), ids, self.said[o])
-            self.guess[o][self.slots[o]] = (kept << _V(2)) + np.where(hit, _MORE.take(trust), _LESS.take(trust))
-        self.counts[self.rows[:k] + (ids >> _V(_RANGE_BITS))] += 48
-        self.two[:k] = self.one[:k]
-        self.one[:k] = ids
-
-
-def _narrow(low: np.ndarray, span: np.ndarray, start: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    step = span >> _U(_TOTAL)
-    return low + start.astype(np.uint64) * step, width.astype(np.uint64) * step
-
-
-def _settled(low: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lanes whose leading 16 bits are due, and the spans, cut short where they have become too small to go on with."""
-    same = (low ^ (low + span)) < _TOP
-    due = same | (span < _LOW)
-    return due, np.where(due & ~same, (~low + _U(1)) & (_LOW - _U(1)), span)
+        """The guesses of the first k lanes, and the ends of their shares; order 0 has the rest."""
+        one = self.hash1[:k]
+        two = one + self.hash2[:k] * _U(5)
+        self.slot1 = (one >> _U(23)).astype(np.intp) + self.slots[:k]
+        self.slot2 = (two >> _U(23)).astype(np.intp) + self.slots[:k]
+        self.held1, self.held2 = self.guess1.take(self.slot1), self.guess2.take(self.slot2)
+        self.trust1, self.trust2 = self.held1 & _3, self.held2 & _3
+        self.said1, self.said2 = self.held1 >> _U(2), self.held2 >> _U(2)
+        same = (self.said1 == self.said2).astype(np.uint32)
+        self.pair = ((same << _4) + (self.trust2 << _U(2)) + self.trust1).astype(np.intp) + self.pairs[:k]
+        self.rate2, self.rate12 = self.two.take(self.pair), self.either.take(self.pair)
+        self.end2 = self.rate2.view(np.uint32) + _FLOOR
+        self.end12 = self.rate12.view(np.uint32) + _U(2) * _FLOOR
+        self.unit = (_TOP - self.end12) >> _U(10)
+
+    def share(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and width of each lane's order-0 range."""
+        edge = self.edge.take(number.astype(np.intp) + self.rows[: len(number)])
+        return self.end12 + (edge & _U(0xFFFF)) * self.unit, (edge >> _16) * self.unit
+
+    def learn(self, k: int, ids: np.ndarray, number: np.ndarray, hit2: np.ndarray, other: np.ndarray) -> None:
+        """hit2, other: 1 where the order-2 guess, and where order 0, gave the id."""
+        self.two[self.pair] = self.rate2 + ((hit2.view(np.int32) * _SURE - self.rate2) >> 5)
+        self.either[self.pair] = self.rate12 + (((1 - other.view(np.int32)) * _SURE - self.rate12) >> 5)
+        for guess, slot, held, trust, said in ((self.guess1, self.slot1, self.held1, self.trust1, self.said1), (self.guess2, self.slot2, self.held2, self.trust2, self.said2)):
+            case = (trust << _U(1)) + (said == ids)
+            stays = _STAYS.take(case)
+            guess[slot] = stays * (held - trust) + (_U(1) - stays) * (ids << _U(2)) + _NEXT.take(case)
+        row = number.astype(np.intp) + self.rows[:k]
+        self.counts[row] += other.view(np.int32) * np.int32(_COUNT)
+        self.hash2[:k] = self.hash1[:k]
+        self.hash1[:k] = (ids + _U(1)) * _U(0x9E3779B1)
+
+
+def _reads(t: int) -> bool:
+    """Whether the counts are read again before step t: often at first."""
+    return t % _REFRESH == 0 if t >= _REFRESH else t >= 8 and t & (t - 1) == 0
+
+
+def _quotient(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a // b of numbers below 2**32; exact for quotients below 2**20, as doubles hold them with more bits than they differ by."""
+    return (a.astype(np.float64) / b).astype(np.uint32)
 
 
 def encode_blocks(ids: np.ndarray, vocabulary: int, block: int = BLOCK) -> list[bytes]:
@@ -132,75 +129,102 @@ def encode_blocks(ids: np.ndarray, vocabulary: int, block: int = BLOCK) -> list[
     sheet = np.ascontiguousarray(sheet.reshape(lanes, block).T)
     last = len(ids) - (lanes - 1) * block
     model = _Model(lanes, vocabulary)
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    room = 2 * block + 8
-    words = np.zeros(lanes * room, "<u2")
-    begin = np.arange(lanes) * room
+    numbers = range_of(np.arange(vocabulary))[0].astype(np.uint32)
+    low, span = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFF, np.uint32)
+    room = 2 * block + 4
+    # Words of 16 bits with a carry above them, which is passed on at the end.
+    words = np.zeros(lanes * room, np.uint32)
+    begin = np.arange(lanes) * room + 1
     filled = begin.copy()
+
+    def settle(k: int, low: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        small = span < _TOP
+        words[filled[:k]] = low >> np.uint64(16)  # written by all, kept by those that move on
+        filled[:k] += small
+        shift = small.astype(np.uint32) << _4
+        keep = np.uint64(0xFFFFFFFFFFFFFFFF) >> (shift.astype(np.uint64) * np.uint64(3))  # all bits, or the lower 16
+        return (low & keep) << shift.astype(np.uint64), span << shift
+
     for t in range(block if lanes > 1 else last):
         k = lanes if t < last else lanes - 1
-        if t and t % _REFRESH == 0:
+        if _reads(t):
             model.read_counts()
         x = sheet[t, :k]
+        number = numbers.take(x)
         model.mix(k)
-        a, r = _narrow(low[:k], span[:k], *model.interval(k, x))
-        while True:
-            due, r = _settled(a, r)
-            if not due.any():
-                break
-            words[filled[:k]] = a >> _U(48)  # written by all, kept by those that move on
-            filled[:k] += due
-            shift = due * _U(16)
-            a, r = a << shift, r << shift
-        low[:k], span[:k] = a, r
-        model.learn(k, x)
-    for _ in range(4):
-        words[filled] = low >> _U(48)
-        filled += 1
-        low = low << _U(16)
-    return [words[a:b].tobytes() for a, b in zip(begin.tolist(), filled.tolist())]
+        hit2 = (model.said2 == x).astype(np.uint32)
+        hit1 = (model.said1 == x).astype(np.uint32) & (hit2 ^ _U(1))
+        other = _U(1) - hit2 - hit1
+        start, width = model.share(number)
+        start = other * start + hit1 * model.end2
+        width = other * width + hit1 * (model.end12 - model.end2) + hit2 * model.end2
+        step = span[:k] >> _16
+        a, r = settle(k, low[:k] + start * step, width * step)
+        bits = model.bits.take(number) * other
+        step = r >> bits
+        low[:k], span[:k] = settle(k, a + (x - model.first.take(number)) * other * step, step)
+        model.learn(k, x, number, hit2, other)
+    words[filled], words[filled + 1] = low >> np.uint64(16), low & np.uint64(0xFFFF)
+    ends = filled + 2
+    while True:
+        over = np.flatnonzero(words > 0xFFFF)
+        if not len(over):
+            break
+        words[over - 1] += words[over] >> _16  # one place a round; what lies behind a block's end is never read
+        words[over] &= _U(0xFFFF)
+    words = words.astype("<u2")
+    return [words[a:b].tobytes() for a, b in zip(begin.tolist(), ends.tolist())]
 
 
 def decode_blocks(payloads: list[bytes], count: int, vocabulary: int, block: int = BLOCK) -> np.ndarray:
     """The ``count`` ids that encode_blocks was given."""
     lanes = len(payloads)
     if not lanes:
-        return np.zeros(0, np.int64)
-    room = max(map(len, payloads)) // 2 + 8
-    words = np.zeros((lanes, room), np.uint16)
+        return np.zeros(0, np.uint32)
+    room = max(map(len, payloads)) // 2 + 4
+    words = np.zeros((lanes, room), np.uint32)
     for i, p in enumerate(payloads):
         words[i, : len(p) // 2] = np.frombuffer(p, "<u2")
     words = words.reshape(-1)
     taken = np.arange(lanes) * room
-    code = np.zeros(lanes, np.uint64)
-    for _ in range(4):
-        code = (code << _U(16)) | words.take(taken)
-        taken += 1
+    code = (words.take(taken) << _16) + words.take(taken + 1)
+    taken += 2
     last = count - (lanes - 1) * block
-    sheet = np.zeros((block, lanes), np.int64)
+    sheet = np.zeros((block, lanes), np.uint32)
     model = _Model(lanes, vocabulary)
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    span = np.full(lanes, 0xFFFFFFFF, np.uint32)
+
+    def settle(k: int, code: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        small = (span < _TOP).astype(np.uint32)
+        shift = small << _4
+        code = (code << shift) + words.take(taken[:k]) * small
+        taken[:k] += small
+        return code, span << shift
+
     for t in range(block if lanes > 1 else last):
         k = lanes if t < last else lanes - 1
-        if t and t % _REFRESH == 0:
+        if _reads(t):
             model.read_counts()
         model.mix(k)
-        value = ((code[:k] - low[:k]) // (span[:k] >> _U(_TOTAL))).astype(np.uint32)
-        x = model.find(k, value)
-        a, r = _narrow(low[:k], span[:k], *model.interval(k, x))
-        c = code[:k]
-        while True:
-            due, r = _settled(a, r)
-            if not due.any():
-                break
-            shift = due * _U(16)
-            c = np.where(due, (c << _U(16)) | words.take(taken[:k]), c)
-            taken[:k] += due
-            a, r = a << shift, r << shift
-        code[:k], low[:k], span[:k] = c, a, r
-        model.learn(k, x)
+        step = span[:k] >> _16
+        value = np.minimum(_quotient(code[:k], step), _TOP - _U(1))
+        other = (value >= model.end12).astype(np.uint32)
+        hit2 = (value < model.end2).astype(np.uint32)
+        hit1 = _U(1) - hit2 - other
+        unit = np.minimum(_quotient((value - model.end12) * other, model.unit), _U(_UNITS - 1))
+        number = model.range_at.take(unit.astype(np.intp) + model.units[:k])
+        start, width = model.share(number)
+        start = other * start + hit1 * model.end2
+        width = other * width + hit1 * (model.end12 - model.end2) + hit2 * model.end2
+        c, r = settle(k, code[:k] - start * step, width * step)
+        bits = model.bits.take(number) * other
+        step = r >> bits
+        place = np.minimum(_quotient(c, step), (_U(1) << bits) - _U(1))
+        code[:k], span[:k] = settle(k, c - place * step, step)
+        x = other * (model.first.take(number) + place) + hit1 * model.said1 + hit2 * model.said2
+        model.learn(k, x, number, hit2, other)
         sheet[t, :k] = x
-    return sheet.T.reshape(-1)[:count]
+    return np.ascontiguousarray(sheet.T).reshape(-1)[:count]
 
 
 def pack_segment(shard: int, segment: int, doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray, vocabulary: int, block: int = BLOCK) -> bytes:

@@ -6,7 +6,8 @@ record, so a lost executor costs its tasks and leaves no half-written file; reco
 reader decodes each file, checks every block's checksum and places documents by the totals of the segments before them.
 
 Nulls and edge cases: a null or empty text is the end id alone; null doc_ids sort first; rows that repeat a doc_id are
-documents of their own, next to each other; an empty table gives an empty result; other columns are ignored.
+documents of their own, next to each other, in the order of a hash of their texts; a very long text is encoded whole, and its segment
+grows by it; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,13 +21,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm import coder, tokens
-from tickloom.llm.common import partitions_for, prepare, slices
+from tickloom.llm.common import partitions_for, prepare, slices, tidy
 
 #: Ids at which a segment ends, after the document that reaches them; a file holds SEGMENTS of them at most.
-SEGMENT_IDS, SEGMENTS = 2_000_000, 8
+SEGMENT_IDS, SEGMENTS = 4_000_000, 8
 
 
-def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, vocabulary_size: int, docs_each: int = 8192) -> None:
+def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, vocabulary_size: int, docs_each: int = 4096) -> None:
     """Write doc_id and text as token-id files under ``path``."""
     prepare(docs.sparkSession)
 
@@ -41,14 +42,14 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, vocabulary_s
             data = coder.pack_segment(shard, segment, doc_ids, np.concatenate(counts), np.concatenate(held), vocabulary_size)
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["data"])
 
-        for batch in batches:
+        for batch in tidy(batches, keep=vocabulary):
             at = 0
-            for part in slices(batch.column(1), 3 << 20):
+            for part in slices(batch.column(1)):
                 ids, n = encoder.encode(part)
                 ends = np.cumsum(n)
                 doc_ids += batch.column(0).slice(at, len(part)).to_pylist()
                 at += len(part)
-                held.append(np.insert(ids, ends, end_id))
+                held.append(np.insert(ids, ends, end_id).astype(np.uint32))
                 counts.append(n + 1)
                 size += len(ids) + len(n)
                 if size >= SEGMENT_IDS:
@@ -59,7 +60,9 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, vocabulary_s
             yield flush()
 
     parts = partitions_for(docs.count(), docs_each)
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    # Of rows that share a doc_id, or have none, a hash of the text says the order, and over which tasks they are spread.
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    ordered = keyed.repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     records = ordered.mapInArrow(work, "data binary")
     records.select(F.col("data").cast("string")).write.option("maxRecordsPerFile", SEGMENTS).option("lineSep", "\n").text(path)
 
@@ -70,7 +73,7 @@ def read(spark: SparkSession, path: str, vocabulary_size: int, with_ids: bool =
     kinds = "shard long, segment long, within long, doc_id long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidy(batches):
             for content in batch.column(0):
                 data, at = content.as_py(), 0
                 while at < len(data):
