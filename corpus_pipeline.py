@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and reread as the next stage's
 documents. All but the last return the columns of ``documents``; the last returns a row for each piece of a packed sequence.
+
+Nulls and edge cases: a null or empty text counts as empty in every stage and is packed as the end id alone; a null doc_id is
+carried along, and without a label; rows equal in doc_id and text are one row from the near-duplicate stage on; documents of a null
+language or source are mixed under the name ''; further columns are kept up to the last stage, whatever their names; where no
+labelled document is left, no document is rejected; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -19,18 +24,21 @@ LEAST_QUALITY, MOST_TOXICITY = 0.5, 0.3
 MIX = mixing.Mix(fraction=0.9, max_epochs=1)
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """The text, and all columns in a struct, where no name of theirs can meet that of a score."""
+    return docs.select("text", F.struct("*").alias("row"))
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Fit on the labelled documents among ``docs`` and drop those that the classifier rejects."""
     weights = quality.fit(quality.sample(docs, table(spark, sf_dir, "labels"), "quality", LABELLED))
-    scored = quality.score(docs, weights, out="__score")
-    return scored.where(F.col("__score") >= LEAST_QUALITY).drop("__score")
+    return quality.score(_rows(docs), weights).where(F.col("score") >= LEAST_QUALITY).select("row.*")
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Fit on the labelled documents among ``docs`` and drop those that the tagger rejects."""
     model = toxicity.fit(quality.sample(docs, table(spark, sf_dir, "labels"), "toxic", LABELLED))
-    scored = toxicity.score(docs, model, out="__score")
-    return scored.where(F.col("__score") < MOST_TOXICITY).drop("__score")
+    return toxicity.score(_rows(docs), model).where(F.col("score") < MOST_TOXICITY).select("row.*")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
