@@ -63,3 +63,24 @@ def test_representatives_of_repeats_and_nulls(spark):
     assert out.columns == ["doc_id", "text", "fp"]
     got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
     assert got == sorted([(2, "A b c d e f"), (9, "other text"), (None, None)], key=str)
+
+
+def test_columns_of_any_name_pass_the_stages(spark, tmp_path):
+    path = f"file://{tmp_path}"
+    docs, _ = tables(path, spark)
+    odd = ["row", "h", "score", "copies", "epoch", "__score", "__text", "id", "label", "fp", "key"]
+    frame = spark.read.parquet(f"{path}/documents.parquet")
+    for k, name in enumerate(odd):
+        frame = frame.withColumn(name, frame.doc_id * 100 + k)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        frame = cut(stage(spark, frame, path), "test")
+        assert frame.columns == ["doc_id", "text", "lang", "source", "n_chars", *odd]
+    rows = frame.collect()
+    assert rows and all(r[name] == r.doc_id * 100 + k for r in rows for k, name in enumerate(odd))
+
+
+def test_empty_tables(spark, tmp_path):
+    path = f"file://{tmp_path}"
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    assert corpus_pipeline.run(spark, path).collect() == []
