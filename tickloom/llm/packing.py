@@ -2,13 +2,14 @@
 
 Documents become token pieces of at most ``capacity`` ids; a piece of exactly that length is a sequence of its own. The
 others are dealt evenly into instances of bounded size, whatever their documents' keys are. Each instance is evolved on
-several islands: a first generation of best-fit packings, then crossovers that inject whole well-filled bins of one
-parent into another, remove the bins that hold the injected documents a second time and best-fit what that displaced.
+several islands: a first generation of best fits in random orders, then crossovers that inject whole well-filled bins of one
+parent into another, remove the bins that hold the injected documents a second time and best-fit what that displaced, until
+no packing can have fewer bins or the generations are over.
 Between epochs the elite of each island migrates to the next one; every epoch is a Spark job over (instance, island)
 groups. Bins that stay badly filled are dissolved and dealt anew into fewer instances, until one instance is left.
 
 Nulls and edge cases: a null or empty text is a document of the end id alone; a null doc_id is carried along; repeated
-rows are packed each for itself; an empty table gives an empty result; other columns are ignored.
+rows are packed each for itself; a very long text is encoded whole, in a slice of its own; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm import tokens
-from tickloom.llm.common import cut, slices, prepare
+from tickloom.llm.common import cut, prepare, slices, tidy
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -34,9 +35,9 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = 4096)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.encoder(vocabulary)
-        for batch in batches:
+        for batch in tidy(batches, keep=vocabulary):
             at = 0
-            for part in slices(batch.column(1), 3 << 20):
+            for part in slices(batch.column(1)):
                 doc_ids = batch.column(0).slice(at, len(part)).to_pylist()
                 at += len(part)
                 ids, counts = encoder.encode(part)
@@ -106,44 +107,44 @@ def quality(lengths: np.ndarray, packed: np.ndarray, capacity: int) -> tuple[int
 
 
 def crossover(lengths: np.ndarray, a: np.ndarray, b: np.ndarray, capacity: int, rng: random.Random) -> np.ndarray:
-    """A child of ``a`` that takes over whole bins of ``b``, the fullest likeliest; what they displace is best-fitted."""
+    """A child of ``a`` that takes over whole bins of ``b``, the well-filled ones likeliest.
+
+    Bins of ``a`` that hold an injected piece a second time go, and so do those filled worse than a share drawn each time; what
+    both displace is best-fitted, the longest first.
+    """
     fill = np.bincount(b, weights=lengths)
-    chance = (fill / capacity) ** 8 * rng.uniform(0.2, 0.8)
-    injected = np.array([rng.random() < c for c in chance.tolist()], bool)
-    moved = injected[b]
-    hit = np.zeros(a.max() + 1, bool)
-    hit[a[moved]] = True
-    child = np.where(moved, a.max() + 1 + b, np.where(hit[a], -1, a))
-    # The worst bins of what is left are opened as well.
-    rest = np.bincount(a, weights=lengths)
-    worst = np.argsort(rest)[: 1 + rng.randrange(3)]
-    child[np.isin(a, worst) & ~moved] = -1
+    chance = (fill / capacity) ** 32 * rng.uniform(0.3, 0.9)
+    moved = (np.random.default_rng(rng.getrandbits(32)).random(len(fill)) < chance)[b]
+    gone = np.bincount(a, weights=lengths) < capacity * rng.uniform(0.97, 1.0)
+    gone[a[moved]] = True
+    child = np.where(moved, a.max() + 1 + b, np.where(gone[a], -1, a))
     loose = np.flatnonzero(child < 0)
-    order = loose[np.argsort(-lengths[loose] + np.array([rng.random() for _ in range(len(loose))]), kind="stable")]
-    return best_fit(lengths, order, child, capacity)
+    return best_fit(lengths, loose[np.argsort(-lengths[loose], kind="stable")], child, capacity)
 
 
-def evolve(lengths: np.ndarray, elites: list[np.ndarray], capacity: int, seed: int, population: int = 6, generations: int = 16) -> np.ndarray:
-    """The best packing found from ``elites`` and fresh best-fit packings; stops at the bound of the total length."""
+def evolve(lengths: np.ndarray, elites: list[np.ndarray], capacity: int, seed: int, population: int = 4, generations: int = 12) -> tuple[np.ndarray, int]:
+    """The best packing that crossovers breed from ``elites`` and from best fits of the pieces in random orders, and the number of crossovers.
+
+    Stops at the bound of the total length.
+    """
     rng = random.Random(seed)
     least = -(-int(lengths.sum()) // capacity)
     people = list(elites)
-    while len(people) < population:
-        noise = np.array([rng.random() for _ in range(len(lengths))]) * (0 if not people else rng.choice([1, 8, 64, 512]))
-        people.append(best_fit(lengths, np.argsort(-(lengths + noise), kind="stable"), np.full(len(lengths), -1), capacity))
-        if people[-1].max(initial=-1) + 1 <= least:
-            return people[-1]
-    scored = sorted(((quality(lengths, p, capacity), k, p) for k, p in enumerate(people)), reverse=True)
-    for g in range(generations):
-        if -scored[0][0][0] <= least:
-            break
-        a, b = (scored[min(rng.randrange(len(scored)), rng.randrange(len(scored)))][2] for _ in range(2))
-        child = crossover(lengths, a, b, capacity, rng)
-        scored = sorted([*scored, (quality(lengths, child, capacity), population + g, child)], reverse=True)[:population]
-    return scored[0][2]
+    done = any(p.max(initial=-1) + 1 <= least for p in people)
+    while len(people) < population and not done:
+        order = np.random.default_rng(rng.getrandbits(32)).permutation(len(lengths))
+        people.append(best_fit(lengths, order, np.full(len(lengths), -1), capacity))
+    scored = sorted(((quality(lengths, p, capacity), -k, p) for k, p in enumerate(people)), key=lambda x: x[:2], reverse=True)
+    bred = 0
+    while bred < generations and len(scored) > 1 and -scored[0][0][0] > least:
+        i, j = sorted(rng.sample(range(len(scored)), 2))
+        child = crossover(lengths, scored[i][2], scored[j][2], capacity, rng)
+        bred += 1
+        scored = sorted([*scored, (quality(lengths, child, capacity), -population - bred, child)], key=lambda x: x[:2], reverse=True)[:population]
+    return scored[0][2], bred
 
 
-_STATE = "rid long, length long, instance long, island int, bin long, bins long, fullness double"
+_STATE = "rid long, length long, instance long, island int, bin long, bins long, fullness double, crossovers int"
 
 
 def _epoch(items: DataFrame, capacity: int, seed: int, epoch: int) -> DataFrame:
@@ -156,15 +157,15 @@ def _epoch(items: DataFrame, capacity: int, seed: int, epoch: int) -> DataFrame:
         elites = []
         for _, each in rows[rows.origin >= 0].groupby("origin"):
             elites.append(np.unique(each.bin.to_numpy(), return_inverse=True)[1])
-        packed = evolve(lengths, elites, capacity, seed=seed * 7919 + int(key[0]) * 31 + int(key[1]) * 7 + epoch)
+        packed, bred = evolve(lengths, elites, capacity, seed=seed * 7919 + int(key[0]) * 31 + int(key[1]) * 7 + epoch)
         bins, fullness = quality(lengths, packed, capacity)
-        return pd.DataFrame({"rid": own.rid.to_numpy(), "length": lengths, "instance": key[0], "island": key[1], "bin": packed, "bins": -bins, "fullness": fullness})
+        return pd.DataFrame({"rid": own.rid.to_numpy(), "length": lengths, "instance": key[0], "island": key[1], "bin": packed, "bins": -bins, "fullness": fullness, "crossovers": bred})
 
     return items.groupBy("instance", "island").applyInPandas(work, _STATE)
 
 
 def pack_instances(items: DataFrame, count: int, capacity: int, islands: int, epochs: int, seed: int) -> DataFrame:
-    """(rid, length, instance, bin): the packing of each of ``count`` instances by its best island."""
+    """(rid, length, instance, bin): the packing of each of ``count`` instances by its best island; crossovers, those of its last epoch."""
     dealt = items.select("rid", "length", F.pmod(F.xxhash64(F.lit(seed), "rid"), F.lit(count)).alias("instance"))
     state = dealt.withColumn("island", F.explode(F.array(*map(F.lit, range(islands))))).withColumn("bin", F.lit(-1).cast("long")).withColumn("origin", F.lit(-1))
     for epoch in range(epochs):
@@ -173,7 +174,7 @@ def pack_instances(items: DataFrame, count: int, capacity: int, islands: int, ep
         guests = grown.select("rid", "length", "instance", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), "bin", F.lit(1).alias("origin"))
         state = stay.unionByName(guests) if islands > 1 else stay
     best = grown.groupBy("instance").agg(F.min(F.struct("bins", -F.col("fullness"), "island")).alias("best")).select("instance", F.col("best.island").alias("island"))
-    return grown.join(best, ["instance", "island"], "left_semi").select("rid", "length", "instance", "bin")
+    return grown.join(best, ["instance", "island"], "left_semi").select("rid", "length", "instance", "bin", "crossovers")
 
 
 def pack(cut_pieces: DataFrame, capacity: int = 4096, each: int = 4096, islands: int = 2, epochs: int = 2, seed: int = 17, full_enough: float = 0.985) -> DataFrame:
