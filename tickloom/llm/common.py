@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -46,7 +45,6 @@ def held(key: str, make: Callable[[], object]) -> object:
 
 def release() -> None:
     """Give the memory that this worker has freed back to the system; its allocators would keep it for as long as the worker lives."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
