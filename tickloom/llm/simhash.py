@@ -237,15 +237,17 @@ def _with_similar(prints: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _postings(sets: DataFrame, classes: DataFrame) -> DataFrame:
-    """h, key, fp and n of the shared shingles among the n/5 + 1 rarest of each text; similar texts have one of them in common.
+    """h, key, fp, n and prev of the shared shingles among the n/5 + 1 rarest of each text; similar texts have one of them in common.
 
     Rarest means in the fewest of ``sets``, then the smallest hash. A shingle of one text only counts for its place but has no partner.
+    prev: the shared shingle before h in that order, null for a text's first.
     """
     each = sets.select("key", F.explode("shingles").alias("h"))
     shared = each.groupBy("h").agg(F.count("*").alias("texts")).where("texts > 1")
     ranked = each.join(shared, "h").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("texts", "h"))).alias("common")).join(classes.select("key", "fp", "n"), "key")
     kept = F.expr("slice(common, 1, greatest(0, cast(n div 5 as int) + 1 - (n - size(common))))")
-    return ranked.select("key", "fp", "n", F.explode(kept).alias("s")).select("s.h", "key", "fp", "n")
+    ranked = ranked.withColumn("kept", kept).withColumn("kept", F.expr("transform(kept, (s, i) -> struct(s.h AS h, if(i > 0, kept[greatest(i - 1, 0)].h, NULL) AS prev))"))
+    return ranked.select("key", "fp", "n", F.explode("kept").alias("s")).select("s.h", "key", "fp", "n", "s.prev")
 
 
 def similar_roots(sets: DataFrame, classes: DataFrame, linked: DataFrame) -> DataFrame:
@@ -271,7 +273,7 @@ def similar_roots(sets: DataFrame, classes: DataFrame, linked: DataFrame) -> Dat
     base = components(linked)
     postings = cut(_postings(sets, classes), "postings")
     most = PAIRS_EACH * postings.count()
-    placed = postings.join(base, postings.fp == base.node, "left").select("h", "key", "n", F.coalesce("root", "fp").alias("comp"))
+    placed = postings.join(base, postings.fp == base.node, "left").select("h", "key", "n", "prev", F.coalesce("root", "fp").alias("comp"))
     found = []
     for k in range(HUB_ROUNDS + 1):
         placed = cut(placed, "placed")
@@ -289,9 +291,10 @@ def similar_roots(sets: DataFrame, classes: DataFrame, linked: DataFrame) -> Dat
         found.append(more)
         # Only the groups that were joined just now change their names.
         merged = components(more)
-        placed = placed.join(merged, placed.comp == merged.node, "left").select("h", "key", "n", F.coalesce("root", "comp").alias("comp"))
-    others = placed.select("h", F.col("key").alias("other"), F.col("n").alias("other_n"), F.col("comp").alias("other_comp"))
-    more = verified(facing(placed.join(others, "h").where("key < other")))
+        placed = placed.join(merged, placed.comp == merged.node, "left").select("h", "key", "n", "prev", F.coalesce("root", "comp").alias("comp"))
+    # Texts that share a passage share many of its shingles: where both have the same one before h, they meet there or earlier.
+    others = placed.select("h", F.col("key").alias("other"), F.col("n").alias("other_n"), F.col("prev").alias("other_prev"), F.col("comp").alias("other_comp"))
+    more = verified(facing(placed.join(others, "h").where("key < other and coalesce(prev <> other_prev, true)")))
     if not more.isEmpty():
         found.append(more)
     if not found:
@@ -307,15 +310,16 @@ def representatives(docs: DataFrame, words_each: int = 5, seed: int = 42) -> Dat
     Groups are connected by the exact links of 2 bits and by all pairs of texts whose shingles are similar. The row with the
     smallest doc_id stays, nulls last; rows equal in doc_id and text are one row.
     """
-    keyed = docs.withColumn("__text", F.xxhash64(F.coalesce("text", F.lit(""))))
-    prints = cut(profiles(keyed.select("doc_id", "text", "__text"), words_each, seed).select("doc_id", "__text", "profile.*"), "profiles")
-    classes = cut(prints.groupBy("key").agg(F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("__text").alias("source")), "classes")
+    # The rows' own columns travel in a struct, where no name of theirs can meet one of these.
+    keyed = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.struct("*").alias("row"))
+    prints = cut(profiles(keyed.select("doc_id", "text", "h"), words_each, seed).select("doc_id", "h", "profile.*"), "profiles")
+    classes = cut(prints.groupBy("key").agg(F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("h").alias("source")), "classes")
     linked = cut(links(classes.select("fp").distinct()).select("fp", "hub"), "links")
     some = cut(_with_similar(prints, classes), "partners")
-    texts = keyed.select("text", "__text").join(some.select("key", "source"), F.col("__text") == F.col("source")).select("key", "text").dropDuplicates(["key"])
+    texts = keyed.select("text", "h").join(some.select("key", "source"), F.col("h") == F.col("source")).select("key", "text").dropDuplicates(["key"])
     roots = similar_roots(cut(shingle_sets(texts, words_each, seed), "sets"), some, linked)
-    rooted = prints.select("doc_id", "__text", "fp").join(roots, prints.fp == roots.node, "left").withColumn("group", F.coalesce("root", "fp"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__text")).alias("first")
-    kept = rooted.groupBy("group").agg(first).select(F.col("first.doc_id").alias("kept_id"), F.col("first.__text").alias("kept_text"))
-    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("__text") == F.col("kept_text"))
-    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__text"]).drop("__text")
+    rooted = prints.select("doc_id", "h", "fp").join(roots, prints.fp == roots.node, "left").withColumn("group", F.coalesce("root", "fp"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("first")
+    kept = rooted.groupBy("group").agg(first).select(F.col("first.doc_id").alias("kept_id"), F.col("first.h").alias("kept_text"))
+    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("h") == F.col("kept_text"))
+    return keyed.select("doc_id", "h", "row").join(kept, same, "left_semi").dropDuplicates(["doc_id", "h"]).select("row.*")
