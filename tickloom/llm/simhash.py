@@ -237,17 +237,17 @@ def _with_similar(prints: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _postings(sets: DataFrame, classes: DataFrame) -> DataFrame:
-    """h, key, fp, n and prev of the shared shingles among the n/5 + 1 rarest of each text; similar texts have one of them in common.
+    """h, key, fp, n, prev and pos of the shared shingles among the n/5 + 1 rarest of each text; similar texts have one of them in common.
 
     Rarest means in the fewest of ``sets``, then the smallest hash. A shingle of one text only counts for its place but has no partner.
-    prev: the shared shingle before h in that order, null for a text's first.
+    prev: the shared shingle before h in that order, null for a text's first; pos: how many of the text's shingles come up to h.
     """
     each = sets.select("key", F.explode("shingles").alias("h"))
     shared = each.groupBy("h").agg(F.count("*").alias("texts")).where("texts > 1")
     ranked = each.join(shared, "h").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("texts", "h"))).alias("common")).join(classes.select("key", "fp", "n"), "key")
     kept = F.expr("slice(common, 1, greatest(0, cast(n div 5 as int) + 1 - (n - size(common))))")
-    ranked = ranked.withColumn("kept", kept).withColumn("kept", F.expr("transform(kept, (s, i) -> struct(s.h AS h, if(i > 0, kept[greatest(i - 1, 0)].h, NULL) AS prev))"))
-    return ranked.select("key", "fp", "n", F.explode("kept").alias("s")).select("s.h", "key", "fp", "n", "s.prev")
+    ranked = ranked.withColumn("kept", kept).withColumn("kept", F.expr("transform(kept, (s, i) -> struct(s.h AS h, if(i > 0, kept[greatest(i - 1, 0)].h, NULL) AS prev, n - size(common) + i + 1 AS pos))"))
+    return ranked.select("key", "fp", "n", F.explode("kept").alias("s")).select("s.h", "key", "fp", "n", "s.prev", "s.pos")
 
 
 def similar_roots(sets: DataFrame, classes: DataFrame, linked: DataFrame) -> DataFrame:
@@ -273,7 +273,7 @@ def similar_roots(sets: DataFrame, classes: DataFrame, linked: DataFrame) -> Dat
     base = components(linked)
     postings = cut(_postings(sets, classes), "postings")
     most = PAIRS_EACH * postings.count()
-    placed = postings.join(base, postings.fp == base.node, "left").select("h", "key", "n", "prev", F.coalesce("root", "fp").alias("comp"))
+    placed = postings.join(base, postings.fp == base.node, "left").select("h", "key", "n", "prev", "pos", F.coalesce("root", "fp").alias("comp"))
     found = []
     for k in range(HUB_ROUNDS + 1):
         placed = cut(placed, "placed")
@@ -291,10 +291,12 @@ def similar_roots(sets: DataFrame, classes: DataFrame, linked: DataFrame) -> Dat
         found.append(more)
         # Only the groups that were joined just now change their names.
         merged = components(more)
-        placed = placed.join(merged, placed.comp == merged.node, "left").select("h", "key", "n", "prev", F.coalesce("root", "comp").alias("comp"))
+        placed = placed.join(merged, placed.comp == merged.node, "left").select("h", "key", "n", "prev", "pos", F.coalesce("root", "comp").alias("comp"))
     # Texts that share a passage share many of its shingles: where both have the same one before h, they meet there or earlier.
-    others = placed.select("h", F.col("key").alias("other"), F.col("n").alias("other_n"), F.col("prev").alias("other_prev"), F.col("comp").alias("other_comp"))
-    more = verified(facing(placed.join(others, "h").where("key < other and coalesce(prev <> other_prev, true)")))
+    # Where they meet first, they have nothing in common before h, so what follows must be enough for their similarity.
+    others = placed.select("h", F.col("key").alias("other"), F.col("n").alias("other_n"), F.col("prev").alias("other_prev"), F.col("pos").alias("other_pos"), F.col("comp").alias("other_comp"))
+    enough = "(1 + least(n - pos, other_n - other_pos)) * 9L >= (n + other_n) * 4L"
+    more = verified(facing(placed.join(others, "h").where(f"key < other and coalesce(prev <> other_prev, true) and {enough}")))
     if not more.isEmpty():
         found.append(more)
     if not found:
