@@ -12,6 +12,7 @@ def rows(seed=0, n=300):
     for i in range(n):
         source = "src0" if i % 3 == 0 else rng.choice(["src1", "src2", "src5", "odd", None])
         out.append((i, "w " * rng.randrange(40), rng.choice(["en", "en", "de", "xx", None]), source))
+    out += [(None, "the same again", "en", "src0")] * 45 + [(7, "", "en", "src1")] * 3 + [(None, f"other {i % 3}", "de", "src0") for i in range(20)]
     return [*out, (n, None, "en", "src0"), (n + 1, "", "en", "src0"), (None, "a b", "en", "src1"), (5, out[5][1], out[5][2], out[5][3]), (n + 2, "long " * 30000, "de", "src2")]
 
 

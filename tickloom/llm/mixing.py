@@ -6,7 +6,8 @@ a parent whose children are all exhausted passes a shortage on, to its own sibli
 of the next one, the longest token-prefix that fits; each epoch has an order of its own from the seed.
 
 A leaf may hold any share of the rows: its prefix sums are taken within slices of about ``slice_rows`` documents by the
-leading digits of the order's hash, after a small table of slice totals, so no task holds a whole leaf.
+leading digits of the order's hash, after a small table of slice totals, so no task holds a whole leaf. Rows equal in id and
+text are counted first and take part as one row with a number.
 
 Nulls and edge cases: a null text has no words; a null language or source is the name ``''``; names without a weight get
 ``other``; rows that repeat an id are documents of their own, taken one after the other; a leaf without words takes
@@ -93,31 +94,38 @@ def select(docs: DataFrame, mix: Mix, domain: Column | None = None, keep: list[s
         F.coalesce("lang", F.lit("")).alias("lang"),
         F.coalesce("source", F.lit("")).alias("source"),
         F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORDS)).cast("long").alias("n_tokens"),
+        F.md5(F.coalesce("text", F.lit(""))).alias("digest"),
         *keep,
     )
     counted = cut(counted, "counted")
     leaves = cut(counted.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")), "leaves")
     whole = F.coalesce(F.floor(F.col("budget") / F.when(F.col("tokens") > 0, F.col("tokens"))), F.lit(0))
     plan = cut(budgets(leaves, mix).withColumn("whole", whole).withColumn("rest", F.col("budget") - F.col("whole") * F.col("tokens")), "plan")
-    dealt = counted.join(plan, LEVELS).withColumn("order", F.md5(F.concat_ws(":", F.lit(str(mix.seed)), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+    dealt = counted.join(plan, LEVELS).withColumn("order", F.md5(F.concat_ws(":", F.lit(str(mix.seed)), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "digest")))
     share = F.conv(F.substring("order", 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
     dealt = dealt.withColumn("slice", F.floor(share * F.ceil(F.col("docs") / mix.slice_rows)))
-    slices = dealt.groupBy(*LEVELS, "slice").agg(F.sum("n_tokens").alias("size"))
+    dealt = dealt.groupBy(*LEVELS, "slice", "order", "doc_id", "n_tokens", "whole", "rest", *keep).agg(F.count("*").alias("times"))
+    size = F.sum(F.col("n_tokens") * F.col("times"))
+    slices = dealt.groupBy(*LEVELS, "slice").agg(size.alias("size"))
     before = slices.withColumn("before", F.sum("size").over(Window.partitionBy(*LEVELS).orderBy("slice")) - F.col("size")).drop("size")
     inside = Window.partitionBy(*LEVELS, "slice").orderBy("order", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = dealt.withColumn("inside", F.sum("n_tokens").over(inside)).join(before, [*LEVELS, "slice"])
-    copies = F.col("whole") + F.when(F.col("before") + F.col("inside") <= F.col("rest"), 1).otherwise(0)
-    return placed.withColumn("copies", copies.cast("int")).where("copies > 0").select("doc_id", *LEVELS, "n_tokens", "copies", *keep)
+    placed = dealt.withColumn("inside", size.over(inside)).join(before, [*LEVELS, "slice"])
+    # Of equal rows, so many as still fit are taken once more.
+    room = F.col("rest") - F.col("before") - F.col("inside") + F.col("n_tokens") * F.col("times")
+    fits = F.when(room < 0, 0).when(F.col("n_tokens") == 0, F.col("times")).otherwise(F.least("times", F.floor(room / F.col("n_tokens"))))
+    each = placed.withColumn("fits", fits).withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    copies = F.col("whole") + F.when(F.col("k") <= F.col("fits"), 1).otherwise(0)
+    return each.withColumn("copies", copies.cast("int")).where("copies > 0").select("doc_id", *LEVELS, "n_tokens", "copies", *keep)
 
 
 def mixed(docs: DataFrame, mix: Mix) -> DataFrame:
     """The rows of ``docs`` that the mix takes, each once for every epoch that holds it."""
-    keyed = docs.withColumn("__text", F.xxhash64("text"))
-    chosen = select(keyed, mix, keep=["__text"]).groupBy("doc_id", "__text").agg(F.sum("copies").cast("int").alias("__copies"))
-    one = keyed.dropDuplicates(["doc_id", "__text"])
-    left, right = one.alias("d"), chosen.alias("c")
-    joined = left.join(right, F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.__text") == F.col("c.__text")))
-    return joined.withColumn("__epoch", F.explode(F.sequence(F.lit(1), F.col("c.__copies")))).select(*(F.col(f"d.`{c}`") for c in docs.columns))
+    # The rows' own columns travel in a struct, where no name of theirs can meet one of these.
+    keyed = docs.select("doc_id", "lang", "source", "text", F.xxhash64("text").alias("h"), F.struct("*").alias("row"))
+    chosen = select(keyed, mix, keep=["h"]).groupBy("doc_id", "h").agg(F.sum("copies").cast("int").alias("copies"))
+    left, right = keyed.select("doc_id", "h", "row").dropDuplicates(["doc_id", "h"]).alias("d"), chosen.alias("c")
+    joined = left.join(right, F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.h") == F.col("c.h")))
+    return joined.select("d.row", F.explode(F.sequence(F.lit(1), F.col("c.copies"))).alias("epoch")).select("row.*")
 
 
 def sql(mix: Mix) -> str:
@@ -136,14 +144,14 @@ def sql(mix: Mix) -> str:
     room = f"tokens * {mix.max_epochs}"
     return f"""
 WITH n AS (SELECT doc_id, TRY_CAST(nullif(regexp_extract(coalesce(source, ''), '^src([0-9]{{1,9}})$', 1), '') AS INTEGER) % 3 AS third, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
-        len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens FROM documents),
-d AS (SELECT doc_id, CASE third WHEN 0 THEN 'web' WHEN 1 THEN 'reference' WHEN 2 THEN 'community' ELSE 'other' END AS domain, lang, source, n_tokens FROM n),
+        len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens, md5(coalesce(text, '')) AS digest FROM documents),
+d AS (SELECT doc_id, CASE third WHEN 0 THEN 'web' WHEN 1 THEN 'reference' WHEN 2 THEN 'community' ELSE 'other' END AS domain, lang, source, n_tokens, digest FROM n),
 leaves AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens FROM d GROUP BY ALL),
 l1 AS ({level(f"SELECT domain, sum(tokens)::BIGINT AS tokens, sum(tokens)::BIGINT * {mix.max_epochs} AS room, floor(sum(sum(tokens)) OVER () * {mix.fraction}::DOUBLE) AS budget, {weights('domain', mix.domains)} AS weight FROM leaves GROUP BY domain", "", "domain")}),
 l2 AS ({level(f"SELECT s.domain, lang, s.room, l1.give AS budget, {weights('lang', mix.languages)} AS weight FROM (SELECT domain, lang, sum(tokens)::BIGINT * {mix.max_epochs} AS room FROM leaves GROUP BY ALL) s JOIN l1 USING (domain)", "domain", "lang")}),
 l3 AS ({level(f"SELECT s.domain, s.lang, source, s.tokens, {room} AS room, l2.give AS budget, 1.0::DOUBLE AS weight FROM leaves s JOIN l2 USING (domain, lang)", "domain, lang", "source")}),
 plan AS (SELECT domain, lang, source, floor(give + 1e-6)::BIGINT AS budget, tokens, coalesce(floor(floor(give + 1e-6) / nullif(tokens, 0)), 0)::BIGINT AS whole FROM l3),
-o AS (SELECT d.*, whole, budget - whole * tokens AS rest, md5('{mix.seed}:' || whole || ':' || coalesce(doc_id::VARCHAR, '')) AS k FROM d JOIN plan USING (domain, lang, source)),
+o AS (SELECT d.*, whole, budget - whole * tokens AS rest, md5('{mix.seed}:' || whole || ':' || coalesce(doc_id::VARCHAR, '') || ':' || digest) AS k FROM d JOIN plan USING (domain, lang, source)),
 c AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY k, doc_id, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM o)
 SELECT doc_id, domain, lang, source, n_tokens, copies FROM (SELECT *, (whole + CASE WHEN upto <= rest THEN 1 ELSE 0 END)::INTEGER AS copies FROM c) WHERE copies > 0
 """
