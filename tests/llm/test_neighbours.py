@@ -17,7 +17,7 @@ def exact(ids, vectors, k):
 
 def test_perturbations_come_in_order_of_their_cost():
     inside = np.array([0.1, 0.75, 0.4])
-    got = N.perturbations(inside, 27)
+    got = N.perturbations(np.array([[0.5, 0.5, 0.5], inside]), 27)[1]
 
     def cost(move):
         return sum((f if m < 0 else 1 - f) ** 2 for f, m in zip(inside, move) if m)
@@ -80,6 +80,24 @@ def test_queries_short_of_candidates_are_held_against_all_vectors(spark):
     vectors = np.random.default_rng(8).normal(size=(300, 64))
     frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
     usable = N.usable(frame)
-    rows = N.search(usable, usable.where("vec_id % 20 = 0"), probes=1, width=0.2, shard_rows=100).collect()
+    narrow = N.Tables(64, N.extent(usable)[1], width=0.2, probes=1)
+    rows = N.search(usable, usable.where("vec_id % 20 = 0"), shard_rows=100, fitted=N.Fit(narrow, 0.0, 0.0)).collect()
     got = {q: [r.vec_id for r in sorted(rows, key=lambda r: r.rank) if r.query_id == q] for q in {r.query_id for r in rows}}
     assert got == exact(range(300), vectors, 20)
+
+
+def test_clustered_vectors_are_found_without_visiting_most(spark):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(100, 32))
+    vectors = centres[np.arange(6000) % 100] + 0.15 * rng.normal(size=(6000, 32))
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    usable = N.usable(frame)
+    known, scales = N.extent(usable)
+    fitted = N.fit(usable, known.n, known.dims, scales, k=20, tables=5, recall=0.97)
+    assert fitted.recall >= 0.97 and fitted.visited < 0.5
+    got = {}
+    for r in N.search(usable, usable.where("vec_id % 20 = 0"), fitted=fitted).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = exact(range(6000), vectors, 20)
+    assert np.mean([len(got[q] & set(want[q])) / 20 for q in want]) >= 0.9

@@ -7,6 +7,11 @@ width ``width``; a query visits its own bucket and then perturbed ones, in the o
 the cell borders that they cross (their estimated success). Candidates of all tables are reranked by inner products in
 double precision on the original vectors.
 
+Projections, width and probes are fitted: a bounded sample of queries (``FIT_QUERIES``) is answered exactly over all
+vectors, and of all settings that find ``recall`` of these neighbours the one that makes a query cheapest is taken, as
+a bounded sample of vectors (``FIT_VECTORS``) tells how many a query meets. More vectors thus get smaller buckets. Where vectors are spread
+so evenly that no setting is cheap, most of them are visited.
+
 Buckets are dealt into shards of about ``shard_rows`` vectors; a bucket with more is split over several shards, all of
 which its queries visit, so that a common vector or dense cluster never lands in one task whole. A shard answers each of
 its queries with ``k`` candidates at most, which loses nothing of the final ``k``.
@@ -18,13 +23,15 @@ fewer than ``k`` candidates are held against all vectors; an empty table gives a
 
 from __future__ import annotations
 
+import dataclasses
+import functools
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import cut, prepare
@@ -39,6 +46,7 @@ class Tables:
     tables: int = 5
     projections: int = 4
     width: float = 1.2
+    probes: int = 60
     seed: int = 23
 
     def functions(self) -> tuple[np.ndarray, np.ndarray]:
@@ -54,16 +62,28 @@ class Tables:
         """Names of the bucket of each vector in each table, (rows, tables)."""
         return names(np.floor(self.project(vectors, False)), self.bands(vectors)[:, None] * self.tables + np.arange(self.tables))
 
-    def project(self, vectors: np.ndarray, queries: bool) -> np.ndarray:
-        """Positions on each projection in cells, (rows, tables, projections)."""
+    def lifted(self, vectors: np.ndarray, queries: bool) -> np.ndarray:
+        """Points on the unit sphere whose distances from a query are in the order of inner products, within a band."""
         norms = np.linalg.norm(vectors, axis=1)
         if queries:
-            lifted = np.column_stack([vectors / norms[:, None], np.zeros(len(vectors))])
-        else:
-            scale = np.array(self.scales)[self.bands(vectors)]
-            lifted = np.column_stack([vectors / scale[:, None], np.sqrt(np.maximum(0, 1 - (norms / scale) ** 2))])
+            return np.column_stack([vectors / norms[:, None], np.zeros(len(vectors))])
+        scale = np.array(self.scales)[self.bands(vectors)]
+        return np.column_stack([vectors / scale[:, None], np.sqrt(np.maximum(0, 1 - (norms / scale) ** 2))])
+
+    def project(self, vectors: np.ndarray, queries: bool) -> np.ndarray:
+        """Positions on each projection in cells, (rows, tables, projections)."""
         gauss, shift = self.functions()
-        return ((lifted @ gauss + shift) / self.width).reshape(len(vectors), self.tables, self.projections)
+        return ((self.lifted(vectors, queries) @ gauss + shift) / self.width).reshape(len(vectors), self.tables, self.projections)
+
+    def asked(self, queries: np.ndarray) -> np.ndarray:
+        """Names of the buckets that each query visits, of all tables and bands, (rows, visits)."""
+        at = self.project(queries, True)
+        cells = np.floor(at)
+        flat = (at - cells).reshape(-1, self.projections)
+        moved = cells.astype(np.int64).reshape(-1, 1, self.projections) + perturbations(flat, self.probes)
+        moved = moved.reshape(len(queries), self.tables, -1, self.projections)
+        table = np.arange(self.tables)[None, :, None]
+        return np.stack([names(moved, band * self.tables + table) for band in range(len(self.scales))], axis=1).reshape(len(queries), -1)
 
 
 def names(cells: np.ndarray, table: np.ndarray | int) -> np.ndarray:
@@ -75,27 +95,62 @@ def names(cells: np.ndarray, table: np.ndarray | int) -> np.ndarray:
     return name.view(np.int64)
 
 
-def perturbations(inside: np.ndarray, most: int) -> np.ndarray:
-    """Up to ``most`` moves of a query's cell, likeliest first: rows of -1, 0 and 1; the first moves nothing.
+#: Perturbations among which a query's likeliest are sought.
+MOST_PROBES = 2000
+
+
+@functools.lru_cache(maxsize=32)
+def template(projections: int, most: int) -> np.ndarray:
+    """The ``most`` sets of border crossings that are likeliest for a query anywhere in its cell, a row of 0 and 1 each; the first crosses none.
 
-    inside: where the query lies in its cell on each projection, from 0 to 1.
+    Columns are the 2K borders from the nearest to the farthest; a border and its opposite have mirrored places and are never
+    crossed together. Rows follow the expected squared distances of such ordered borders.
     """
-    k = len(inside)
-    steps = sorted([(float(f) ** 2, i, -1) for i, f in enumerate(inside)] + [(float(1 - f) ** 2, i, 1) for i, f in enumerate(inside)])
-    moves = [np.zeros(k, np.int64)]
-    heap = [(steps[0][0], (0,))]
-    while heap and len(moves) < most:
-        cost, chosen = heapq.heappop(heap)
-        if len({steps[j][1] for j in chosen}) == len(chosen):
-            move = np.zeros(k, np.int64)
-            for j in chosen:
-                move[steps[j][1]] = steps[j][2]
-            moves.append(move)
+    k = projections
+    j = np.arange(1, k + 1)
+    near = j * (j + 1) / (4 * (k + 1) * (k + 2))
+    far = 1 - j / (k + 1) + near
+    cost = np.concatenate([near, far[::-1]])
+    sets: list[tuple[int, ...]] = [()]
+    heap = [(float(cost[0]), (0,))]
+    while heap and len(sets) < most:
+        total, chosen = heapq.heappop(heap)
+        if not any(2 * k - 1 - c in chosen for c in chosen):
+            sets.append(chosen)
         last = chosen[-1]
-        if last + 1 < len(steps):
-            heapq.heappush(heap, (cost + steps[last + 1][0], (*chosen, last + 1)))
-            heapq.heappush(heap, (cost - steps[last][0] + steps[last + 1][0], (*chosen[:-1], last + 1)))
-    return np.array(moves)
+        if last + 1 < 2 * k:
+            heapq.heappush(heap, (total + cost[last + 1], (*chosen, last + 1)))
+            heapq.heappush(heap, (total - cost[last] + cost[last + 1], (*chosen[:-1], last + 1)))
+    out = np.zeros((len(sets), 2 * k))
+    for row, chosen in enumerate(sets):
+        out[row, list(chosen)] = 1
+    return out
+
+
+def borders(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances to the 2K borders of each row's cell, ascending, and which they are: i for the lower, K + i for the upper one of projection i."""
+    squares = np.concatenate([inside**2, (1 - inside) ** 2], axis=-1)
+    order = np.argsort(squares, axis=-1, kind="stable")
+    return np.take_along_axis(squares, order, -1), order
+
+
+def perturbations(inside: np.ndarray, most: int) -> np.ndarray:
+    """Up to ``most`` moves of each query's cell, likeliest first: (rows, moves, K) of -1, 0 and 1; the first moves nothing.
+
+    inside: where the query lies in its cell on each projection, from 0 to 1, a row each.
+    """
+    rows, k = inside.shape
+    sets = template(k, min(3**k, max(2 * most, 64)))
+    squares, order = borders(inside)
+    cost = squares @ sets.T
+    most = min(most, len(sets))
+    pick = np.argsort(cost, axis=1, kind="stable")[:, :most]
+    crossed = sets[pick].astype(bool)
+    sign = np.where(order < k, -1, 1)
+    moves = np.zeros((rows, most, k), np.int64)
+    r, m, c = np.nonzero(crossed)
+    moves[r, m, order[r, c] % k] = sign[r, c]
+    return moves
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", column: str = "embedding") -> DataFrame:
@@ -129,17 +184,108 @@ def _best(query: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int) -> np.n
     return order[rank < k]
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, probes: int = 60, tables: int = 5, projections: int = 4, width: float = 1.2, shard_rows: int = 20_000) -> DataFrame:
+#: Queries that are answered exactly to fit the tables, and vectors that tell the size of buckets.
+FIT_QUERIES, FIT_VECTORS = 100, 4000
+#: Settings that are compared: projections, and widths by the median distance of the k-th neighbours.
+FIT_PROJECTIONS, FIT_WIDTHS = (2, 4, 6, 8, 10, 12, 16), (1.0, 1.5, 2.5, 4.0)
+#: What a probe costs, in scored vectors.
+PROBE_COST = 5.0
+
+
+@dataclass(frozen=True)
+class Fit:
+    """Fitted tables, the share of the exact neighbours that they find, and the share of all vectors that a query meets, repeats included."""
+
+    hashing: Tables
+    recall: float
+    visited: float
+
+
+def exact_neighbours(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row of ``queries`` and vector of each one's ``k`` nearest, from one pass over all vectors; for few queries."""
+    shared = vectors.sparkSession.sparkContext.broadcast((ids, queries))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, asked = shared.value
+        for batch in batches:
+            if batch.num_rows:
+                vec, v = np.asarray(batch.column(0)), _matrix(batch.column(1))
+                scores = np.einsum("qd,nd->qn", asked, v)
+                scores[own[:, None] == vec[None, :]] = -np.inf
+                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                q = np.repeat(np.arange(len(own)), best.shape[1])
+                at = best.ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(vec[at]), pa.array(scores[q, at]), batch.column(1).take(pa.array(at))], names=["query", "vec_id", "score", "v"])
+
+    near = vectors.mapInArrow(work, "query long, vec_id long, score double, v array<double>").where("score > double('-infinity')")
+    best = near.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= k)
+    rows = best.select("query", "v").collect()  # FIT_QUERIES x k vectors at most
+    return np.array([r.query for r in rows], np.int64), np.array([r.v for r in rows], float).reshape(len(rows), queries.shape[1])
+
+
+def fit(vectors: DataFrame, n: int, dims: int, scales: tuple[float, ...], k: int, tables: int, recall: float) -> Fit:
+    """The cheapest tables that find ``recall`` of the sampled queries' exact neighbours; those that find most where none do."""
+    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_VECTORS).collect()
+    ids, sample = np.array([r.vec_id for r in rows]), np.array([r.v for r in rows], float)
+    asked = sample[:FIT_QUERIES]
+    whose, near = exact_neighbours(vectors, ids[:FIT_QUERIES], asked, k)
+    if not len(near):
+        return Fit(Tables(dims, scales, tables), 1.0, 1.0)
+    plain = Tables(dims, scales, tables)
+    kth = np.linalg.norm(plain.lifted(near, False) - plain.lifted(asked, True)[whose], axis=1)
+    reach = max(float(np.median(kth)), 1e-6)
+    found: list[tuple[bool, float, Fit]] = []
+    for projections in FIT_PROJECTIONS:
+        for times in FIT_WIDTHS:
+            hashing = Tables(dims, scales, tables, projections, times * reach)
+            at, there = hashing.project(asked, True), np.floor(hashing.project(near, False))
+            cells = np.floor(at)
+            sets = template(projections, min(3**projections, MOST_PROBES))
+            squares, _ = borders((at - cells).reshape(-1, projections))
+            costs = np.sort(squares @ sets.T, axis=1).reshape(len(asked), tables, -1)
+            inside, step = (at - cells)[whose], there - cells[whose]
+            need = (np.where(step < 0, inside**2, 0) + np.where(step > 0, (1 - inside) ** 2, 0)).sum(-1)
+            rank = np.full(need.shape, np.iinfo(np.int64).max)
+            ok = (np.abs(step) <= 1).all(-1) & (need <= costs[whose, :, -1])
+            for i, t in zip(*np.nonzero(ok)):
+                rank[i, t] = np.searchsorted(costs[whose[i], t], need[i, t] + 1e-12, side="right")
+            best = np.sort(rank.min(axis=1))
+            wanted = best[min(len(best) - 1, int(np.ceil(recall * len(best))) - 1)]
+            probes = int(min(max(wanted, 1), MOST_PROBES, 3**projections))
+            hashing = dataclasses.replace(hashing, probes=probes)
+            reached = float((best <= probes).mean())
+            if reached < recall:
+                found.append((True, -reached, Fit(hashing, reached, 1.0)))
+                continue
+            asking, target = np.sort(hashing.asked(asked), axis=1), hashing.buckets(near)
+            met_near = [np.isin(target[whose == q], asking[q]).any(axis=1) for q in range(len(asked))]
+            reached = float(np.concatenate(met_near).mean())
+            held, many = np.unique(hashing.buckets(sample), return_counts=True)
+            asking = asking[:30]
+            where = np.minimum(np.searchsorted(held, asking.ravel()), len(held) - 1)
+            met = float(np.where(held[where] == asking.ravel(), many[where], 0).sum() / min(30, len(asked)) / len(sample))
+            found.append((reached < recall, met * n + PROBE_COST * tables * probes if reached >= recall else -reached, Fit(hashing, reached, met)))
+    return min(found, key=lambda x: x[:2])[2]
+
+
+def extent(vectors: DataFrame) -> tuple[Row, tuple[float, ...]]:
+    """Number, largest norm and length of the vectors, and the scales of their bands."""
+    norm = F.expr("least(greatest(sqrt(aggregate(v, 0d, (s, x) -> s + x * x)), 1e-300D), 1e300D)")
+    known = vectors.agg(F.count("*").alias("n"), F.max(norm).alias("norm"), F.max(F.size("v")).alias("dims")).first()
+    # Counted from the longest vector, so that equal norms are one band whatever their rounding; a double allows some 2,000 bands.
+    banded = vectors.select(norm.alias("norm")).groupBy(F.floor(F.log2(F.lit(known.norm or 1.0)) - F.log2("norm") + 1e-9).alias("band")).agg(F.max("norm").alias("scale"))
+    return known, tuple(sorted(r.scale for r in banded.collect()))
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0.97, tables: int = 5, shard_rows: int = 20_000, fitted: Fit | None = None) -> DataFrame:
     """query_id, rank, vec_id and score of the ``k`` nearest found; both inputs are (vec_id, v) as from ``usable``."""
     spark = vectors.sparkSession
     prepare(spark)
-    norm = F.expr("least(greatest(sqrt(aggregate(v, 0d, (s, x) -> s + x * x)), 1e-300D), 1e300D)")
-    known = vectors.agg(F.count("*").alias("n"), F.max(norm).alias("norm"), F.max(F.size("v")).alias("dims")).first()
+    known, scales = extent(vectors)
     if not known.n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    # Counted from the longest vector, so that equal norms are one band whatever their rounding; a double allows some 2,000 bands.
-    banded = vectors.select(norm.alias("norm")).groupBy(F.floor(F.log2(F.lit(known.norm)) - F.log2("norm") + 1e-9).alias("band")).agg(F.max("norm").alias("scale"))
-    hashing = Tables(known.dims, tuple(sorted(r.scale for r in banded.collect())), tables, projections, width)
+    hashing = (fitted or fit(vectors, known.n, known.dims, scales, k, tables, recall)).hashing
+    tables = hashing.tables
     base = max(1, -(-tables * known.n // shard_rows))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,21 +311,24 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, probes: int = 60
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = splits.value
         for batch in batches:
-            ids, at = np.asarray(batch.column(0)), hashing.project(_matrix(batch.column(1)), True)
-            cells = np.floor(at)
+            ids = np.asarray(batch.column(0))
             shards, lists, rows = [], [], []
-            for r in range(len(ids)):
-                visits: dict[int, list[int]] = {}
-                for t in range(tables):
-                    moved = cells[r, t].astype(np.int64) + perturbations(at[r, t] - cells[r, t], probes)
-                    for b in np.concatenate([names(moved, band * tables + t) for band in range(len(hashing.scales))]).tolist():
-                        for part in range(parts.get(b, 1)):
-                            s = int(_shard_of(np.array([b]), np.array([part]), base)[0])
-                            visits.setdefault(s, []).append(b)
-                for s, found in visits.items():
-                    shards.append(s)
-                    lists.append(sorted(set(found)))
-                    rows.append(r)
+            for first in range(0, len(ids), 50):
+                visited = hashing.asked(_matrix(batch.column(1).slice(first, 50)))
+                if parts:
+                    spread = [np.concatenate([np.repeat(np.array([b]), parts.get(b, 1)) for b in row]) for row in visited.tolist()]
+                    part = [np.concatenate([np.arange(parts.get(b, 1)) for b in row]) for row in visited.tolist()]
+                else:
+                    spread, part = list(visited), [np.zeros(len(v), np.int64) for v in visited]
+                for r, (buckets, p) in enumerate(zip(spread, part), first):
+                    s = _shard_of(buckets, p, base)
+                    order = np.lexsort((buckets, s))
+                    s, buckets = s[order], buckets[order]
+                    own = np.flatnonzero(np.diff(s, prepend=-1))
+                    for found in np.split(buckets, own[1:]):
+                        lists.append(np.unique(found))
+                    shards += s[own].tolist()
+                    rows += [r] * len(own)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(shards, pa.int64()), pa.array(lists, pa.list_(pa.int64())), pa.array(ids[rows] if rows else [], pa.int64()), batch.column(1).take(pa.array(rows, pa.int64()))],
                 names=["shard", "buckets", "query_id", "v"],
