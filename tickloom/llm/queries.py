@@ -23,8 +23,8 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     stored = telephony.store_payloads(docs).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "media")
-    found = telephony.features(cut(stored, "media"))
-    return found.select("doc_id", "n_bytes", "f.*")
+    pcm = cut(telephony.decode(cut(stored, "media")).select("doc_id", "n_bytes", "d.*"), "pcm")
+    return telephony.features(pcm).drop("codec", "pcm")
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
