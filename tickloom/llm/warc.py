@@ -9,7 +9,8 @@ that the partitions in order are one globally ordered capture history, however m
 
 Nulls and edge cases: a null payload is empty; a null url has no target header and an empty URL key; a null page_id
 never wins over another, and where all are null every record is a response; rows that repeat the winning page_id are
-responses each; white space and control characters in a url are percent-encoded; an empty table gives no captures; other
+responses each; white space and control characters in a url are percent-encoded; a very long payload is one record, held
+whole by one task; an empty table gives no captures; other
 columns are ignored.
 """
 
@@ -91,9 +92,9 @@ def write(pages: DataFrame, path: str, payload: str = "html") -> None:
     prepare(spark)
     held = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.encode(F.coalesce(F.col(payload), F.lit("")), "UTF-8").alias("body"))
     held = held.withColumn("sha1", F.sha1("body"))
-    # One short row for each distinct payload; a payload that many pages share is a skewed join that Spark splits.
-    winners = held.groupBy("sha1").agg(F.max("page_id").alias("winner"))
-    joined = held.join(winners, "sha1").select("page_id", "url", "body", "winner")
+    # One short row for each payload that several pages share; one that very many share is a skewed join that Spark splits.
+    winners = held.groupBy("sha1").agg(F.max("page_id").alias("winner"), F.count("*").alias("pages")).where("pages > 1").select("sha1", "winner")
+    joined = held.join(winners, "sha1", "left").select("page_id", "url", "body", "winner")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[bytes] = []
