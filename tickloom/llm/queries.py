@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import hosts, mixing, neighbours, packing, quality, simhash, telephony, tokenbin, toxicity, warc
+from tickloom.llm import hosts, mixing, negatives, neighbours, packing, quality, simhash, telephony, tokenbin, toxicity, warc
 from tickloom.llm.common import cut, scratch, table, unsigned_hex
 
 def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,6 +105,12 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.placed(read_back).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = cut(negatives.usable(table(spark, sf_dir, "embeddings"), label), "vectors")
+    return negatives.mine(vectors, F.col("vec_id") % 50 == 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -123,10 +129,12 @@ QUERIES = {
     "op8_hosts": op8_hosts,
     "op9_packing": op9_packing,
     "op10_token_files": op10_token_files,
+    "op11_hard_negatives": op11_hard_negatives,
 }
 
 ORACLES: dict[str, str] = {
     "op2_mixing": mixing.sql(MIX),
     "op4_warc": WARC_SQL,
     "op8_hosts": hosts.sql(RULES),
+    "op11_hard_negatives": negatives.sql(),
 }
