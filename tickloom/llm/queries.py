@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import hosts, mixing, negatives, neighbours, packing, quality, simhash, telephony, tokenbin, toxicity, warc
+from tickloom.llm import hosts, mixing, negatives, neighbours, ordermin, packing, quality, simhash, telephony, tokenbin, toxicity, warc
 from tickloom.llm.common import cut, scratch, table, unsigned_hex
 
 def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,6 +111,11 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(vectors, F.col("vec_id") % 50 == 0)
 
 
+def op12_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ordermin.compared(table(spark, sf_dir, "documents"))
+    return found.withColumns({name: F.lower(F.hex(name)) for name in ("fingerprint", "edited_fingerprint")})
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -130,6 +135,7 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_token_files": op10_token_files,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_order_minhash": op12_order_minhash,
 }
 
 ORACLES: dict[str, str] = {
