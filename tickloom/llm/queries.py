@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import hosts, mixing, negatives, neighbours, ordermin, packing, quality, simhash, telephony, tokenbin, toxicity, warc
+from tickloom.llm import hosts, lexical, mixing, negatives, neighbours, ordermin, packing, quality, simhash, telephony, tokenbin, toxicity, warc
 from tickloom.llm.common import cut, scratch, table, unsigned_hex
 
 def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,6 +116,11 @@ def op12_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({name: F.lower(F.hex(name)) for name in ("fingerprint", "edited_fingerprint")})
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = cut(lexical.index(table(spark, sf_dir, "documents")), "index")
+    return lexical.search(index, table(spark, sf_dir, "benchmark"), k=20)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -136,6 +141,7 @@ QUERIES = {
     "op10_token_files": op10_token_files,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_order_minhash": op12_order_minhash,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 ORACLES: dict[str, str] = {
@@ -143,4 +149,5 @@ ORACLES: dict[str, str] = {
     "op4_warc": WARC_SQL,
     "op8_hosts": hosts.sql(RULES),
     "op11_hard_negatives": negatives.sql(),
+    "op13_ranked_search": lexical.SQL,
 }
