@@ -1,4 +1,5 @@
 import datetime as dt
+import itertools
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -74,15 +75,47 @@ def test_streamed_bars_equal_batch_bars(spark, tmp_path):
     rows = [("s", dt.datetime(2020, 1, 2, 9, m, s), float(m + s), 1.0) for m in range(5) for s in (1, 30)]
     frame = spark.createDataFrame(rows, "Symbol string, Datetime timestamp, Price double, Volume double")
     frame.write.parquet(f"file://{tmp_path}/in")
-    stream = live_bars(spark.readStream.schema(frame.schema).parquet(f"file://{tmp_path}/in"), late="0 seconds")
+    stream = live_bars(spark.readStream.schema(frame.schema).parquet(f"file://{tmp_path}/in"), late="0 seconds", tie="Price")
     query = stream.writeStream.format("memory").queryName("live").outputMode("append").option("checkpointLocation", f"file://{tmp_path}/ck").start()
     query.processAllAvailable()
     query.stop()
     got = {(r.Datetime, r.Open, r.Close) for r in spark.table("live").collect()}
-    want = {(r.Datetime, r.Open, r.Close) for r in bars.time_bars(frame).collect()}
+    want = {(r.Datetime, r.Open, r.Close) for r in bars.time_bars(frame, tie="Price").collect()}
     assert got <= want and len(got) >= 4
 
 
+def test_bars_keep_the_order_of_ticks_of_one_microsecond(spark):
+    rows = [("s", dt.date(2020, 1, 2), 33_000_000_000_000 + 100 * k, 100.0 + k, 1.0) for k in range(3)]
+    for order in itertools.permutations(rows):
+        frame = spark.createDataFrame(order, "Symbol string, Date date, Time long, Price double, Volume double").coalesce(1).withColumn("Datetime", bars.tick_datetime())
+        bar = bars.time_bars(frame).first()
+        assert (bar.Open, bar.Close, bar.Volume) == (100.0, 102.0, 3.0)
+    with pytest.raises(ValueError, match="tie"):
+        bars.time_bars(frame.drop("Time"))
+
+
+def scanned(frame):
+    """Files that the plan's scans read."""
+    frame.collect()
+    leaves = frame._jdf.queryExecution().executedPlan().collectLeaves()
+    return [leaves.apply(k).metrics().apply("numFiles").value() for k in range(leaves.size())]
+
+
+def test_a_filter_on_the_folder_reads_its_files_only(spark, tmp_path):
+    for folder in ("KOR_2017", "KOR_2018", "US_2017"):
+        for name in ("a", "b"):  # one as Spark writes it, one plain file
+            spark.createDataFrame([(folder + name, 1.0)], "Symbol string, Price double").coalesce(1).write.parquet(f"file://{tmp_path}/{folder}/{name}.parquet")
+        pq.write_table(pa.table({"Symbol": [folder + "c"]}), tmp_path / folder / "c.parquet")
+    every = ticks.read_folders(spark, f"file://{tmp_path}", ["KOR", "US"])
+    assert scanned(every.select("Symbol")) == [3, 3, 3] and scanned(every.where("year = 2017").select("Symbol")) == [3, 3]
+    assert scanned(every.where("country = 'KOR' AND year = 2018").select("Symbol")) == [3]
+    assert all(r.Symbol[:-1] == f"{r.country}_{r.year}" for r in every.select("Symbol", "country", "year").collect())
+    files = ticks.tick_files(spark, f"file://{tmp_path}", "KOR")
+    assert {(r.country, r.year) for r in ticks.with_origin(ticks.read_ticks(spark, files)).collect()} == {("KOR", 2017), ("KOR", 2018)}
+    with pytest.raises(FileNotFoundError):
+        ticks.read_folders(spark, f"file://{tmp_path}", ["KOR", "JP"])
+
+
 STUB = """
 import pandas as pd
 from types import SimpleNamespace

@@ -15,13 +15,13 @@ class Windows:
 
 @dataclass(frozen=True)
 class PinConfig:
-    """starts: EA, YZ or GWJ. slab: window ends that one task estimates together. cycles: what still climbs after so many has no estimate."""
+    """starts: EA, YZ or GWJ. slab: window ends that one task estimates together. cycles: of expectation-maximisation, after which second-order steps finish what still climbs."""
 
     windows: Windows = Windows()
     starts: str = "EA"
     extra_clusters: int = 4
     slab: int = 512
-    cycles: int = 5000
+    cycles: int = 100
     tolerance: float = 1e-9
 
 
@@ -31,8 +31,9 @@ class ApinConfig:
 
     emit_skips: whether windows without an estimate give a row with the reason.
     tie_theta: shocks are equally likely on days with and without information.
-    warm_extra: cluster starts added to a warm start.
-    cycles: what still climbs after so many has no estimate.
+    warm_extra: generated starts of either kind added to a warm start. fresh_starts: those of either kind where there is none.
+    timeout_seconds: what one window may take, all its starts together.
+    cycles: of expectation-maximisation, after which second-order steps finish what still climbs.
     slab: window ends whose generated starts one task follows together.
     """
 
@@ -42,7 +43,7 @@ class ApinConfig:
     warm_extra: int = 0
     fresh_starts: int = 20
     timeout_seconds: float = 120.0
-    cycles: int = 5000
+    cycles: int = 100
     tolerance: float = 1e-8
     slab: int = 512
 

@@ -3,23 +3,41 @@
 A day belongs to one of a few branches; in each, buys and sells are Poisson with a rate that is a sum of some of the
 model's rates. Expectation-maximisation attributes counts to the rates by superposition, so each step is closed form and
 raises the likelihood; squared extrapolation speeds it up and gives way to the plain step wherever it would lower the likelihood.
+Rows that still climb after a given number of cycles are finished by second-order steps (``ascent``), so every start is followed to its end.
 """
 
 from __future__ import annotations
 
 import functools
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 
+from tickloom.functions import ascent
+
 RATE_FLOOR, CHANCE_FLOOR = 1e-8, 1e-10
 
 
-#: What became of a row: converged; still climbing after the last cycle; out of time; given up, as another start of its window is out of reach.
-CONVERGED, CLIMBING, LATE, BEATEN = 0, 1, 2, 3
-#: Cycles after which starts of a window are held against each other.
-RACE = 100
+#: What became of a row: converged, or out of time.
+CONVERGED, LATE = 0, 1
+
+
+class Clock:
+    """Time that windows have used, where the rows of many advance together: each step's time is shared by the rows that it moves."""
+
+    def __init__(self, limits: np.ndarray, now: Callable[[], float] = time.monotonic):
+        """limits: seconds of each window."""
+        self.limits, self.used, self.now = np.asarray(limits, float), np.zeros(len(limits)), now
+        self.last = now()
+
+    def late(self, owner: np.ndarray) -> np.ndarray:
+        """Which of the rows that were on their way since the last call have no time left; owner: the window of each."""
+        at = self.now()
+        self.used += np.bincount(owner, minlength=len(self.used)) * ((at - self.last) / max(len(owner), 1))
+        self.last = at
+        return self.used[owner] > self.limits[owner]
 
 
 @dataclass(frozen=True, eq=False)
@@ -73,6 +91,32 @@ class Model:
             of[1::2, 2:], among[:, 2:] = 1, 1
         return of, among
 
+    @functools.cached_property
+    def outcomes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each branch, the chances that came true in it and those that did not (branch by chance)."""
+        if self.chances == 2:
+            return np.array([[0, 0], [1, 1], [1, 0]], float), np.array([[1, 0], [0, 0], [0, 1]], float)
+        yes, no = np.zeros((6, 4)), np.zeros((6, 4))
+        yes[2:, 0], no[:2, 0] = 1, 1
+        yes[2:4, 1], no[4:, 1] = 1, 1
+        yes[1, 2], no[0, 2] = 1, 1
+        yes[[3, 5], 3], no[[2, 4], 3] = 1, 1
+        return yes, no
+
+    @functools.cached_property
+    def _ties(self) -> np.ndarray | None:
+        """Coordinates by free coordinates, where two are the same."""
+        return np.delete(np.eye(len(self.names)), 3, axis=1) + np.eye(len(self.names))[:, [3]] * np.eye(len(self.names) - 1)[2] if self.tied else None
+
+    def free(self, gradient: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Derivatives by the coordinates that can move on their own."""
+        t = self._ties
+        return (gradient, second) if t is None else (gradient @ t, t.T @ second @ t)
+
+    def whole(self, step: np.ndarray) -> np.ndarray:
+        """A step of the free coordinates in all of them."""
+        return step if self._ties is None else step @ self._ties.T
+
     def from_weights(self, w: np.ndarray, old: np.ndarray) -> np.ndarray:
         """Chances from the days attributed to each branch; where nothing is attributed the old value stays."""
         of, among = self.parts
@@ -142,27 +186,27 @@ def maximise(
     cycles: int,
     tolerance: float,
     owner: np.ndarray | None = None,
-    deadline: float | None = None,
-    patience: int = 10_000,
+    clock: Clock | None = None,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Parameters and log-likelihood that each row's start leads to, and what became of it (CONVERGED, CLIMBING, LATE, BEATEN).
+    """Parameters and log-likelihood that each row's start leads to, and what became of it (CONVERGED, LATE).
 
-    owner: the window of each row, in ``buys`` and ``sells``; without it rows are windows. A start is given up once another
-    of its window is ahead by more than ``patience`` cycles would bring it at its present speed.
+    owner: the window of each row, in ``buys`` and ``sells``; without it rows are windows. cycles: of expectation-maximisation, after
+    which second-order steps finish what still climbs. clock: tells which windows run out of time; all others go on.
     """
     owner = np.arange(len(start)) if owner is None else owner
     days, times = collapsed(buys, sells)
     p = model.clamp(start.astype(float))
     best = np.full(len(p), -np.inf)
-    fate = np.full(len(p), CLIMBING, np.int8)
+    fate = np.full(len(p), CONVERGED, np.int8)
     live = np.arange(len(p))
     d, t = days[owner], times[owner]
-    for k in range(cycles):
+    for _ in range(cycles):
+        if clock is not None and len(live):
+            gone = clock.late(owner[live])
+            fate[live[gone]] = LATE
+            live, d, t = live[~gone], d[~gone], t[~gone]
         if not len(live):
             break
-        if deadline is not None and time.monotonic() > deadline:
-            fate[live] = LATE
-            break
         p0 = p[live]
         p1, _ = step(model, p0, d, t)
         p2, l1 = step(model, p1, d, t)
@@ -176,18 +220,16 @@ def maximise(
         good = np.isfinite(far_l) & (far_l >= l1)
         p[live] = np.where(good[:, None], p3, p2)
         now = np.where(good, far_l, l1)
-        gain = now - best[live]
-        done = gain <= tolerance * (1 + np.abs(now))
+        done = now - best[live] <= tolerance * (1 + np.abs(now))
         best[live] = np.maximum(now, best[live])
-        fate[live[done]] = CONVERGED
-        if k >= RACE and k % 20 == 0 and len(live) > 1:
-            ahead = np.full(len(days), -np.inf)
-            np.maximum.at(ahead, owner, np.where(np.isfinite(best), best, -np.inf))
-            beaten = ~done & (ahead[owner[live]] - best[live] > patience * gain)
-            fate[live[beaten]] = BEATEN
-            done |= beaten
         if done.any():
             live, d, t = live[~done], d[~done], t[~done]
+    sound = live[np.isfinite(p[live]).all(1) & np.isfinite(best[live])]
+    if len(sound):
+        whose = owner[sound]
+        ends, late = ascent.climb(model, p[sound], days[whose], times[whose], tolerance / 10, None if clock is None else lambda rows: clock.late(whose[rows]))
+        p[sound] = ends
+        fate[sound[late]] = LATE
     _, best = step(model, p, days[owner], times[owner])
     return p, best, fate
 

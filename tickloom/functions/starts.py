@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 
-from tickloom.functions.kernels import RATE_FLOOR
+from tickloom.functions.kernels import RATE_FLOOR, Model
 
 
 def clusters(values: np.ndarray, count: int) -> np.ndarray:
@@ -66,6 +68,100 @@ def pin_starts(kind: str, buys: np.ndarray, sells: np.ndarray, extra: int) -> np
     return found if len(found) else pin_gwj(buys, sells)
 
 
+def plane_clusters(buys: np.ndarray, sells: np.ndarray, count: int) -> np.ndarray:
+    """Complete-linkage clusters of days in the plane of buys and sells, numbered by their mean imbalance, then by their mean total.
+
+    The pair whose union has the smallest diameter is merged next; of several such, the one that comes first.
+    """
+    points, which, times = np.unique(np.column_stack([buys, sells]), axis=0, return_inverse=True, return_counts=True)
+    n = len(points)
+    far = np.sqrt(((points[:, None] - points[None]) ** 2).sum(2))
+    far[np.tril_indices(n)] = np.inf
+    label = np.arange(n)
+    for _ in range(n - count):
+        i, j = divmod(int(far.argmin()), n)
+        row = np.maximum(np.minimum(far[i], far[:, i]), np.minimum(far[j], far[:, j]))  # each distance is held above the diagonal only
+        far[i, i + 1 :], far[:i, i] = row[i + 1 :], row[:i]
+        far[j], far[:, j] = np.inf, np.inf
+        label[label == j] = i
+    names, place = np.unique(label, return_inverse=True)
+    weight = np.bincount(place, times)
+    b, s = (np.bincount(place, times * points[:, k]) / weight for k in (0, 1))
+    rank = np.empty(len(names), int)
+    rank[np.lexsort((b, b + s, b - s))] = np.arange(len(names))
+    return rank[place][which.ravel()]
+
+
+# The six types of days, in the order of the branches of the model: no news, bad news, good news, each calm and then shocked.
+TYPES = 6
+
+
+def assignments(totals: np.ndarray) -> np.ndarray:
+    """Every way to give clusters, in the order of their imbalance, to the six types of days: (ways, clusters).
+
+    Clusters from the lowest imbalances on are bad news, then none, then good news; of each of the three, those with the smaller
+    totals are calm and the others shocked. All six have a cluster where there are six clusters or more, which is one way for each
+    composition of their number into six parts; with fewer clusters types may be empty.
+    """
+    m = len(totals)
+    least = 1 if m >= TYPES else 0
+    order = {(i, j): np.arange(i, j)[np.argsort(totals[i:j], kind="stable")] for i in range(m + 1) for j in range(i, m + 1)}
+    out = []
+    for i in range(2 * least, m + 1):
+        for j in range(i + 2 * least, m + 1 - 2 * least):
+            for runs in itertools.product(*(range(least, size + 1 - least) for size in (i, j - i, m - j))):
+                way = np.empty(m, int)
+                for (low, high), calm, kind in zip(((0, i), (i, j), (j, m)), runs, (2, 0, 4)):
+                    way[order[low, high][:calm]], way[order[low, high][calm:]] = kind, kind + 1
+                out.append(way)
+    return np.unique(np.array(out), axis=0)
+
+
+def _ratio(top: np.ndarray, bottom: np.ndarray, otherwise: np.ndarray | float) -> np.ndarray:
+    return np.where(bottom > 0, top / np.where(bottom > 0, bottom, 1), otherwise)
+
+
+def parameters(days: np.ndarray, buys: np.ndarray, sells: np.ndarray) -> np.ndarray:
+    """AdjPIN parameters of each way, from the days, buys and sells of the six types, (ways, 6) each."""
+    n, b, s = days.sum(1), buys.sum(1), sells.sum(1)
+    overall_b, overall_s = b / n, s / n
+    event, shocked = days[:, 2:].sum(1), days[:, 1::2].sum(1)
+    none, bad, good = (slice(k, k + 2) for k in (0, 2, 4))
+    share = shocked / n
+    eb = np.maximum(_ratio(buys[:, [0, 2]].sum(1), days[:, [0, 2]].sum(1), overall_b), 1e-2)
+    es = np.maximum(_ratio(sells[:, [0, 4]].sum(1), days[:, [0, 4]].sum(1), overall_s), 1e-2)
+    chances = [event / n, _ratio(days[:, bad].sum(1), event, 0.5), _ratio(days[:, 1], days[:, none].sum(1), share), _ratio(days[:, 3] + days[:, 5], days[:, bad].sum(1) + days[:, good].sum(1), share)]
+    rates = [
+        _ratio(buys[:, 4], days[:, 4], overall_b) - eb,
+        _ratio(sells[:, 2], days[:, 2], overall_s) - es,
+        eb,
+        es,
+        _ratio(buys[:, [1, 3]].sum(1), days[:, [1, 3]].sum(1), overall_b) - eb,
+        _ratio(sells[:, [1, 5]].sum(1), days[:, [1, 5]].sum(1), overall_s) - es,
+    ]
+    return np.column_stack([*(np.clip(c, 0.02, 0.98) for c in chances), *(np.maximum(r, 1e-2) for r in rates)])
+
+
+def apin_sets(buys: np.ndarray, sells: np.ndarray, extra: int = 4) -> np.ndarray:
+    """The parameter sets of all assignments of 6 + ``extra`` clusters of the days to the six types, duplicates removed: C(5 + extra, 5) at most."""
+    label = plane_clusters(buys, sells, TYPES + extra)
+    days = np.bincount(label).astype(float)
+    b, s = np.bincount(label, buys), np.bincount(label, sells)
+    ways = assignments((b + s) / days)
+    held = (ways[:, None, :] == np.arange(TYPES)[None, :, None]).astype(float)
+    return np.unique(parameters(held @ days, held @ b, held @ s), axis=0)
+
+
+def apin_starts(model: Model, buys: np.ndarray, sells: np.ndarray, count: int, extra: int = 4) -> np.ndarray:
+    """The first ``count`` of ``apin_sets``, in an order whose every head is spread over all of them, and as many ``line_sets``; tied shocks have the chance of quiet days."""
+    sets = apin_sets(buys, sells, extra)
+    spread = np.argsort(np.arange(len(sets)) * ((5**0.5 - 1) / 2) % 1, kind="stable")
+    found = np.concatenate([sets[spread[: max(count, 1)]], line_sets(buys, sells, count, extra)])
+    if model.tied:
+        found[:, 3] = found[:, 2]
+    return found
+
+
 def _apin(buys: np.ndarray, sells: np.ndarray, bad: np.ndarray, good: np.ndarray, shocked: np.ndarray) -> list[float]:
     event, calm = bad | good, ~shocked
     eb = max(_mean(buys, calm & ~good, buys.mean()), 1e-2)
@@ -90,8 +186,8 @@ def _upper(values: np.ndarray, parts: int, top: int) -> np.ndarray:
     return label > max(label.max() - top, 0) if label.max() else np.zeros(len(values), bool)
 
 
-def apin_starts(buys: np.ndarray, sells: np.ndarray, count: int, extra: int = 4) -> np.ndarray:
-    """At most ``count`` starts from clusters of the days.
+def line_sets(buys: np.ndarray, sells: np.ndarray, count: int, extra: int = 4) -> np.ndarray:
+    """At most ``count`` parameter sets from clusters of the days' imbalances.
 
     The days fall into 3 + ``extra`` complete-linkage clusters by imbalance. Each pair of cuts between them tells bad news, none
     and good news apart; of each of the three, the days in the upper of two clusters by their totals are shocked. Balanced cuts come

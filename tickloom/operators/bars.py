@@ -24,10 +24,15 @@ def date_in(utc: str | Column, zone: str) -> Column:
 def time_bars(ticks: DataFrame, every: str = "1 minute", tie: str | None = None) -> DataFrame:
     """Open, Close and Volume of each interval [t, t+every) with trades of positive volume.
 
-    Ticks have Symbol, Datetime, Price and Volume; ``tie`` orders those of one instant. A bar is one group however its
+    Ticks have Symbol, Datetime, Price and Volume. ``tie`` orders those of one instant, which a Datetime of whole microseconds
+    does not; without it that is the column Time, the nanoseconds of the tick, and an error where there is none. Price and
+    volume then order what is left, so that a bar does not depend on the order of the rows. A bar is one group however its
     ticks are spread over files.
     """
-    order = F.struct("Datetime", *([tie] if tie else []))
+    tie = tie or ("Time" if "Time" in ticks.columns else None)
+    if tie is None:
+        raise ValueError("ticks without a column Time need a tie, which orders ticks of one instant")
+    order = F.struct("Datetime", tie, "Price", "Volume")
     bars = ticks.where("Volume > 0").groupBy("Symbol", F.window("Datetime", every).alias("w"))
     return bars.agg(F.min_by("Price", order).alias("Open"), F.max_by("Price", order).alias("Close"), F.sum("Volume").alias("Volume")).select("Symbol", F.col("w.start").alias("Datetime"), "Open", "Close", "Volume")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.functions.store import cut
@@ -41,3 +41,19 @@ def dense_daily(daily: DataFrame) -> DataFrame:
     daily = cut(daily, "daily")
     filled = calendar_grid(daily).join(daily, ["Symbol", "Date"], "left")
     return filled.select("Symbol", "Date", F.coalesce("B", F.lit(0)).cast("int").alias("B"), F.coalesce("S", F.lit(0)).cast("int").alias("S"))
+
+
+def write_panel(dense: DataFrame, table: str, buckets: int) -> None:
+    """The panel as a table of the catalog in ``buckets`` files by Symbol, each in the order of Symbol and Date.
+
+    Read by ``read_panel``, windows over it and the ``bucketed`` estimators need neither shuffle nor sort. A bucket is a task
+    of theirs, so there should be a few for each core, and no more than symbols.
+    """
+    laid = dense.repartition(buckets, "Symbol").sortWithinPartitions("Symbol", "Date")
+    laid.write.mode("overwrite").option("compression", "zstd").bucketBy(buckets, "Symbol").sortBy("Symbol", "Date").saveAsTable(table)
+
+
+def read_panel(spark: SparkSession, table: str) -> DataFrame:
+    """The table that ``write_panel`` wrote. Sets the session to rely on the order of buckets that are one file each."""
+    spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+    return spark.table(table)

@@ -50,9 +50,30 @@ def read_ticks(spark: SparkSession, files: list[str], schema: str = TICKS) -> Da
 
 
 def with_origin(ticks: DataFrame) -> DataFrame:
-    """``ticks`` with the country and year of the folder that each row was read from."""
+    """``ticks`` with the country and year of the innermost tick folder that each row was read from; null where there is none."""
     name = F.col("_metadata.file_path")
-    return ticks.select("*", F.regexp_extract(name, r"/([A-Z]+)_\d{4}/[^/]*$", 1).alias("country"), F.regexp_extract(name, r"/[A-Z]+_(\d{4})/[^/]*$", 1).cast("int").alias("year"))
+    country, year = (F.nullif(F.regexp_extract(name, r"^.*/([A-Z]+)_(\d{4})/", k), F.lit("")) for k in (1, 2))
+    return ticks.select("*", country.alias("country"), year.cast("int").alias("year"))
+
+
+def read_folders(spark: SparkSession, base: str, countries: list[str], schema: str = TICKS, suffix: str = "parquet") -> DataFrame:
+    """Ticks of all files of the countries, with country and year.
+
+    Both are constants of each folder's own scan, so a filter on them leaves whole folders out of the plan. A country without
+    files is an error.
+    """
+    out = None
+    for country in countries:
+        by_folder: dict[str, list[str]] = {}
+        for file in tick_files(spark, base, country, suffix):
+            by_folder.setdefault(file.rpartition("/")[0], []).append(file)
+        for folder, files in by_folder.items():
+            year = int(_FOLDER.match(folder.rpartition("/")[2])[2])
+            part = read_ticks(spark, files, schema).withColumns({"country": F.lit(country), "year": F.lit(year)})
+            out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("no country is given")
+    return out
 
 
 def _known(value: str | Column) -> Column:
