@@ -2,6 +2,7 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tickloom.llm import mixing
 
@@ -51,6 +52,15 @@ def test_rows_are_repeated_by_epochs_and_columns_kept(spark):
     assert got == chosen and max(chosen.values()) == 2
 
 
+def test_rows_that_differ_in_other_columns_are_taken_each(spark):
+    docs = spark.createDataFrame([(1, "a b", "en", "src0", 1), (1, "a b", "de", "src3", 1), (1, "a b", "en", "src0", 2), (1, "a b", "en", "src0", 2), (2, "c d", "en", "src1", None), (None, "e f", None, None, None)], "doc_id long, text string, lang string, source string, `k.x` int")
+    for epochs in (1, 2):
+        out = mixing.mixed(docs, mixing.Mix(fraction=float(epochs), max_epochs=epochs))
+        assert sorted(map(str, out.collect())) == sorted(map(str, epochs * docs.collect()))
+    with pytest.raises(ValueError, match="slice"):
+        mixing.select(docs.withColumn("slice", F.lit(1)), mixing.Mix(), keep=["slice"])
+
+
 def test_no_documents(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
     assert mixing.select(docs, mixing.Mix()).collect() == [] and mixing.mixed(docs, mixing.Mix()).collect() == []

@@ -82,12 +82,19 @@ def budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     return given.select(*LEVELS, "tokens", "docs", F.floor(F.col("give") + 1e-6).cast("long").alias("budget"))
 
 
+#: Names that ``select`` uses itself.
+RESERVED = frozenset(("doc_id", "domain", "lang", "source", "n_tokens", "copies", "digest", "tokens", "docs", "budget", "whole", "rest", "order", "slice", "times", "before", "inside", "fits", "k"))
+
+
 def select(docs: DataFrame, mix: Mix, domain: Column | None = None, keep: list[str] | None = None) -> DataFrame:
     """The chosen documents: doc_id, domain, lang, source, n_tokens and copies, the number of epochs that hold them.
 
-    keep: further columns of ``docs`` to carry along.
+    keep: further columns of ``docs`` to carry along, of types that can be ordered; they tell rows apart. The names of ``RESERVED``
+    are refused.
     """
     keep = keep or []
+    if clash := RESERVED & set(keep):
+        raise ValueError(f"columns of these names can't be kept: {', '.join(sorted(clash))}")
     counted = docs.select(
         "doc_id",
         (domain_of_source() if domain is None else domain).alias("domain"),
@@ -108,7 +115,7 @@ def select(docs: DataFrame, mix: Mix, domain: Column | None = None, keep: list[s
     size = F.sum(F.col("n_tokens") * F.col("times"))
     slices = dealt.groupBy(*LEVELS, "slice").agg(size.alias("size"))
     before = slices.withColumn("before", F.sum("size").over(Window.partitionBy(*LEVELS).orderBy("slice")) - F.col("size")).drop("size")
-    inside = Window.partitionBy(*LEVELS, "slice").orderBy("order", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy(*LEVELS, "slice").orderBy("order", "doc_id", "n_tokens", *keep).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = dealt.withColumn("inside", size.over(inside)).join(before, [*LEVELS, "slice"])
     # Of equal rows, so many as still fit are taken once more.
     room = F.col("rest") - F.col("before") - F.col("inside") + F.col("n_tokens") * F.col("times")
@@ -120,8 +127,10 @@ def select(docs: DataFrame, mix: Mix, domain: Column | None = None, keep: list[s
 
 def mixed(docs: DataFrame, mix: Mix) -> DataFrame:
     """The rows of ``docs`` that the mix takes, each once for every epoch that holds it."""
-    # The rows' own columns travel in a struct, where no name of theirs can meet one of these.
-    keyed = docs.select("doc_id", "lang", "source", "text", F.xxhash64("text").alias("h"), F.struct("*").alias("row"))
+    # The rows' own columns travel in a struct, where no name of theirs can meet one of these. Rows that differ anywhere differ in h,
+    # which is taken of all columns but maps, as those have no hash.
+    own = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    keyed = docs.select("doc_id", "lang", "source", "text", F.xxhash64(*(F.col(f"`{c}`") for c in own)).alias("h"), F.struct("*").alias("row"))
     chosen = select(keyed, mix, keep=["h"]).groupBy("doc_id", "h").agg(F.sum("copies").cast("int").alias("copies"))
     left, right = keyed.select("doc_id", "h", "row").dropDuplicates(["doc_id", "h"]).alias("d"), chosen.alias("c")
     joined = left.join(right, F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.h") == F.col("c.h")))
