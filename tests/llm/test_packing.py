@@ -78,14 +78,16 @@ def test_small_instances_are_packed_as_well_as_can_be():
         assert packed.max() + 1 == best, sizes
 
 
-def test_the_packing_comes_from_crossovers(spark):
+def test_the_packing_comes_from_crossovers_where_the_bound_is_missed(spark):
     rng = np.random.default_rng(3)
     lengths = np.minimum(4095, rng.lognormal(6.3, 1, 3000).astype(int) + 1)
     items = spark.createDataFrame([(k, int(n)) for k, n in enumerate(lengths)], "rid long, length long")
     grown = packing.pack_instances(items, 2, 4096, islands=2, epochs=1, seed=1).toPandas()
-    assert (grown.groupby("instance").crossovers.first() > 0).all() and sorted(grown.rid) == list(range(3000))
+    assert sorted(grown.rid) == list(range(3000)) and grown.crossovers.max() > 0
+    for _, own in grown.groupby("instance"):
+        assert own.crossovers.iloc[0] > 0 or own.bin.nunique() == -(-int(own.length.sum()) // 4096)
     fill = grown.groupby(["instance", "bin"]).length.sum()
-    assert fill.max() <= 4096 and len(fill) <= -(-int(lengths.sum()) // 4096) + 3
+    assert fill.max() <= 4096 and len(fill) <= -(-int(lengths.sum()) // 4096) + 2
 
 
 def test_every_piece_is_placed_without_gaps(spark):

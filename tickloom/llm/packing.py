@@ -2,9 +2,10 @@
 
 Documents become token pieces of at most ``capacity`` ids; a piece of exactly that length is a sequence of its own. The
 others are dealt evenly into instances of bounded size, whatever their documents' keys are. Each instance is evolved on
-several islands: a first generation of best fits in random orders, then crossovers that inject whole well-filled bins of one
-parent into another, remove the bins that hold the injected documents a second time and best-fit what that displaced, until
-no packing can have fewer bins or the generations are over.
+several islands: a first generation of the best fit in falling order, which often reaches the bound of the total length, and best
+fits in random orders; where the bound is missed, crossovers inject whole well-filled bins of one parent into another, remove
+the bins that hold the injected documents a second time and best-fit what that displaced, until no packing can have fewer bins
+or the generations are over.
 Between epochs the elite of each island migrates to the next one; every epoch is a Spark job over (instance, island)
 groups. Bins that stay badly filled are dissolved and dealt anew into fewer instances, until one instance is left.
 
@@ -23,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.functions.store import dealt
 from tickloom.llm import tokens
 from tickloom.llm.common import cut, prepare, slices, tidy
 
@@ -123,17 +125,18 @@ def crossover(lengths: np.ndarray, a: np.ndarray, b: np.ndarray, capacity: int,
 
 
 def evolve(lengths: np.ndarray, elites: list[np.ndarray], capacity: int, seed: int, population: int = 4, generations: int = 12) -> tuple[np.ndarray, int]:
-    """The best packing that crossovers breed from ``elites`` and from best fits of the pieces in random orders, and the number of crossovers.
+    """The best packing that crossovers breed from ``elites`` and from best fits of the pieces in falling and in random orders, and the number of crossovers.
 
     Stops at the bound of the total length.
     """
     rng = random.Random(seed)
     least = -(-int(lengths.sum()) // capacity)
-    people = list(elites)
+    loose = np.full(len(lengths), -1)
+    people = [*elites, best_fit(lengths, np.argsort(-lengths, kind="stable"), loose, capacity)]
     done = any(p.max(initial=-1) + 1 <= least for p in people)
     while len(people) < population and not done:
         order = np.random.default_rng(rng.getrandbits(32)).permutation(len(lengths))
-        people.append(best_fit(lengths, order, np.full(len(lengths), -1), capacity))
+        people.append(best_fit(lengths, order, loose, capacity))
     scored = sorted(((quality(lengths, p, capacity), -k, p) for k, p in enumerate(people)), key=lambda x: x[:2], reverse=True)
     bred = 0
     while bred < generations and len(scored) > 1 and -scored[0][0][0] > least:
@@ -161,13 +164,13 @@ def _epoch(items: DataFrame, capacity: int, seed: int, epoch: int) -> DataFrame:
         bins, fullness = quality(lengths, packed, capacity)
         return pd.DataFrame({"rid": own.rid.to_numpy(), "length": lengths, "instance": key[0], "island": key[1], "bin": packed, "bins": -bins, "fullness": fullness, "crossovers": bred})
 
-    return items.groupBy("instance", "island").applyInPandas(work, _STATE)
+    return dealt(items, "instance", "island", each=1).groupBy("instance", "island").applyInPandas(work, _STATE)
 
 
 def pack_instances(items: DataFrame, count: int, capacity: int, islands: int, epochs: int, seed: int) -> DataFrame:
     """(rid, length, instance, bin): the packing of each of ``count`` instances by its best island; crossovers, those of its last epoch."""
-    dealt = items.select("rid", "length", F.pmod(F.xxhash64(F.lit(seed), "rid"), F.lit(count)).alias("instance"))
-    state = dealt.withColumn("island", F.explode(F.array(*map(F.lit, range(islands))))).withColumn("bin", F.lit(-1).cast("long")).withColumn("origin", F.lit(-1))
+    spread = items.select("rid", "length", F.pmod(F.xxhash64(F.lit(seed), "rid"), F.lit(count)).alias("instance"))
+    state = spread.withColumn("island", F.explode(F.array(*map(F.lit, range(islands))))).withColumn("bin", F.lit(-1).cast("long")).withColumn("origin", F.lit(-1))
     for epoch in range(epochs):
         grown = cut(_epoch(state, capacity, seed, epoch), "islands")
         stay = grown.select("rid", "length", "instance", "island", "bin", F.lit(0).alias("origin"))
