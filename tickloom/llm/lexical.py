@@ -275,14 +275,16 @@ def search(table: DataFrame, items: DataFrame, k: int = 20, together: int = 128)
                     yield pa.RecordBatch.from_arrays([pa.array([item.as_py()] * len(found), pa.int64()), pa.array(list(found), pa.binary()).cast(pa.string()), pa.array(list(found.values()), pa.int64())], names=["item_id", "term", "times"])
 
     asked = cut(single.mapInArrow(words, "item_id long, term string, times long"), "asked")
-    met = cut(table.join(asked.select("term").union(spark.createDataFrame([("",)], "term string")).distinct(), "term", "left_semi").drop("docs", "length"), "lists")
-    held = met.where("term <> ''").groupBy("term").agg(F.sum("n").alias("df"))
+    met = cut(table.where("term <> ''").join(asked.select("term").distinct(), "term", "left_semi").drop("docs", "length"), "lists")
+    held = met.groupBy("term").agg(F.sum("n").alias("df"))
     weight = F.floor(F.lit(1000.0) * F.log(F.lit(2.0 * known.n + 2) / (2 * F.col("df") + 1))).cast("long")
     weighed = asked.join(held.select("term", weight.alias("weight")), "term").withColumn("part", F.pmod(F.xxhash64("item_id"), F.lit(dealt)))
     # At most the items of one block are in a list here.
     wanted = weighed.groupBy("term", "part", "weight").agg(F.collect_list(F.struct("item_id", "times")).alias("by"))
-    names = spark.range(dealt).select(F.lit("").alias("term"), F.col("id").alias("part"), F.lit(0).cast("long").alias("weight"), F.array().cast("array<struct<item_id:bigint,times:bigint>>").alias("by"))
-    rows = met.join(wanted.unionByName(names), "term").withColumn("by", F.when(F.col("block") == 0, F.col("by")))
+    lists = met.join(wanted, "term").withColumn("by", F.when(F.col("block") == 0, F.col("by")))
+    # The documents of a shard go to each block of items without a join: all shards have the empty term.
+    names = table.where("term = ''").drop("docs", "length").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(dealt - 1).cast("long"))))
+    rows = lists.unionByName(names, allowMissingColumns=True)
     n, length = int(known.n), int(known.l)
 
     def answer(key: tuple, group: pa.Table) -> pa.Table:
