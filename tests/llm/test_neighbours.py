@@ -81,11 +81,39 @@ def test_queries_short_of_candidates_are_held_against_all_vectors(spark):
     frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
     usable = N.usable(frame)
     narrow = N.Tables(64, N.extent(usable)[1], width=0.2, probes=1)
-    rows = N.search(usable, usable.where("vec_id % 20 = 0"), shard_rows=100, fitted=N.Fit(narrow, 0.0, 0.0)).collect()
+    rows = N.search(usable, usable.where("vec_id % 20 = 0"), shard_rows=100, fitted=N.Fit(narrow, 1.0, 0.0)).collect()
     got = {q: [r.vec_id for r in sorted(rows, key=lambda r: r.rank) if r.query_id == q] for q in {r.query_id for r in rows}}
     assert got == exact(range(300), vectors, 20)
 
 
+def test_blocks_of_queries_find_the_same_and_a_recall_out_of_reach_is_answered_exactly(spark):
+    vectors = np.random.default_rng(10).normal(size=(700, 16))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    usable = N.usable(frame)
+    asked, scales = usable.where("vec_id % 20 = 0"), N.extent(usable)[1]
+    wide = N.Tables(16, scales, width=4.0, probes=30)
+    one, many = (sorted(map(tuple, N.search(usable, asked, shard_rows=150, queries_each=each, fitted=N.Fit(wide, 1.0, 0.5)).collect())) for each in (4096, 6))
+    assert one == many and len(one) == 35 * 20
+    rows = N.search(usable, asked, shard_rows=150, queries_each=6, fitted=N.Fit(N.Tables(16, scales, width=0.2, probes=1), 0.5, 1.0)).collect()
+    got = {q: [r.vec_id for r in sorted(rows, key=lambda r: r.rank) if r.query_id == q] for q in {r.query_id for r in rows}}
+    assert got == exact(range(700), vectors, 20)
+
+
+def test_the_sampled_queries_are_answered_exactly_from_many_batches(spark):
+    vectors = np.random.default_rng(11).normal(size=(500, 8))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>").repartition(3)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")
+    try:
+        usable = N.usable(frame)
+        whose, near = N.exact_neighbours(usable, np.arange(0, 500, 50), vectors[::50], 20)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    want = exact(range(500), vectors, 20)
+    for q in range(10):
+        assert sorted(map(tuple, near[whose == q])) == sorted(map(tuple, vectors[want[50 * q]])) if 50 * q in want else True
+
+
 def test_clustered_vectors_are_found_without_visiting_most(spark):
     rng = np.random.default_rng(9)
     centres = rng.normal(size=(100, 32))

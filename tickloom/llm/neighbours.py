@@ -13,12 +13,15 @@ a bounded sample of vectors (``FIT_VECTORS``) tells how many a query meets. More
 so evenly that no setting is cheap, most of them are visited.
 
 Buckets are dealt into shards of about ``shard_rows`` vectors; a bucket with more is split over several shards, all of
-which its queries visit, so that a common vector or dense cluster never lands in one task whole. A shard answers each of
-its queries with ``k`` candidates at most, which loses nothing of the final ``k``.
+which its queries visit, so that a common vector or dense cluster never lands in one task whole. Queries are dealt into blocks
+of about ``queries_each``, and each block meets each shard in a group of its own, so a group's size is bounded on both sides. A
+group answers each of its queries with ``k`` candidates at most, which loses nothing of the final ``k``.
+
+Where no setting finds ``recall`` of the sampled queries' neighbours, all queries are answered exactly, block by block.
 
 Nulls and edge cases: vectors that are null, zero, hold a null or non-finite component or differ from the commonest
 length take no part, nor do rows without vec_id; rows that repeat a vec_id count once; ties go to the smaller vec_id; queries with
-fewer than ``k`` candidates are held against all vectors; an empty table gives an empty result; other columns are ignored.
+fewer than ``k`` candidates are held against all vectors, a block of queries and one of vectors at a time; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -95,7 +98,7 @@ def names(cells: np.ndarray, table: np.ndarray | int) -> np.ndarray:
     return name.view(np.int64)
 
 
-#: Perturbations among which a query's likeliest are sought.
+#: Perturbations among which a query's likeliest are sought; where they do not suffice, the search is exact.
 MOST_PROBES = 2000
 
 
@@ -207,17 +210,22 @@ def exact_neighbours(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, k
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, asked = shared.value
+        # The task's best so far: k for each query at most.
+        q, vec, score, held = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros((0, asked.shape[1]))
         for batch in batches:
             if batch.num_rows:
-                vec, v = np.asarray(batch.column(0)), _matrix(batch.column(1))
+                ids_, v = np.asarray(batch.column(0)), _matrix(batch.column(1))
                 scores = np.einsum("qd,nd->qn", asked, v)
-                scores[own[:, None] == vec[None, :]] = -np.inf
-                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                q = np.repeat(np.arange(len(own)), best.shape[1])
-                at = best.ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(vec[at]), pa.array(scores[q, at]), batch.column(1).take(pa.array(at))], names=["query", "vec_id", "score", "v"])
-
-    near = vectors.mapInArrow(work, "query long, vec_id long, score double, v array<double>").where("score > double('-infinity')")
+                scores[own[:, None] == ids_[None, :]] = -np.inf
+                edge = np.partition(scores, max(0, len(ids_) - k), axis=1)[:, max(0, len(ids_) - k)]
+                more, at = np.nonzero((scores >= edge[:, None]) & np.isfinite(scores))
+                q, vec, score, held = np.concatenate([q, more]), np.concatenate([vec, ids_[at]]), np.concatenate([score, scores[more, at]]), np.concatenate([held, v[at]])
+                keep = _best(q, vec, score, k)
+                q, vec, score, held = q[keep], vec[keep], score[keep], held[keep]
+        if len(q):
+            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(vec), pa.array(score), pa.array(list(held), pa.list_(pa.float64()))], names=["query", "vec_id", "score", "v"])
+
+    near = vectors.mapInArrow(work, "query long, vec_id long, score double, v array<double>")
     best = near.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= k)
     rows = best.select("query", "v").collect()  # FIT_QUERIES x k vectors at most
     return np.array([r.query for r in rows], np.int64), np.array([r.v for r in rows], float).reshape(len(rows), queries.shape[1])
@@ -277,15 +285,16 @@ def extent(vectors: DataFrame) -> tuple[Row, tuple[float, ...]]:
     return known, tuple(sorted(r.scale for r in banded.collect()))
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0.97, tables: int = 5, shard_rows: int = 20_000, fitted: Fit | None = None) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0.97, tables: int = 5, shard_rows: int = 20_000, queries_each: int = 4096, fitted: Fit | None = None) -> DataFrame:
     """query_id, rank, vec_id and score of the ``k`` nearest found; both inputs are (vec_id, v) as from ``usable``."""
     spark = vectors.sparkSession
     prepare(spark)
     known, scales = extent(vectors)
     if not known.n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    hashing = (fitted or fit(vectors, known.n, known.dims, scales, k, tables, recall)).hashing
-    tables = hashing.tables
+    fitted = fitted or fit(vectors, known.n, known.dims, scales, k, tables, recall)
+    hashing, tables = fitted.hashing, fitted.hashing.tables
+    parts = max(1, -(-queries.count() // queries_each))
     base = max(1, -(-tables * known.n // shard_rows))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -371,21 +380,29 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
     right = queries.mapInArrow(asked, "shard long, buckets array<long>, query_id long, v array<double>")
 
     def ranked(left: DataFrame, right: DataFrame) -> DataFrame:
-        best = left.groupBy("shard").cogroup(right.groupBy("shard")).applyInArrow(answer, "query_id long, vec_id long, score double")
+        left = left.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))) if parts > 1 else left.withColumn("part", F.lit(0).cast("long"))
+        right = right.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)))
+        best = left.groupBy("shard", "part").cogroup(right.groupBy("shard", "part")).applyInArrow(answer, "query_id long, vec_id long, score double")
         merged = best.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
         places = merged.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
         return places.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
+    # Vectors and queries by blocks, each pair of which meets once.
+    blocks = max(1, -(-known.n // shard_rows))
+    every = vectors.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("shard"), F.lit(0).cast("long").alias("bucket"), "vec_id", "v")
+
+    def exactly(few: DataFrame) -> DataFrame:
+        asking = few.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("shard"), F.array(F.lit(0).cast("long")).alias("buckets"), "query_id", "v")
+        return ranked(every, asking)
+
+    if fitted.recall < recall:
+        return exactly(queries.withColumnRenamed("vec_id", "query_id"))
     found = cut(ranked(left, right), "neighbours")
     full = found.groupBy("query_id").agg(F.count("*").alias("c")).where(F.col("c") >= min(k, known.n)).select("query_id")
     short = cut(queries.select(F.col("vec_id").alias("query_id"), "v").join(full, "query_id", "left_anti"), "short")
     if short.isEmpty():
         return found
-    # Queries with too few candidates are held against all vectors, block by block.
-    blocks = max(1, -(-known.n // shard_rows))
-    every = vectors.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("shard"), F.lit(0).cast("long").alias("bucket"), "vec_id", "v")
-    asking = short.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("shard"), F.array(F.lit(0).cast("long")).alias("buckets"), "query_id", "v")
-    return found.join(short.select("query_id"), "query_id", "left_anti").unionByName(ranked(every, asking))
+    return found.join(short.select("query_id"), "query_id", "left_anti").unionByName(exactly(short))
 
 
 def _pick(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
