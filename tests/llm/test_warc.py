@@ -1,3 +1,4 @@
+import gzip
 import random
 
 import duckdb
@@ -62,6 +63,25 @@ def test_archives_hold_every_page_in_global_order(spark, tmp_path, monkeypatch):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_a_capture_is_fetched_by_its_index_entry(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "PIECE", 100)
+    rows = [(i, f"http://h.example.com/{i}", f"<p>{i % 7} é" * (i + 1)) for i in range(60)] + [(60, "http://h.example.com/60", None)]
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2), f"file://{tmp_path}/w")
+    captures = warc.read(spark, f"file://{tmp_path}/w").collect()
+    assert sorted(r.page_id for r in captures) == list(range(61)) and len({(r.archive, r.at) for r in captures}) == 61
+    for r in captures:
+        with open(tmp_path / "w" / r.archive, "rb") as archive:
+            archive.seek(r.at)
+            headers, block = warc.fetch(archive.read(r.length))
+        assert headers["WARC-Record-ID"] == f"<urn:page:{r.page_id}>" and headers["WARC-Target-URI"] == f"http://h.example.com/{r.page_id}"
+        payload = block.partition(warc.END)[2]
+        assert payload == ((rows[r.page_id][2] or "").encode() if r.record_type == "response" else b"")
+    whole = next((tmp_path / "w").glob("part*")).read_bytes()
+    assert len(list(warc.parse(gzip.decompress(whole)))) == len(list(warc.members(whole)))  # any reader of gzip reads it
+    with pytest.raises(ValueError):
+        list(warc.members(whole[:-3]))
+
+
 def test_no_pages(spark, tmp_path):
     warc.write(spark.createDataFrame([], "page_id long, url string, html string"), f"file://{tmp_path}/none")
     assert warc.merge_index(warc.read(spark, f"file://{tmp_path}/none")).count() == 0

@@ -1,9 +1,10 @@
 """WARC archives of pages and the merge of their capture index.
 
 Writing: pages with equal payloads are known by SHA-1; the one with the largest page_id is stored as a response, the
-others as revisits that name it and carry no payload. Records are written by Spark's text writer, whose record separator
-is the blank line pair that ends a WARC record, so files are committed as any Spark output is, gzipped. Reading parses whole
-archive files, recomputes each response's digest and keeps one locally sorted run of captures per archive. The index
+others as revisits that name it and carry no payload. Each record is a gzip member of its own, so that whoever has the
+offset and length of a capture fetches it alone (``fetch``). Members are written by Spark's text writer, so files are committed
+as any Spark output is; what it puts between its rows is the empty gzip member. Reading unpacks archives record by record,
+recomputes each response's digest and keeps one locally sorted run of captures per archive. The index
 merge deals the runs by ranges of (URL key, timestamp, page_id) and merges the runs of each range by a loser tree, so
 that the partitions in order are one globally ordered capture history, however many captures one URL has.
 
@@ -19,6 +20,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import zlib
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
 
@@ -29,6 +31,10 @@ from pyspark.sql import functions as F
 from tickloom.llm.common import partitions_for, prepare
 
 END = b"\r\n\r\n"
+#: The gzip member that holds nothing; without a time, as all members here, so that equal records are equal bytes.
+NOTHING = gzip.compress(b"", mtime=0)
+#: Bytes of an archive that are unpacked at once.
+PIECE = 1 << 16
 #: Bytes at which records are handed to the writer, and such hand-overs of one archive file.
 CHUNK, CHUNKS = 4 << 20, 4
 EPOCH = datetime(2024, 1, 1, tzinfo=timezone.utc)
@@ -103,16 +109,47 @@ def write(pages: DataFrame, path: str, payload: str = "html") -> None:
             for page_id, url, body, winner in zip(*(batch.column(k) for k in range(4))):
                 page_id, data = page_id.as_py(), body.as_py()
                 captured = (EPOCH + timedelta(seconds=(page_id or 0) % (1 << 31))).strftime("%Y-%m-%dT%H:%M:%SZ")
-                waiting.append(record(page_id, url.as_py(), data, base32_sha1(data), winner.as_py(), captured))
+                waiting.append(gzip.compress(record(page_id, url.as_py(), data, base32_sha1(data), winner.as_py(), captured) + END, 6, mtime=0))
                 size += len(waiting[-1])
                 if size >= CHUNK:
-                    yield pa.RecordBatch.from_arrays([pa.array([END.join(waiting)], pa.binary())], names=["data"])
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(waiting)], pa.binary())], names=["data"])
                     waiting, size = [], 0
         if waiting:
-            yield pa.RecordBatch.from_arrays([pa.array([END.join(waiting)], pa.binary())], names=["data"])
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(waiting)], pa.binary())], names=["data"])
 
     records = joined.mapInArrow(work, "data binary").select(F.col("data").cast("string"))
-    records.write.option("maxRecordsPerFile", CHUNKS).option("lineSep", END.decode()).option("compression", "gzip").text(path)
+    # Rows are written as the bytes they are; the encoding is that of the separator.
+    records.write.option("maxRecordsPerFile", CHUNKS).option("encoding", "ISO-8859-1").option("lineSep", NOTHING.decode("latin-1")).text(path)
+
+
+def members(data: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """Offset, length and content of each gzip member that holds something."""
+    view, at = memoryview(data), 0
+    while at < len(data):
+        unpacker, parts, fed = zlib.decompressobj(wbits=31), [], at
+        while not unpacker.eof:
+            if fed >= len(data):
+                raise ValueError(f"the gzip member at byte {at} is not ended")
+            parts.append(unpacker.decompress(view[fed : fed + PIECE]))
+            fed = min(len(data), fed + PIECE)
+        end = fed - len(unpacker.unused_data)
+        content = b"".join(parts)
+        if content:
+            yield at, end - at, content
+        at = end
+
+
+def fetch(data: bytes) -> tuple[dict[str, str], bytes]:
+    """Headers and block of the one record whose bytes these are: ``length`` bytes of the archive from ``at`` on, as the index says."""
+    ((_, _, headers, block),) = parse(gzip.decompress(data))
+    return headers, block
+
+
+def _records(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
+    """Offset and length in the archive, headers and block of each record."""
+    for at, length, content in members(data):
+        for _, _, headers, block in parse(content):
+            yield at, length, headers, block
 
 
 def _page(urn: str) -> int | None:
@@ -128,7 +165,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1)):
                 rows = []
-                for at, length, headers, block in parse(gzip.decompress(content.as_py())):
+                for at, length, headers, block in _records(content.as_py()):
                     http, _, body = block.partition(END)
                     digest = headers["WARC-Payload-Digest"].removeprefix("sha1:")
                     if headers["WARC-Type"] == "response" and base32_sha1(body) != digest:
