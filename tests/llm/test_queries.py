@@ -127,3 +127,16 @@ def test_pipeline_query(spark):
         ids = plain.encode(texts[i] or "", add_special_tokens=False).ids + [1]
         assert parts.ids_crc32.tolist() == [zlib.crc32(np.array(ids[k : k + 4096], "<u4").tobytes()) for k in range(0, len(ids), 4096)]
     assert out.groupby("sequence_id").length.sum().max() <= 4096
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="the driver's tables are not here")
+@pytest.mark.parametrize("name, label, of, out, least, where", [("op5_toxicity", "toxic", 4, 2, 0.9, "sf0.1"), ("op6_quality", "quality", 5, 0, 0.95, "sf0.01")])
+def test_classifier_queries_tell_held_out_documents_apart(spark, name, label, of, out, least, where):
+    """The registered query's scores of labelled documents that it has not learnt from: area under the curve over all pairs."""
+    where = f"/root/testdata/{where}"
+    scores = {r.doc_id: r.score for r in queries.QUERIES[name](spark, where).collect() if r.held_out}
+    labels = duckdb.sql(f"SELECT doc_id, {label} AS y FROM '{where}/labels.parquet' WHERE {label} IS NOT NULL").fetchall()
+    held = [(scores[i], y) for i, y in labels if zlib.crc32(str(i).encode()) % of == out]
+    good, bad = ([s for s, y in held if y == k] for k in (1, 0))
+    area = np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad])
+    assert len(held) >= 60 and min(len(good), len(bad)) >= 5 and area >= least, (len(good), len(bad), area)
