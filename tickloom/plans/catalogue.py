@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom import config
@@ -275,6 +275,26 @@ def vpin_errors(spark, sf_dir):
     return vpin.without_result(every, vpin.vpin(vpin.usable_bars(every, strict), strict), strict)
 
 
+#: Demands between which the symbols of ``vpin_error_kinds`` fall.
+_KINDS = config.VpinConfig(bar="1 hour", buckets=20, sample=1_000_000, min_bars=40, min_ticks=200)
+
+
+@query(f"""WITH {fx.bars_sql('1 hour')}, k AS (SELECT *, dense_rank() OVER (ORDER BY Symbol) AS k, row_number() OVER (PARTITION BY Symbol ORDER BY Datetime) AS r FROM bars),
+spoilt AS (SELECT Symbol, Datetime, Open, CASE WHEN k = 2 THEN Open ELSE Close END AS Close, CASE WHEN k <> 1 THEN Volume END AS Volume FROM k WHERE (k <> 3 OR r <= 30) AND (k <> 4 OR r <= 80)),
+n AS (SELECT Symbol, count(*) AS n, max(Close <> Open) AS moves FROM spoilt WHERE Volume > 0 GROUP BY Symbol)
+SELECT Symbol, CASE WHEN n IS NULL THEN 'no usable bars' WHEN n < 40 THEN 'fewer than 40 usable bars: ' || n WHEN 2 * n < 200 THEN 'fewer than 200 ticks: ' || 2 * n
+    WHEN NOT moves THEN 'price changes do not vary' ELSE 'no 1000000 full volume buckets' END AS error FROM (SELECT DISTINCT Symbol FROM spoilt) LEFT JOIN n USING (Symbol)""")
+def vpin_error_kinds(spark, sf_dir):
+    """Each reason once: bars of one symbol lose their volume, those of another their moves, two more all but their first 30 and 80."""
+    place = F.row_number().over(Window.partitionBy("Symbol").orderBy("Datetime"))
+    every = cut(event_bars(spark, sf_dir).withColumn("r", place), "bars")
+    names = every.select("Symbol").distinct()
+    ranked = every.join(F.broadcast(names.withColumn("k", F.row_number().over(Window.orderBy("Symbol")))), "Symbol")  # one row for each event type
+    kept = ranked.where("(k <> 3 OR r <= 30) AND (k <> 4 OR r <= 80)")
+    spoilt = kept.select("Symbol", "Datetime", "Open", F.expr("IF(k = 2, Open, Close)").alias("Close"), F.expr("IF(k <> 1, Volume, NULL)").alias("Volume"))
+    return vpin.without_result(spoilt, vpin.vpin(vpin.usable_bars(spoilt, _KINDS), _KINDS), _KINDS)
+
+
 @query(f"WITH {_CLEAN} SELECT Symbol AS symbol, Datetime AS datetime, Open AS open, Close AS close, round(Volume, 6) AS volume FROM cleaned")
 def lower_names(spark, sf_dir):
     return report.lower_names(rounded(bars.clean_bars(event_bars(spark, sf_dir)), "Volume"))
@@ -379,6 +399,22 @@ def pin_rolling(spark, sf_dir):
     return estimates.pin(region_dense(spark, sf_dir))
 
 
+_OUTCOMES = f"SELECT Symbol, skip_reason, count(*) AS n, count(*) FILTER (skip_reason = 'Success') AS sound FROM ({_windows_sql(fx.REGION_SQL, "Symbol, CASE WHEN valid_days < 30 THEN 'Low_Valid_Days' ELSE 'Success' END AS skip_reason")}) GROUP BY ALL"
+
+
+@query(_OUTCOMES)
+def pin_outcomes(spark, sf_dir):
+    """What became of each symbol's windows: every one with enough days with trades has an estimate, and how many are sound."""
+    sound = F.count_if(F.expr("a BETWEEN 0 AND 1 AND d BETWEEN 0 AND 1 AND u > 0 AND eb > 0 AND es > 0 AND abs(PIN - a * u / (a * u + eb + es)) < 1e-9"))
+    return estimates.pin(region_dense(spark, sf_dir)).groupBy("Symbol", "skip_reason").agg(F.count("*").alias("n"), sound.alias("sound"))
+
+
+@query(_OUTCOMES)
+def adjpin_outcomes(spark, sf_dir):
+    sound = F.count_if(F.expr("least(a, d, t1, t2) >= 0 AND greatest(a, d, t1, t2) <= 1 AND least(ub, us, eb, es, pb, ps) > 0 AND least(APIN, PSOS) >= 0 AND APIN + PSOS <= 1"))
+    return estimates.apin(region_dense(spark, sf_dir), config.APIN_SKIP).groupBy("Symbol", "skip_reason").agg(F.count("*").alias("n"), sound.alias("sound"))
+
+
 @query()
 def adjpin_rolling(spark, sf_dir):
     return estimates.apin(region_dense(spark, sf_dir), config.APIN_BASE)
