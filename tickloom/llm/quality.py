@@ -105,7 +105,11 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, most: int, id_col: st
 
 
 def fit(learn: DataFrame, shards: int = 8, rounds: int = 3, seed: int = 11, shard_rows: int = 200) -> np.ndarray:
-    """Weights and, last, the bias, from the rows of ``sample``; small samples take fewer than ``shards`` shards."""
+    """Weights and, last, the bias, from the rows of ``sample``; small samples take fewer than ``shards`` shards.
+
+    In each round every shard is passed over once from the weights of the round before, and the shards' weights are averaged; the
+    learner's sums of squared gradients start afresh with each round.
+    """
     spark = learn.sparkSession
     prepare(spark)
     learn = cut(learn, "labelled")
