@@ -6,7 +6,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.operators import bars
+from tickloom.operators import bars, daily
 from tickloom.sources import ticks
 
 
@@ -116,6 +116,21 @@ def test_a_filter_on_the_folder_reads_its_files_only(spark, tmp_path):
         ticks.read_folders(spark, f"file://{tmp_path}", ["KOR", "JP"])
 
 
+def test_live_daily_counts_equal_those_of_a_table(spark, tmp_path):
+    from tickloom.streaming.live import live_daily
+
+    rows = [(s, dt.datetime(2020, 1, d, 9, 0, k), (-1, 0, 1, 1)[k % 4]) for s in "ab" for d in (2, 3, 6) for k in range(d * 5)] + [("a", dt.datetime(2020, 1, 2, 9), None)]
+    frame = spark.createDataFrame(rows, "Symbol string, Datetime timestamp, LR int")
+    frame.write.parquet(f"file://{tmp_path}/in")
+    stream = live_daily(spark.readStream.schema(frame.schema).parquet(f"file://{tmp_path}/in"), late="0 seconds")
+    query = stream.writeStream.format("memory").queryName("live_days").outputMode("append").option("checkpointLocation", f"file://{tmp_path}/ck").start()
+    query.processAllAvailable()
+    query.stop()
+    got = {tuple(r) for r in spark.table("live_days").collect()}
+    want = {tuple(r) for r in daily.daily_counts(frame.withColumn("Date", F.to_date("Datetime"))).select("Symbol", "Date", "B", "S").collect()}
+    assert {r for r in want if r[1] < dt.date(2020, 1, 6)} == got  # the last day is open still
+
+
 STUB = """
 import pandas as pd
 from types import SimpleNamespace

@@ -190,3 +190,13 @@ def test_counters_are_those_of_the_written_result(spark, tmp_path):
     found.write.parquet(f"file://{tmp_path}/r")
     reasons = {r.skip_reason: r["count"] for r in spark.read.parquet(f"file://{tmp_path}/r").groupBy("skip_reason").count().collect()}
     assert seen.get == {"windows": 10, "Success": reasons["Success"], "Low_Valid_Days": reasons["Low_Valid_Days"], "Est_Error": 0, "Timeout": 0}
+
+
+def test_names_and_error_lines(spark, tmp_path):
+    from datetime import datetime
+
+    assert runs.run_name("pin", "UK", datetime(2024, 3, 5, 7, 9)) == "pin_UK_20240305_0709"
+    with pytest.raises(ValueError):
+        runs.run_name("pin", "Atlantis", datetime(2024, 3, 5))
+    runs.write_errors(spark.createDataFrame([("a", "no usable bars"), ("b", None)], "Symbol string, error string"), f"file://{tmp_path}/errors")
+    assert sorted("".join(p.read_text() for p in (tmp_path / "errors").glob("part*")).splitlines()) == ["a : no usable bars", "b"]
