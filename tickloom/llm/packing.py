@@ -39,7 +39,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = 4096)
         encoder = tokens.encoder(vocabulary)
         for batch in tidy(batches, keep=vocabulary):
             at = 0
-            for part in slices(batch.column(1)):
+            for part in slices(batch.column(1), tokens.SLICE_BYTES):
                 doc_ids = batch.column(0).slice(at, len(part)).to_pylist()
                 at += len(part)
                 ids, counts = encoder.encode(part)

@@ -44,7 +44,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, vocabulary_s
 
         for batch in tidy(batches, keep=vocabulary):
             at = 0
-            for part in slices(batch.column(1)):
+            for part in slices(batch.column(1), tokens.SLICE_BYTES):
                 ids, n = encoder.encode(part)
                 ends = np.cumsum(n)
                 doc_ids += batch.column(0).slice(at, len(part)).to_pylist()

@@ -2,9 +2,10 @@
 
 Neither vocabulary lets a token span the step from a visible character to white space, or from an ASCII letter to an
 ASCII mark other than the apostrophe, so a text's ids are the ids of its chunks between such steps put end to end. A batch is cut into chunks with numpy,
-every chunk that the worker has not met is encoded once by the library, and the ids are gathered per document. Texts with white space outside ASCII are encoded whole, because there a run of white
-space can be cut in its middle, and so are texts that hold the name of one of the vocabulary's special tokens, which the
-library takes for that token.
+every chunk that the worker has not met is encoded once by the library, and the ids are gathered per document. Chunks that are new go
+to the library some at a time with the name of a special token between them, whose id then tells them apart. Texts with white space
+outside ASCII are encoded whole, because there a run of white space can be cut in its middle, and so are texts that hold the name of one
+of the vocabulary's special tokens, which the library takes for that token.
 """
 
 from __future__ import annotations
@@ -24,6 +25,10 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Bytes of chunks that a worker remembers before it starts afresh; each takes some 150 bytes besides.
 MOST_BYTES = 6 << 20
 MOST_CHUNKS = 600_000
+#: Bytes of text to encode at once: the more, the fewer chunks are looked up again.
+SLICE_BYTES = 4 << 20
+#: New chunks that the library is given as one text.
+TOGETHER = 64
 _ODD_SPACE = "[\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
 _ODD_LEADS = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -34,6 +39,14 @@ _PLAIN[65:91] += 32
 _PLAIN[[9, 10, 11, 12, 13]] = 32
 
 
+class _Numbers(dict):
+    """Numbers keys in the order in which they are first asked for."""
+
+    def __missing__(self, key: bytes) -> int:
+        self[key] = number = len(self)
+        return number
+
+
 class Encoder:
     """Encodes arrays of texts; keeps the ids of the chunks it has met, up to a bound."""
 
@@ -44,7 +57,11 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         # A vocabulary that lower-cases and drops white space lets chunks be folded before they are looked up.
         self.folds = isinstance(self.tokenizer.normalizer, Sequence) and self._ids("Ab\tC\n d") == self._ids("ab c  d")
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        added = self.tokenizer.get_added_tokens_decoder()
+        special = [t.content for t in added.values()]
+        # A token that may stand between chunks: its name is taken wherever it stands, and with nothing around it.
+        plain = [(t.content.encode(), i) for i, t in added.items() if not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
+        self.between = next((p for p in plain if self._ids(f" a{p[0].decode()}b\tc") == [*self._ids(" a"), p[1], *self._ids("b\tc")]), None)
         self.special = "|".join(re.escape(t) for t in special)
         self.hints = {t[:2].encode() for t in special}
         self._forget()
@@ -53,24 +70,49 @@ class Encoder:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known = _Numbers()
         self.starts, self.sizes, self.flat = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1 << 14, np.int32)
         self.used = self.bytes = 0
 
-    def _learn(self, chunks: list[bytes]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        first, total = len(self.known), int(sizes.sum())
-        for name, need in (("starts", first + len(chunks)), ("sizes", first + len(chunks)), ("flat", self.used + total)):
+    def _library(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all chunks end to end, and the number of ids of each."""
+        if self.between is None:
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            return np.fromiter((i for ids in found for i in ids), np.int32, int(sizes.sum())), sizes
+        name, end = self.between
+        joined = [name.join(chunks[k : k + TOGETHER]).decode() for k in range(0, len(chunks), TOGETHER)]
+        ids = np.array([i for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False) for i in (*e.ids, end)], np.int32)
+        ends = np.flatnonzero(ids == end)
+        if len(ends) != len(chunks):
+            raise ValueError("a chunk holds the name of a special token")
+        return ids[ids != end], np.diff(ends, prepend=-1) - 1
+
+    def _learn(self, chunks: list[bytes], first: int) -> None:
+        """Keep the ids of chunks, which are numbered from ``first``."""
+        ids, sizes = self._library(chunks)
+        for name, need in (("starts", first + len(chunks)), ("sizes", first + len(chunks)), ("flat", self.used + len(ids))):
             held_ = getattr(self, name)
             if need > len(held_):
                 setattr(self, name, np.concatenate([held_, np.zeros(max(need - len(held_), len(held_)), held_.dtype)]))
         self.sizes[first : first + len(chunks)] = sizes
         self.starts[first : first + len(chunks)] = self.used + np.cumsum(sizes) - sizes
-        self.flat[self.used : self.used + total] = np.fromiter((i for ids in found for i in ids), np.int32, total)
-        self.used += total
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
         self.bytes += sum(map(len, chunks))
-        self.known.update(zip(chunks, range(first, first + len(chunks))))
+
+    def _numbers(self, words: list[bytes]) -> np.ndarray:
+        """The numbers of distinct chunks; new ones are learnt."""
+        met = len(self.known)
+        at = np.array(list(map(self.known.__getitem__, words)), np.int64)
+        try:
+            new = [words[i] for i in np.flatnonzero(at >= met).tolist()]
+            for k in range(0, len(new), 50_000):
+                self._learn(new[k : k + 50_000], met + k)
+        except BaseException:
+            self._forget()  # a later task may get this worker
+            raise
+        return at
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, and the number of ids of each; a null counts as empty."""
@@ -104,15 +146,7 @@ class Encoder:
         bounds = np.concatenate([cuts, [len(raw)]]).astype(np.int64)
         chunks = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts), [None, pa.py_buffer(bounds), pa.py_buffer(data)])
         coded = chunks.dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        get = self.known.get
-        at = [get(w, -1) for w in words]
-        new = [w for w, k in zip(words, at) if k < 0]
-        for k in range(0, len(new), 50_000):
-            self._learn(new[k : k + 50_000])
-        if new:
-            at = [get(w) for w in words]
-        entry = np.array(at, np.int64)[np.asarray(coded.indices)] if len(cuts) else np.zeros(0, np.int64)
+        entry = self._numbers(_values(coded.dictionary))[np.asarray(coded.indices)] if len(cuts) else np.zeros(0, np.int64)
         sizes = self.sizes[entry]
         total = int(sizes.sum())
         ids = self.flat[np.repeat(self.starts[entry] - (np.cumsum(sizes) - sizes), sizes) + np.arange(total)]
@@ -133,6 +167,13 @@ class Encoder:
         return np.concatenate(parts), counts
 
 
+def _values(strings: pa.LargeBinaryArray) -> list[bytes]:
+    """An array's values as bytes, without a pyarrow object for each."""
+    at = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1].tolist()
+    data = strings.buffers()[2].to_pybytes()
+    return [data[a:b] for a, b in zip(at, at[1:])]
+
+
 def encoder(path: str) -> Encoder:
     """This worker's encoder for a vocabulary file; it lives on from task to task, until one does other work."""
     return held(path, lambda: Encoder(path))
