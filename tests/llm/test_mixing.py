@@ -61,6 +61,16 @@ def test_rows_that_differ_in_other_columns_are_taken_each(spark):
         mixing.select(docs.withColumn("slice", F.lit(1)), mixing.Mix(), keep=["slice"])
 
 
+def test_rows_that_differ_in_where_a_null_stands_are_taken_each(spark):
+    kinds = "doc_id long, text string, lang string, source string, x string, y string, a array<int>, m map<string,int>"
+    rest = [1], {"k": 1}
+    rows = [(1, "a b", "en", None, "v", None, *rest), (1, "a b", "en", None, None, "v", *rest), (1, "a b", "en", "src0", None, None, [1, None], None), (1, "a b", "en", "src0", None, None, [None, 1], None)]
+    rows += [(2, "c", "de", "src1", "v", "v", [], {"k": None}), (2, "c", "de", "src1", "v", "v", [], {"l": None}), (3, "d", None, "en", None, None, None, None), (3, "d", "en", None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, kinds)
+    out = mixing.mixed(docs, mixing.Mix(fraction=1.0, max_epochs=1))
+    assert sorted(map(str, out.collect())) == sorted(map(str, docs.collect()))
+
+
 def test_no_documents(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
     assert mixing.select(docs, mixing.Mix()).collect() == [] and mixing.mixed(docs, mixing.Mix()).collect() == []

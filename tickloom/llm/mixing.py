@@ -20,6 +20,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 from tickloom.llm.common import cut
 
@@ -127,10 +128,14 @@ def select(docs: DataFrame, mix: Mix, domain: Column | None = None, keep: list[s
 
 def mixed(docs: DataFrame, mix: Mix) -> DataFrame:
     """The rows of ``docs`` that the mix takes, each once for every epoch that holds it."""
-    # The rows' own columns travel in a struct, where no name of theirs can meet one of these. Rows that differ anywhere differ in h,
-    # which is taken of all columns but maps, as those have no hash.
-    own = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString()]
-    keyed = docs.select("doc_id", "lang", "source", "text", F.xxhash64(*(F.col(f"`{c}`") for c in own)).alias("h"), F.struct("*").alias("row"))
+    # The rows' own columns travel in a struct, where no name of theirs can meet one of these. Rows that differ anywhere differ in h. A hash
+    # passes over nulls, so h is taken of where these are too: of nested columns, by their JSON with nulls written out.
+    fields = [(F.col(f"`{f.name}`"), f.dataType) for f in docs.schema]
+    own = [c for c, kind in fields if "map<" not in kind.simpleString()]
+    nested = [c for c, kind in fields if isinstance(kind, (ArrayType, MapType, StructType))]
+    as_json = [F.to_json(c, {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSSXXX"}) for c in nested]
+    h = F.xxhash64(*own, *(c.isNull() for c, _ in fields), *as_json)
+    keyed = docs.select("doc_id", "lang", "source", "text", h.alias("h"), F.struct("*").alias("row"))
     chosen = select(keyed, mix, keep=["h"]).groupBy("doc_id", "h").agg(F.sum("copies").cast("int").alias("copies"))
     left, right = keyed.select("doc_id", "h", "row").dropDuplicates(["doc_id", "h"]).alias("d"), chosen.alias("c")
     joined = left.join(right, F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.h") == F.col("c.h")))
