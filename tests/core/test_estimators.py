@@ -252,3 +252,29 @@ def test_the_panel_reads_the_trades_once(spark, tmp_path):
     dense = daily.dense_daily(daily.daily_counts(spark.read.parquet(f"file://{tmp_path}/ticks")))
     assert dense.count() == 4
     assert not [f for f in dense.inputFiles() if "/ticks/" in f] and dense.inputFiles()
+
+
+def test_busy_days_that_overflow_plain_products(spark):
+    from decimal import Decimal, getcontext
+
+    getcontext().prec = 60
+    rng = np.random.default_rng(5)
+    buys, sells = rng.poisson(200, 61), rng.poisson(220, 61)
+    rows = {r.Date: r for r in likelihood.pin_grid(spark.createDataFrame(panel(buys, sells), "Symbol string, Date date, B int, S int")).collect()}
+    assert len(rows) == 2
+    days = panel(buys, sells).Date.tolist()
+    for at in (59, 60):
+        b, s = buys[at - 59 : at + 1].tolist(), sells[at - 59 : at + 1].tolist()
+        best = None
+        for a, d, g in ((a, d, g) for a in (0.1, 0.5, 0.9) for d in (0.1, 0.5, 0.9) for g in (0.1, 0.5, 0.9)):
+            mb, ms = sum(b) / 60, sum(s) / 60
+            eb, u = g * mb, (mb - g * mb) / (a * (1 - d))
+            es = ms - a * d * u
+            if min(es, eb, u) <= 0:
+                continue
+            branches = [(1 - a, eb, es), (a * d, eb, es + u), (a * (1 - d), eb + u, es)]
+            total = sum(sum(Decimal(w) * (-Decimal(x) - Decimal(y)).exp() * Decimal(x) ** i * Decimal(y) ** j for w, x, y in branches).ln() for i, j in zip(b, s))
+            if best is None or total > best[0]:
+                best = (total, a, d, g)
+        r = rows[days[at]]
+        assert (r.a, r.d, r.g) == best[1:] and math.isclose(r.loglik, float(best[0]), abs_tol=2e-6)
