@@ -167,3 +167,29 @@ def test_texts_below_the_similarity_are_not_dropped(spark):
     assert not near
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id for r in simhash.representatives(docs).collect()} == want
+
+
+def test_of_a_group_of_edited_copies_few_pairs_are_held_against_whole_sets(spark):
+    rng = random.Random(7)
+    base = [f"w{k}" for k in range(150)]
+    texts = [" ".join(f"{g}x{k}" if rng.random() < 0.035 else w for k, w in enumerate(base)) for g in range(80)]
+    sets = [frozenset(tuple(t.split()[i : i + 5]) for i in range(146)) for t in texts]
+    alike = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in itertools.combinations(range(80), 2)}
+    want = {pair for pair, s in alike.items() if s >= 0.8}
+    assert want and len(want) < 300
+    keyed = simhash.shingle_sets(spark.createDataFrame(list(enumerate(texts)), "key long, text string"), 5).selectExpr("key", "size(shingles) n", "odd")
+    pairs = keyed.crossJoin(keyed.selectExpr("key other", "n other_n", "odd other_odd")).where("key < other")
+    # all 3,160 have as many shingles but for a few
+    assert pairs.where("least(n, other_n) * 5L >= greatest(n, other_n) * 4L").count() == len(alike)
+    left = {(r.key, r.other) for r in pairs.where(simhash._may_be_similar()).collect()}
+    assert want <= left and len(left) < len(want) + 0.03 * len(alike)
+
+
+def test_parities_differ_in_no_more_bits_than_texts_in_shingles():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 50, 700, 9000):
+        common, one, two = (rng.integers(-(2**63), 2**63, k) for k in (n, n // 5, n // 9))
+        a, b = simhash.parities(np.concatenate([common, one])), simhash.parities(np.concatenate([common, two]))
+        assert len(a) * 64 == simhash.PARITIES and np.bitwise_count((a ^ b).view(np.uint64)).sum() <= len(one) + len(two)

@@ -170,6 +170,8 @@ def near_duplicates(docs: DataFrame, words_each: int = 3, seed: int = 42, id_col
 
 #: Shingle similarity of a link beyond 2 bits, 4 of 5 in whole numbers; pairs for each posting beyond which hubs come first, and most of their rounds.
 SIMILAR, PAIRS_EACH, HUB_ROUNDS = 0.8, 8, 8
+#: Bits of a text's parities.
+PARITIES = 1024
 PROFILE = "struct<fp:bigint,key:bigint,n:int,half:array<bigint>>"
 
 
@@ -213,16 +215,26 @@ def profiles(docs: DataFrame, words_each: int, seed: int = 42, text: str = "text
     return docs.withColumn(out, of.asNondeterministic()(F.col(text)))
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Whether each remainder of the hashes by PARITIES is that of an odd number of them, as 64-bit words.
+
+    A shingle that only one of two texts has turns one bit, so their parities differ in no more bits than the texts in shingles.
+    """
+    odd = np.bincount(shingles & (PARITIES - 1), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
 def shingle_sets(texts: DataFrame, words_each: int, seed: int = 42) -> DataFrame:
-    """key and all distinct shingle hashes of each text (key, text)."""
+    """key, all distinct shingle hashes and their parities of each text (key, text)."""
     prepare(texts.sparkSession)
 
-    @F.arrow_udf("array<bigint>")
+    @F.arrow_udf("struct<shingles:array<bigint>,odd:array<bigint>>")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in tidy(batches):
-            yield _lists([distinct_shingles(x.as_buffer().to_pybytes() if x.is_valid else None, words_each, seed) for x in batch.cast(pa.large_binary())])
+            found = [distinct_shingles(x.as_buffer().to_pybytes() if x.is_valid else None, words_each, seed) for x in batch.cast(pa.large_binary())]
+            yield pa.StructArray.from_arrays([_lists(found), _lists([parities(x) for x in found])], names=["shingles", "odd"])
 
-    return texts.select("key", of(F.col("text")).alias("shingles"))
+    return texts.select("key", of.asNondeterministic()(F.col("text")).alias("s")).select("key", "s.*")
 
 
 def _with_similar(prints: DataFrame, classes: DataFrame) -> DataFrame:
@@ -237,25 +249,35 @@ def _with_similar(prints: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _postings(sets: DataFrame, classes: DataFrame) -> DataFrame:
-    """h, key, fp, n, prev and pos of the shared shingles among the n/5 + 1 rarest of each text; similar texts have one of them in common.
+    """h, prev and pos, with key, n, odd and comp of the text, of the shared shingles among the n/5 + 1 rarest of each text; similar texts have one of them in common.
 
     Rarest means in the fewest of ``sets``, then the smallest hash. A shingle of one text only counts for its place but has no partner.
     prev: the shared shingle before h in that order, null for a text's first; pos: how many of the text's shingles come up to h.
     """
     each = sets.select("key", F.explode("shingles").alias("h"))
     shared = each.groupBy("h").agg(F.count("*").alias("texts")).where("texts > 1")
-    ranked = each.join(shared, "h").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("texts", "h"))).alias("common")).join(classes.select("key", "fp", "n"), "key")
+    ranked = each.join(shared, "h").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("texts", "h"))).alias("common")).join(classes.select("key", "n", "odd", "comp"), "key")
     kept = F.expr("slice(common, 1, greatest(0, cast(n div 5 as int) + 1 - (n - size(common))))")
     ranked = ranked.withColumn("kept", kept).withColumn("kept", F.expr("transform(kept, (s, i) -> struct(s.h AS h, if(i > 0, kept[greatest(i - 1, 0)].h, NULL) AS prev, n - size(common) + i + 1 AS pos))"))
-    return ranked.select("key", "fp", "n", F.explode("kept").alias("s")).select("s.h", "key", "fp", "n", "s.prev", "s.pos")
+    return ranked.select("key", "n", "odd", "comp", F.explode("kept").alias("s")).select("s.h", "key", "n", "odd", "s.prev", "s.pos", "comp")
+
+
+def _may_be_similar() -> str:
+    """SQL of what similar texts have in common: numbers of shingles, and parities that differ in at most a ninth of both.
+
+    A similarity of 4/5 or more means that at most a ninth of all shingles of the two are in one of them alone.
+    """
+    turned = " + ".join(f"bit_count(odd[{i}] ^ other_odd[{i}])" for i in range(PARITIES // 64))
+    return f"least(n, other_n) * 5L >= greatest(n, other_n) * 4L AND ({turned}) * 9L <= n + other_n"
 
 
 def similar_roots(sets: DataFrame, classes: DataFrame, linked: DataFrame) -> DataFrame:
     """(node, root) of the fingerprints over ``linked`` and over all pairs of texts with a shingle similarity of SIMILAR or more.
 
-    sets: key and all shingles; classes: key, fp and n of distinct texts. Only pairs of different components matter, so where
+    sets: key, all shingles and their parities; classes: key, fp and n of distinct texts. Only pairs of different components matter, so where
     many texts share a rare shingle each is first held against one of them, another in each round, until that joins no
-    more or the pairs that are left are few; then all pairs left are compared.
+    more or the pairs that are left are few; then all pairs left are compared. Pairs whose parities tell that they are not
+    similar go where they meet, so that whole sets are fetched for hardly more pairs than are similar.
     """
 
     @F.arrow_udf("double")
@@ -268,33 +290,33 @@ def similar_roots(sets: DataFrame, classes: DataFrame, linked: DataFrame) -> Dat
         return cut(sure.select(F.col("comp").alias("fp"), F.col("other_comp").alias("hub")).distinct(), "similar")
 
     def facing(pairs: DataFrame) -> DataFrame:
-        return pairs.where("least(n, other_n) * 5L >= greatest(n, other_n) * 4L and comp <> other_comp").select("key", "comp", "other", "other_comp")
+        return pairs.where(f"comp <> other_comp and {_may_be_similar()}").select("key", "comp", "other", "other_comp")
 
     base = components(linked)
-    postings = cut(_postings(sets, classes), "postings")
-    most = PAIRS_EACH * postings.count()
-    placed = postings.join(base, postings.fp == base.node, "left").select("h", "key", "n", "prev", "pos", F.coalesce("root", "fp").alias("comp"))
+    named = classes.join(base, classes.fp == base.node, "left").select("key", "n", F.coalesce("root", "fp").alias("comp"))
+    placed = cut(_postings(sets, named.join(sets.select("key", "odd"), "key")), "postings")
+    most = PAIRS_EACH * placed.count()
     found = []
     for k in range(HUB_ROUNDS + 1):
-        placed = cut(placed, "placed")
+        placed = cut(placed, "placed") if k else placed
         counts = placed.groupBy("h", "comp").agg(F.count("*").alias("c")).groupBy("h").agg(F.sum("c").alias("rows"), F.sum(F.expr("c * c")).alias("same"), F.count("*").alias("comps"))
         mixed = cut(counts.where("comps > 1"), "mixed")
         left = mixed.agg(F.sum(F.expr("(double(rows) * rows - same) / 2"))).first()[0] or 0
         placed = placed.join(mixed.select("h"), "h", "left_semi")
         if left <= most or k == HUB_ROUNDS:
             break
-        hubs = placed.groupBy("h").agg(F.min_by(F.struct("key", "n", "comp"), F.xxhash64("key", F.lit(k))).alias("o"))
-        against = hubs.select("h", F.col("o.key").alias("other"), F.col("o.n").alias("other_n"), F.col("o.comp").alias("other_comp"))
+        hubs = placed.groupBy("h").agg(F.min_by(F.struct("key", "n", "odd", "comp"), F.xxhash64("key", F.lit(k))).alias("o"))
+        against = hubs.select("h", F.col("o.key").alias("other"), F.col("o.n").alias("other_n"), F.col("o.odd").alias("other_odd"), F.col("o.comp").alias("other_comp"))
         more = verified(facing(placed.join(against, "h")))
         if more.isEmpty():
             break
         found.append(more)
         # Only the groups that were joined just now change their names.
         merged = components(more)
-        placed = placed.join(merged, placed.comp == merged.node, "left").select("h", "key", "n", "prev", "pos", F.coalesce("root", "comp").alias("comp"))
+        placed = placed.join(merged, placed.comp == merged.node, "left").select("h", "key", "n", "odd", "prev", "pos", F.coalesce("root", "comp").alias("comp"))
     # Texts that share a passage share many of its shingles: where both have the same one before h, they meet there or earlier.
     # Where they meet first, they have nothing in common before h, so what follows must be enough for their similarity.
-    others = placed.select("h", F.col("key").alias("other"), F.col("n").alias("other_n"), F.col("prev").alias("other_prev"), F.col("pos").alias("other_pos"), F.col("comp").alias("other_comp"))
+    others = placed.select("h", F.col("key").alias("other"), F.col("n").alias("other_n"), F.col("odd").alias("other_odd"), F.col("prev").alias("other_prev"), F.col("pos").alias("other_pos"), F.col("comp").alias("other_comp"))
     enough = "(1 + least(n - pos, other_n - other_pos)) * 9L >= (n + other_n) * 4L"
     more = verified(facing(placed.join(others, "h").where(f"key < other and coalesce(prev <> other_prev, true) and {enough}")))
     if not more.isEmpty():
