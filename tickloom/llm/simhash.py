@@ -275,7 +275,7 @@ def similar_roots(sets: DataFrame, classes: DataFrame, linked: DataFrame) -> Dat
     """(node, root) of the fingerprints over ``linked`` and over all pairs of texts with a shingle similarity of SIMILAR or more.
 
     sets: key, all shingles and their parities; classes: key, fp and n of distinct texts. Only pairs of different components matter, so where
-    many texts share a rare shingle each is first held against one of them, another in each round, until that joins no
+    many texts share a rare shingle each is first held against one of them, another in each round, until that joins few
     more or the pairs that are left are few; then all pairs left are compared. Pairs whose parities tell that they are not
     similar go where they meet, so that whole sets are fetched for hardly more pairs than are similar.
     """
@@ -311,6 +311,8 @@ def similar_roots(sets: DataFrame, classes: DataFrame, linked: DataFrame) -> Dat
         if more.isEmpty():
             break
         found.append(more)
+        if more.count() * 10 < found[0].count():
+            break  # the comparison of all pairs left costs less than a new name for all postings
         # Only the groups that were joined just now change their names.
         merged = components(more)
         placed = placed.join(merged, placed.comp == merged.node, "left").select("h", "key", "n", "odd", "prev", "pos", F.coalesce("root", "comp").alias("comp"))
