@@ -20,6 +20,14 @@ def test_blocks_round_trip(n, kind):
     assert (coder.decode_blocks(coder.encode_blocks(ids, IDS), n, IDS) == ids).all()
 
 
+@pytest.mark.parametrize("kind", ["random", "skewed", "runs"])
+def test_many_short_blocks_round_trip(kind):
+    rng = np.random.default_rng(7)
+    ids = {"random": rng.integers(0, IDS, 200_001), "skewed": rng.zipf(1.2, 200_001) % IDS, "runs": np.repeat(rng.integers(0, 9, 20_001), 10)}[kind]
+    for block in (1, 16, 200):
+        assert (coder.decode_blocks(coder.encode_blocks(ids, IDS, block), len(ids), IDS, block) == ids).all()
+
+
 def test_repetition_is_learnt():
     ids = np.tile(np.arange(40) * 997 % IDS, 200)
     assert sum(map(len, coder.encode_blocks(ids, IDS))) < len(ids) * 0.7

@@ -42,3 +42,33 @@ def test_a_failed_batch_leaves_nothing_behind(monkeypatch):
         encoder.encode(pa.array(["other words there"]))
     assert encoder.encode(first)[0].tolist() == want
     assert encoder.encode(pa.array(["other words there"]))[0].tolist() == Tokenizer.from_file(path).encode("other words there", add_special_tokens=False).ids
+
+
+def asked(encoder, monkeypatch):
+    """The chunks that the encoder gives to the library from here on."""
+    given, library = [], encoder._library
+    monkeypatch.setattr(encoder, "_library", lambda chunks: (given.extend(chunks), library(chunks))[1])
+    return given
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_marks_are_cut_from_latin_letters(name, monkeypatch):
+    path = public_tokenizers.path(name)
+    encoder, plain = tokens.Encoder(path), Tokenizer.from_file(path)
+    given = asked(encoder, monkeypatch)
+    text = "été### été!! été d'été's ×÷#3×### ß-ß Ÿ## Ā##"
+    assert encoder.encode(pa.array([text]))[0].tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert " été".encode() in given and b"###" in given and " été###".encode() not in given
+
+
+def test_chunks_met_first_are_kept(monkeypatch):
+    path = public_tokenizers.path(FILES[0])
+    encoder, plain = tokens.Encoder(path), Tokenizer.from_file(path)
+    monkeypatch.setattr(tokens, "MOST_CHUNKS", 8)
+    texts = [" " + " ".join(f"w{chr(97 + k)}{chr(97 + i)}" for i in range(6)) for k in range(9)] + [" naïve ", "\n\n", " é", " 12é3", "a  b"]
+    given = asked(encoder, monkeypatch)
+    for text in [*texts, *texts]:
+        assert encoder.encode(pa.array([text]))[0].tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert len(encoder.known) <= 8 + 6 and given.count(b" waa") == 1
+    monkeypatch.setattr(tokens, "MOST_BYTES", 0)
+    assert encoder.encode(pa.array([texts[0]]))[0].tolist() == plain.encode(texts[0], add_special_tokens=False).ids

@@ -24,7 +24,7 @@ from tickloom.llm import coder, tokens
 from tickloom.llm.common import partitions_for, prepare, slices, tidy
 
 #: Ids at which a segment ends, after the document that reaches them; a file holds SEGMENTS of them at most.
-SEGMENT_IDS, SEGMENTS = 4_000_000, 8
+SEGMENT_IDS, SEGMENTS = 6_000_000, 5
 
 
 def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, vocabulary_size: int, docs_each: int = 4096) -> None:
