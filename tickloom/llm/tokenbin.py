@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm import coder, tokens
-from tickloom.llm.common import partitions_for, prepare, slices, tidy
+from tickloom.llm.common import gathered, partitions_for, prepare, slices, tidy
 
 #: Ids at which a segment ends, after the document that reaches them; a file holds SEGMENTS of them at most.
 SEGMENT_IDS, SEGMENTS = 6_000_000, 5
@@ -42,7 +42,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, vocabulary_s
             data = coder.pack_segment(shard, segment, doc_ids, np.concatenate(counts), np.concatenate(held), vocabulary_size)
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["data"])
 
-        for batch in tidy(batches, keep=vocabulary):
+        for batch in gathered(tidy(batches, keep=vocabulary), tokens.SLICE_BYTES):
             at = 0
             for part in slices(batch.column(1), tokens.SLICE_BYTES):
                 ids, n = encoder.encode(part)
