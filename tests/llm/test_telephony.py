@@ -147,3 +147,22 @@ def test_the_query_stores_all_audio_within_its_disk(spark, monkeypatch):
         codec, rate, data = T.unwav(bytes(r.audio[: r.size]))
         assert len(data) == max(64, -(-r.n_bytes // 64) * 64)
         assert T.grow(bytes(r.audio[r.size :]), bytes(r.high), bytes(r.low)).tolist() == T.resample(T.decode_many([(codec, data)])[0], rate, 8000).tolist()
+
+
+def test_the_query_resamples_the_audio_of_every_codec(spark, monkeypatch, tmp_path):
+    kept = []
+    monkeypatch.setattr(queries, "cut", lambda df, name, **options: kept.append(store.cut(df, name, **options)) or kept[-1])
+    texts = [None, "", "long " * 4000] + [f"text {i}" for i in range(30)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    told = {r.doc_id: r.feature for r in queries.op3_telephony(spark, f"file://{tmp_path}").collect()}
+    stored = {r.doc_id: r for df in kept for r in df.collect()}
+    assert stored.keys() == told.keys() == set(range(len(texts)))
+    codecs = set()
+    for k, r in stored.items():
+        codec, rate, data = T.unwav(bytes(r.audio[: r.size]))
+        own = T.decode_many([(codec, data)])[0]
+        pcm = T.grow(bytes(r.audio[r.size :]), bytes(r.high), bytes(r.low))
+        assert rate == 8000 and len(pcm) == 2 * len(own)
+        assert pcm.tolist() == T.resample(own, 8000, 16000).tolist() and told[k] == T.describe(pcm, codec)
+        codecs.add(codec)
+    assert codecs == {"mulaw", "alaw", "ima_adpcm"}
